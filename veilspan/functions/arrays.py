@@ -1,12 +1,15 @@
 """Small helpers for array columns.
 
-Everything here returns a Column built from Spark's higher-order functions, so
-a whole page or document is handled inside its own row without a shuffle.
+Everything here uses Spark's higher-order functions, so a whole page or
+document is handled inside its own row without a shuffle.  The helpers ending
+in ``_sql`` build expression text: a nested expression of hundreds of calls is
+parsed by Spark in one go, instead of crossing to the JVM call by call.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,53 +33,6 @@ def indexes(array: Column) -> Column:
     )
 
 
-def running(
-    values: Column, zero: Column, combine: Callable[[Column, Column], Column]
-) -> Column:
-    """Exclusive running fold: element ``i`` combines ``zero`` and values before ``i``.
-
-    ``combine`` must be associative (sum, greatest).
-    """
-
-    def append(acc: Column, value: Column) -> Column:
-        return F.concat(acc, F.array(combine(F.element_at(acc, -1), value)))
-
-    def cut(array: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.floor((F.size(array) - 1) / _BLOCK).cast("int")),
-            lambda block: F.slice(array, block * _BLOCK + 1, F.lit(_BLOCK)),
-        )
-
-    def fold(blocks: Column) -> Column:
-        bases = F.aggregate(
-            blocks,
-            F.array(zero),
-            lambda acc, block: append(
-                acc, F.aggregate(block, zero, combine)
-            ),
-        )
-        return let(
-            bases,
-            lambda base: F.flatten(
-                F.transform(
-                    blocks,
-                    lambda block, i: F.slice(
-                        F.aggregate(block, F.array(F.get(base, i)), append),
-                        F.lit(1),
-                        F.size(block),
-                    ),
-                )
-            ),
-        )
-
-    return let(
-        values,
-        lambda array: F.when(F.size(array) > 0, let(cut(array), fold)).otherwise(
-            F.slice(F.array(zero), 1, 0)
-        ),
-    )
-
-
 def distinct_by(
     array: Column, key: Callable[[Column], Column], order: Callable[[Column], Column]
 ) -> Column:
@@ -114,3 +70,50 @@ def distinct_by(
         return F.transform(F.array_sort(placed), lambda row: row["x"])
 
     return let(array, select)
+
+
+_names = count()
+
+
+def let_sql(value: str, body: Callable[[str], str]) -> str:
+    """SQL text that evaluates ``value`` once for many uses in ``body``."""
+    if value.isidentifier():
+        return body(value)
+    name = fresh_name()
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
+
+
+def fresh_name() -> str:
+    return f"v{next(_names)}"
+
+
+def running_sql(values: str, zero: str, combine: Callable[[str, str], str]) -> str:
+    """Exclusive running fold as SQL text: ``zero`` and all values before each.
+
+    ``combine`` must be associative (sum, greatest).
+    """
+
+    def append(acc: str, value: str) -> str:
+        return f"concat({acc}, array({combine(f'element_at({acc}, -1)', value)}))"
+
+    def fold(array: str) -> str:
+        cut = (
+            f"transform(sequence(0, (size({array}) - 1) div {_BLOCK}),"
+            f" b -> slice({array}, b * {_BLOCK} + 1, {_BLOCK}))"
+        )
+
+        def over(blocks: str) -> str:
+            total = f"aggregate(block, {zero}, (x, y) -> {combine('x', 'y')})"
+            bases = f"aggregate({blocks}, array({zero}), (acc, block) -> {append('acc', total)})"
+            return let_sql(
+                bases,
+                lambda base: f"flatten(transform({blocks}, (block, n) -> slice(aggregate(block,"
+                f" array({base}[n]), (acc, y) -> {append('acc', 'y')}), 1, size(block))))",
+            )
+
+        return (
+            f"CASE WHEN size({array}) > 0 THEN {let_sql(cut, over)}"
+            f" ELSE slice(array({zero}), 1, 0) END"
+        )
+
+    return let_sql(values, fold)

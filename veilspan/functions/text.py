@@ -1,4 +1,8 @@
-"""Column functions over whole texts: spans, recognizers, redaction."""
+"""Column functions over whole texts: spans, recognizers, redaction.
+
+Arguments are column names or SQL expressions.  The ``_sql`` forms return
+expression text, to be used inside a larger expression.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
-from veilspan.functions.arrays import distinct_by, indexes, let, running
+from veilspan.functions.arrays import fresh_name, let, let_sql, running_sql
 from veilspan.schemas import REDACTION_TOKEN, SPAN, TEXT_DETECTIONS
 
 
@@ -46,155 +50,191 @@ def normalize_digits(value: Column | str) -> Column:
     return F.regexp_replace(_col(value), r"(?U)\D", "")
 
 
-def ascii_digits(digits: Column) -> Column:
-    """Rewrite the digits of other scripts; plain ASCII input is left alone."""
+def is_valid_tckn_sql(value: str) -> str:
     source, target = _decimal_digits()
-    return F.when(
-        digits.rlike(r"[^\x00-\x7f]"), F.translate(digits, source, target)
-    ).otherwise(digits)
+    digits = f"regexp_replace({value}, r'(?U)\\D', '')"
+
+    def check(raw: str) -> str:
+        plain = (
+            f"CASE WHEN {raw} RLIKE r'[^\\x00-\\x7f]'"
+            f" THEN translate({raw}, '{source}', '{target}') ELSE {raw} END"
+        )
+
+        def rule(n: str) -> str:
+            d = [f"cast(substring({n}, {i}, 1) AS int)" for i in range(1, 12)]
+            odd, even = " + ".join(d[0:9:2]), " + ".join(d[1:8:2])
+            return (
+                f"coalesce(length({n}) = 11 AND {d[0]} <> 0"
+                f" AND {d[9]} = pmod(({odd}) * 7 - ({even}), 10)"
+                f" AND {d[10]} = pmod({odd} + {even} + {d[9]}, 10), false)"
+            )
+
+        return let_sql(plain, rule)
 
+    return let_sql(digits, check)
 
-def is_valid_tckn(value: Column | str) -> Column:
+
+def is_valid_tckn(value: str) -> Column:
     """Checksum test for an 11-digit identity number, separators ignored."""
+    return F.expr(is_valid_tckn_sql(value))
 
-    def check(digits: Column) -> Column:
-        d = [F.substring(digits, i, 1).cast("int") for i in range(1, 12)]
-        odd = d[0] + d[2] + d[4] + d[6] + d[8]
-        even = d[1] + d[3] + d[5] + d[7]
-        tenth = F.pmod(odd * 7 - even, F.lit(10))
-        eleventh = F.pmod(odd + even + d[9], F.lit(10))
-        return (
-            (F.length(digits) == 11)
-            & (d[0] != 0)
-            & (d[9] == tenth)
-            & (d[10] == eleventh)
-        )
 
-    return F.coalesce(let(ascii_digits(normalize_digits(value)), check), F.lit(False))
+def has_tckn_context_sql(text: str, start: str, end: str, radius: int) -> str:
+    left = f"greatest(0, {start} - {radius})"
+    return (
+        f"substring({text}, {left} + 1, {end} + {radius} - {left})"
+        f" RLIKE r'{P.TCKN_CONTEXT}'"
+    )
 
 
 def has_tckn_context(
-    text: Column | str,
-    start: Column | str,
-    end: Column | str,
-    radius: int = P.TCKN_CONTEXT_RADIUS,
+    text: str, start: str, end: str, radius: int = P.TCKN_CONTEXT_RADIUS
 ) -> Column:
     """True when an identity-number label lies near ``[start, end)``."""
-    text, start, end = _col(text), _col(start), _col(end)
-    left = F.greatest(F.lit(0), start - radius)
-    window = F.substring(text, left + 1, end + radius - left)
-    return window.rlike(P.TCKN_CONTEXT)
+    return F.expr(has_tckn_context_sql(text, start, end, radius))
 
 
 # --- span extraction --------------------------------------------------------
 
 
-def match_spans(text: Column | str, pattern: str) -> Column:
+def match_spans_sql(text: str, pattern: str) -> str:
+    def locate(matches: str) -> str:
+        def place(gaps: str) -> str:
+            lengths = f"transform({matches}, (m, i) -> length({gaps}[i]) + length(m))"
+            return let_sql(
+                running_sql(lengths, "0", lambda a, b: f"{a} + {b}"),
+                lambda before: f"transform({matches}, (m, i) -> named_struct("
+                f"'start', {before}[i] + length({gaps}[i]),"
+                f" 'end', {before}[i] + length({gaps}[i]) + length(m), 'match', m))",
+            )
+
+        return (
+            f"CASE WHEN size({matches}) > 0 THEN {let_sql(f'split({text}, {quoted}, -1)', place)}"
+            " ELSE cast(array() AS array<struct<start:int,end:int,match:string>>) END"
+        )
+
+    quoted = f"r'{pattern}'"
+    return let_sql(f"regexp_extract_all({text}, {quoted}, 0)", locate)
+
+
+def match_spans(text: str, pattern: str) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<start,end,match>>``.
 
     Offsets are half-open and count code points.  The matches and the pieces
     between them alternate, so their lengths add up to the offsets.
     ``pattern`` must not match the empty string.
     """
-    text = _col(text)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.expr(match_spans_sql(text, pattern))
 
-    def locate(matches: Column) -> Column:
-        def place(gaps: Column) -> Column:
-            lengths = F.transform(
-                matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)
-            )
-            return let(
-                running(lengths, F.lit(0), lambda a, b: a + b),
-                lambda before: F.transform(
-                    matches,
-                    lambda m, i: F.struct(
-                        (F.get(before, i) + F.length(F.get(gaps, i))).alias("start"),
-                        (
-                            F.get(before, i) + F.length(F.get(gaps, i)) + F.length(m)
-                        ).alias("end"),
-                        m.alias("match"),
-                    ),
-                ),
-            )
 
-        return F.when(
-            F.size(matches) > 0, let(F.split(text, pattern, -1), place)
-        ).otherwise(empty)
+_NONE = f"cast(array() AS {TEXT_DETECTIONS})"
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), locate)
 
+def _guarded(condition: str, detections: str) -> str:
+    return f"CASE WHEN {condition} THEN {detections} ELSE {_NONE} END"
 
-def _typed(spans: Column, detection_type: str) -> Column:
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            F.lit(detection_type).alias("detection_type"),
-            F.lit(1.0).alias("confidence"),
-        ),
+
+def _typed(spans: str, kind: str) -> str:
+    return (
+        f"transform({spans}, s -> named_struct('start', s.start, 'end', s.end,"
+        f" 'detection_type', '{kind}', 'confidence', 1.0D))"
     )
 
 
-def find_tckn(text: Column | str) -> Column:
-    """Identity numbers: checksum-valid (1.0) or labelled (0.95)."""
-    text = _col(text)
+def find_tckn_sql(text: str) -> str:
+    s = fresh_name()
+    confidence = (
+        f"CASE WHEN {is_valid_tckn_sql(f'{s}.match')} THEN 1.0D"
+        f" WHEN {has_tckn_context_sql(text, f'{s}.start', f'{s}.end', P.TCKN_CONTEXT_RADIUS)}"
+        " THEN 0.95D END"
+    )
+    scored = (
+        f"filter(transform({match_spans_sql(text, P.TCKN_CANDIDATE)}, {s} -> named_struct("
+        f"'start', {s}.start, 'end', {s}.end, 'detection_type', 'tckn',"
+        f" 'confidence', {confidence})), d -> d.confidence IS NOT NULL)"
+    )
+    return _guarded(f"{text} RLIKE r'{P.TCKN_GUARD}'", scored)
 
-    def score(span: Column) -> Column:
-        confidence = F.when(is_valid_tckn(span["match"]), F.lit(1.0)).when(
-            has_tckn_context(text, span["start"], span["end"]), F.lit(0.95)
-        )
-        return F.struct(
-            span["start"].alias("start"),
-            span["end"].alias("end"),
-            F.lit("tckn").alias("detection_type"),
-            confidence.alias("confidence"),
-        )
 
-    scored = F.filter(
-        F.transform(match_spans(text, P.TCKN_CANDIDATE), score),
-        lambda d: d["confidence"].isNotNull(),
+def find_phones_sql(text: str) -> str:
+    return _guarded(
+        f"{text} RLIKE r'{P.PHONE_GUARD}'", _typed(match_spans_sql(text, P.PHONE), "phone")
     )
-    return F.when(text.rlike(P.TCKN_GUARD), scored).otherwise(no_detections())
 
 
-def find_phones(text: Column | str) -> Column:
-    text = _col(text)
-    return F.when(
-        text.rlike(P.PHONE_GUARD), _typed(match_spans(text, P.PHONE), "phone")
-    ).otherwise(no_detections())
+def find_emails_sql(text: str) -> str:
+    return _guarded(
+        f"contains({text}, '@')", _typed(match_spans_sql(text, P.EMAIL), "email")
+    )
 
 
-def find_emails(text: Column | str) -> Column:
-    text = _col(text)
-    return F.when(
-        text.contains("@"), _typed(match_spans(text, P.EMAIL), "email")
-    ).otherwise(no_detections())
+def find_structured_sql(text: str) -> str:
+    return let_sql(
+        text,
+        lambda t: f"array_sort(concat({find_tckn_sql(t)}, {find_phones_sql(t)}, {find_emails_sql(t)}))",
+    )
 
 
-def find_structured(text: Column | str) -> Column:
+def find_tckn(text: str) -> Column:
+    """Identity numbers: checksum-valid (1.0) or labelled (0.95)."""
+    return F.expr(let_sql(text, find_tckn_sql))
+
+
+def find_phones(text: str) -> Column:
+    return F.expr(let_sql(text, find_phones_sql))
+
+
+def find_emails(text: str) -> Column:
+    return F.expr(let_sql(text, find_emails_sql))
+
+
+def find_structured(text: str) -> Column:
     """All structured detections ordered by (start, end, type).
 
     Within one type matches never overlap, so no duplicates can arise here.
     """
-    return F.array_sort(
-        F.concat(find_tckn(text), find_phones(text), find_emails(text))
-    )
+    return F.expr(find_structured_sql(text))
 
 
 def dedupe_detections(detections: Column | str) -> Column:
     """One detection per (type, start, end) with the highest confidence."""
-    return F.array_sort(
-        distinct_by(
+
+    def survivors(ordered: Column) -> Column:
+        def first(d: Column, i: Column) -> Column:
+            before = F.get(ordered, i - 1)
+            same = (
+                (before["start"] == d["start"])
+                & (before["end"] == d["end"])
+                & (before["detection_type"] == d["detection_type"])
+            )
+            return (i == 0) | ~same
+
+        return F.filter(ordered, first)
+
+    # best score first among equals, then compared with the neighbour only
+    ranked = F.array_sort(
+        F.transform(
             _col(detections),
-            key=lambda d: F.struct(d["start"], d["end"], d["detection_type"]),
-            order=lambda d: -d["confidence"],
+            lambda d: F.struct(
+                d["start"].alias("start"),
+                d["end"].alias("end"),
+                d["detection_type"].alias("detection_type"),
+                (-d["confidence"]).alias("confidence"),
+            ),
         )
     )
+    return F.transform(
+        let(ranked, survivors),
+        lambda d: F.struct(
+            d["start"].alias("start"),
+            d["end"].alias("end"),
+            d["detection_type"].alias("detection_type"),
+            (-d["confidence"]).alias("confidence"),
+        ),
+    )
 
 
-def find_pii(text: Column | str, semantic: Column | None = None) -> Column:
+def find_pii(text: str, semantic: Column | None = None) -> Column:
     """Structured detections, joined with plug-in detections where given."""
     structured = find_structured(text)
     if semantic is None:
@@ -207,59 +247,53 @@ def find_pii(text: Column | str, semantic: Column | None = None) -> Column:
 # --- redaction --------------------------------------------------------------
 
 
-def merge_spans(detections: Column | str) -> Column:
-    """Physical spans: overlapping or touching detections become one."""
-    empty = F.array().cast(f"array<{SPAN}>")
+def merge_spans_sql(detections: str) -> str:
+    ordered = (
+        f"array_sort(transform({detections}, d -> named_struct('start', d.start, 'end', d.end)))"
+    )
 
-    def islands(spans: Column) -> Column:
-        ends = F.transform(spans, lambda s: s["end"])
+    def islands(spans: str) -> str:
+        ends = f"transform({spans}, s -> s.end)"
 
-        def build(before: Column) -> Column:
-            heads = F.filter(
-                indexes(spans), lambda i: F.get(spans, i)["start"] > F.get(before, i)
+        def build(before: str) -> str:
+            heads = (
+                f"filter(sequence(0, size({spans}) - 1),"
+                f" i -> {spans}[i].start > {before}[i])"
             )
-            return let(
+            return let_sql(
                 heads,
-                lambda h: F.transform(
-                    h,
-                    lambda first, k: F.struct(
-                        F.get(spans, first)["start"].alias("start"),
-                        F.coalesce(
-                            F.get(before, F.get(h, k + 1)), F.array_max(ends)
-                        ).alias("end"),
-                    ),
-                ),
+                lambda h: f"transform({h}, (first, k) -> named_struct("
+                f"'start', {spans}[first].start,"
+                f" 'end', coalesce(get({before}, get({h}, k + 1)), array_max({ends}))))",
             )
 
-        return F.when(
-            F.size(spans) > 0, let(running(ends, F.lit(-1), lambda a, b: F.greatest(a, b)), build)
-        ).otherwise(empty)
+        runs = let_sql(running_sql(ends, "-1", lambda a, b: f"greatest({a}, {b})"), build)
+        return f"CASE WHEN size({spans}) > 0 THEN {runs} ELSE cast(array() AS array<{SPAN}>) END"
 
-    ordered = F.array_sort(
-        F.transform(
-            _col(detections),
-            lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end")),
-        )
-    )
-    return let(ordered, islands)
+    return let_sql(ordered, islands)
 
 
-def redact_text(text: Column | str, detections: Column | str) -> Column:
-    """Replace every merged span by the redaction token."""
-    text = _col(text)
+def merge_spans(detections: str) -> Column:
+    """Physical spans: overlapping or touching detections become one."""
+    return F.expr(merge_spans_sql(detections))
 
-    def cut(spans: Column) -> Column:
-        def piece(span: Column, i: Column) -> Column:
-            begin = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
-            return F.substring(text, begin + 1, span["start"] - begin)
 
-        tail_start = F.element_at(spans, -1)["end"]
-        tail = F.substring(text, tail_start + 1, F.length(text))
-        return F.array_join(
-            F.concat(F.transform(spans, piece), F.array(tail)), REDACTION_TOKEN
+def redact_text_sql(text: str, detections: str) -> str:
+    def cut(spans: str) -> str:
+        begin = f"CASE WHEN i = 0 THEN 0 ELSE {spans}[i - 1].end END"
+        pieces = (
+            f"transform({spans}, (s, i) -> substring({text}, {begin} + 1, s.start - {begin}))"
+        )
+        tail = f"substring({text}, element_at({spans}, -1).end + 1)"
+        return (
+            f"CASE WHEN size({spans}) > 0 THEN"
+            f" array_join(concat({pieces}, array({tail})), '{REDACTION_TOKEN}')"
+            f" ELSE {text} END"
         )
 
-    return let(
-        merge_spans(detections),
-        lambda spans: F.when(F.size(spans) > 0, cut(spans)).otherwise(text),
-    )
+    return let_sql(merge_spans_sql(detections), cut)
+
+
+def redact_text(text: str, detections: str) -> Column:
+    """Replace every merged span by the redaction token."""
+    return F.expr(redact_text_sql(text, detections))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.operators.scan import islands
@@ -13,11 +13,22 @@ from veilspan.schemas import DETECTION_TYPES, detection_type_rows
 
 def explode_detections(df: DataFrame, keys: Sequence[str], detections: str) -> DataFrame:
     """One row per text detection; the matched text itself is never carried."""
-    return df.select(*keys, F.explode(detections).alias("d")).select(
+    return explode_rows(df, keys, F.col(detections)).select(
         *keys, "d.detection_type", "d.start", "d.end", "d.confidence"
     )
 
 
+def explode_rows(df: DataFrame, keys: Sequence[str], array: Column) -> DataFrame:
+    """``keys`` and one element ``d`` per row.
+
+    Spark would guard a plain explode with a filter on the array and move that
+    filter, with a copy of the whole array expression, below the projections
+    that compute it.  The outer form has no such filter, so the array is
+    computed once; the rows of empty arrays are removed afterwards.
+    """
+    return df.select(*keys, F.explode_outer(array).alias("d")).filter(F.col("d").isNotNull())
+
+
 def count_by_type(detections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Detections per type with zeros for absent types.
 
@@ -48,15 +59,11 @@ def count_array_by_type(df: DataFrame, keys: Sequence[str], detections: str) ->
     Each row adds seven small numbers, so the shuffle carries one short record
     per group and task, whatever the number of detections.
     """
-    hits = F.col(detections)
-    wide = df.groupBy(*keys).agg(
-        *(
-            F.sum(
-                F.size(F.filter(hits, lambda d, t=t: d["detection_type"] == t))
-            ).alias(t)
-            for t in DETECTION_TYPES
-        )
-    )
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(detections, lambda d: d["detection_type"] == kind))
+
+    wide = df.groupBy(*keys).agg(*(F.sum(number(t)).alias(t) for t in DETECTION_TYPES))
     pairs = F.array(
         *(F.struct(F.lit(t).alias("detection_type"), F.col(t).alias("n")) for t in DETECTION_TYPES)
     )

@@ -16,14 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
-from veilspan.functions.arrays import distinct_by, indexes, let, running
+from veilspan.functions.arrays import distinct_by, indexes, let, let_sql, running_sql
 from veilspan.functions.boxes import enclosing_bbox, make_bbox
 from veilspan.functions.text import (
-    dedupe_detections,
     find_structured,
+    find_structured_sql,
     no_detections,
     strip,
 )
+from veilspan.operators.detections import explode_rows
 from veilspan.operators.scan import running as running_rows
 from veilspan.operators.scan import with_halo
 from veilspan.schemas import BOX_DETECTIONS
@@ -61,42 +62,41 @@ def no_boxes() -> Column:
     return F.array().cast(BOX_DETECTIONS)
 
 
-def page_text(items: Column | str) -> Column:
+def page_text_sql(items: str) -> str:
+    return rf"array_join(transform({items}, i -> i.text), '\n')"
+
+
+def page_text(items: str) -> Column:
     """The searchable text of a page: its lines joined by newlines."""
-    return F.array_join(F.transform(_col(items), lambda i: i["text"]), "\n")
+    return F.expr(page_text_sql(items))
 
 
-def line_spans(items: Column | str) -> Column:
+def line_spans(items: str) -> Column:
     """Character range of every line inside ``page_text``."""
 
-    def spans(lengths: Column) -> Column:
-        steps = F.transform(lengths, lambda n: n + 1)
-        return let(
-            running(steps, F.lit(0), lambda a, b: a + b),
-            lambda starts: F.transform(
-                lengths,
-                lambda n, i: F.struct(
-                    F.get(starts, i).alias("start"), (F.get(starts, i) + n).alias("end")
-                ),
-            ),
+    def spans(lengths: str) -> str:
+        return let_sql(
+            running_sql(f"transform({lengths}, n -> n + 1)", "0", lambda a, b: f"{a} + {b}"),
+            lambda starts: f"transform({lengths}, (n, i) -> named_struct("
+            f"'start', {starts}[i], 'end', {starts}[i] + n))",
         )
 
-    return let(F.transform(_col(items), lambda i: F.length(i["text"])), spans)
+    return F.expr(let_sql(f"transform({items}, i -> length(i.text))", spans))
 
 
-def map_spans_to_boxes(detections: Column | str, items: Column | str) -> Column:
+def map_spans_to_boxes(detections: Column | str, items: str) -> Column:
     """Text detections of a page as box detections.
 
     A detection covers the lines its span overlaps; its box encloses them and
     its confidence is limited by theirs.  Spans over no line are dropped.
     Detections are visited in the order of ``detections``.
     """
-    detections, items = _col(detections), _col(items)
+    detections, lines = _col(detections), F.col(items)
 
     def one(detection: Column, spans: Column) -> Column:
         hit = F.transform(
             F.filter(
-                F.arrays_zip(items.alias("item"), spans.alias("span")),
+                F.arrays_zip(lines.alias("item"), spans.alias("span")),
                 lambda z: (detection["start"] < z["span"]["end"])
                 & (z["span"]["start"] < detection["end"]),
             ),
@@ -104,12 +104,12 @@ def map_spans_to_boxes(detections: Column | str, items: Column | str) -> Column:
         )
         return let(
             hit,
-            lambda lines: F.struct(
+            lambda covered: F.struct(
                 detection["detection_type"].alias("detection_type"),
-                enclosing_bbox(F.transform(lines, lambda i: i["bbox"])).alias("bbox"),
+                enclosing_bbox(F.transform(covered, lambda i: i["bbox"])).alias("bbox"),
                 F.least(
                     detection["confidence"],
-                    F.array_min(F.transform(lines, lambda i: i["confidence"])),
+                    F.array_min(F.transform(covered, lambda i: i["confidence"])),
                 ).alias("confidence"),
             ),
         )
@@ -186,7 +186,7 @@ def dedupe_box_array(boxes: Column | str) -> Column:
 
 
 def page_text_detections(
-    items: Column | str,
+    items: str,
     semantic: Column | None = None,
     line_semantic: Column | None = None,
 ) -> Column:
@@ -195,15 +195,13 @@ def page_text_detections(
     ``semantic`` holds plug-in detections on the page text, ``line_semantic``
     box detections of the per-line second look.
     """
-    items = _col(items)
+    structured = F.expr(let_sql(page_text_sql(items), find_structured_sql))
     parts = [
-        let(page_text(items), lambda t: map_spans_to_boxes(find_structured(t), items)),
+        let(structured, lambda found: map_spans_to_boxes(found, items)),
         address_blocks(items),
     ]
     if semantic is not None:
-        parts.append(
-            map_spans_to_boxes(F.coalesce(semantic, no_detections()), items)
-        )
+        parts.append(map_spans_to_boxes(F.coalesce(semantic, no_detections()), items))
     if line_semantic is not None:
         parts.append(F.coalesce(line_semantic, no_boxes()))
     return F.when(F.size(items) > 0, dedupe_box_array(F.concat(*parts))).otherwise(
@@ -441,13 +439,14 @@ def structured_in_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
         left.alias("_left"),
         F.concat(left, F.col("body"), right).alias("text"),
     )
-    hits = padded.select(
+    searched = padded.select(
         *keys,
         (F.col("base") - F.length("_left")).alias("_shift"),
         F.length("_left").alias("_low"),
         (F.length("_left") + F.col("body_length")).alias("_high"),
-        F.explode(find_structured("text")).alias("d"),
+        find_structured("text").alias("_found"),
     )
+    hits = explode_rows(searched, [*keys, "_shift", "_low", "_high"], F.col("_found"))
     # hits of the surrounding text belong to other stretches
     return hits.filter(
         (F.col("d.start") >= F.col("_low")) & (F.col("d.end") <= F.col("_high"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import indexes, let
 from veilspan.functions.text import _col, match_spans, strip
+from veilspan.operators.detections import explode_rows
 from veilspan.operators.lines import runs_line_semantics
 from veilspan.schemas import (
     BOX_DETECTIONS,
@@ -154,29 +155,25 @@ def gazetteer_entities(
 
     def grams(spans: Column) -> Column:
         size = F.size(spans)
-        per_length = [
-            F.transform(
-                F.filter(indexes(spans), lambda i, n=n: i + n <= size),
-                lambda i, n=n: F.struct(
+
+        def of_length(n: int) -> Column:
+            return F.transform(
+                F.filter(indexes(spans), lambda i: i + n <= size),
+                lambda i: F.struct(
                     F.get(spans, i)["start"].alias("start"),
                     F.get(spans, i + n - 1)["end"].alias("end"),
                     F.array_join(
-                        F.transform(
-                            F.slice(spans, i + 1, F.lit(n)), lambda s: s["match"]
-                        ),
+                        F.transform(F.slice(spans, i + 1, F.lit(n)), lambda s: s["match"]),
                         " ",
                     ).alias("gram"),
                 ),
             )
-            for n in range(1, max_words + 1)
-        ]
-        return F.concat(*per_length)
 
-    exploded = texts.filter(strip(text) != "").select(
-        *keys, F.explode(let(match_spans(text, WORD), grams)).alias("g")
-    )
+        return F.concat(*(of_length(n) for n in range(1, max_words + 1)))
+
+    exploded = explode_rows(texts, keys, let(match_spans(text, WORD), grams))
     return (
-        exploded.select(*keys, "g.start", "g.end", F.col("g.gram").alias("_gram"))
+        exploded.select(*keys, "d.start", "d.end", F.col("d.gram").alias("_gram"))
         .join(checked, "_gram")
         .drop("_gram")
     )

@@ -19,6 +19,7 @@ from veilspan.operators.boxes import (
     image_detections,
     signature_boxes,
 )
+from veilspan.operators.detections import explode_rows
 from veilspan.operators.lines import page_text_detections
 from veilspan.operators.passes import first_reports, pass_outcomes
 
@@ -36,9 +37,8 @@ def detect_pages(
     ``keys`` may include ``pass_no``, which verifies redacted pages the same
     way.
     """
-    text = pages.select(
-        *keys,
-        F.explode(page_text_detections("items", semantic, line_semantic)).alias("d"),
+    text = explode_rows(
+        pages, keys, page_text_detections("items", semantic, line_semantic)
     ).select(*keys, "d.*")
     faces = face_boxes(raw_faces, keys) if raw_faces is not None else None
     signatures = (

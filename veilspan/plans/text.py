@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.text import find_pii, no_detections, redact_text
+from veilspan.operators.detections import explode_rows
 from veilspan.schemas import DEFAULT_MAX_PASSES
 
 
@@ -32,8 +33,7 @@ def sanitize_texts(
         raise ValueError("max_passes must be at least 1")
 
     def detect(name: str) -> Column:
-        column = F.col(name)
-        return find_pii(column, semantic(column) if semantic else None)
+        return find_pii(name, semantic(F.col(name)) if semantic else None)
 
     work = df.withColumn("_t0", F.col(text)).withColumn("_d0", detect("_t0"))
     for k in range(1, max_passes + 1):
@@ -62,8 +62,19 @@ def sanitize_texts(
 
 def applied_detections(sanitized: DataFrame, keys: list[str]) -> DataFrame:
     """One row per applied detection with the number of its pass (from 1)."""
-    return (
-        sanitized.select(*keys, F.posexplode("detections").alias("_p", "_d"))
-        .select(*keys, (F.col("_p") + 1).alias("pass_no"), F.explode("_d").alias("d"))
-        .select(*keys, "pass_no", "d.detection_type", "d.start", "d.end", "d.confidence")
+    numbered = F.flatten(
+        F.transform(
+            "detections",
+            lambda found, p: F.transform(
+                found, lambda d: F.struct((p + 1).alias("pass_no"), d.alias("hit"))
+            ),
+        )
+    )
+    return explode_rows(sanitized, keys, numbered).select(
+        *keys,
+        "d.pass_no",
+        "d.hit.detection_type",
+        "d.hit.start",
+        "d.hit.end",
+        "d.hit.confidence",
     )

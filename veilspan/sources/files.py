@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import paths as P
 
 # --- fixed values -----------------------------------------------------------
-BYTE_ORDER_MARK = "﻿"
+BYTE_ORDER_MARK = "\ufeff"
 # ----------------------------------------------------------------------------
 
 
