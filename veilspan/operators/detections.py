@@ -18,6 +18,17 @@ def explode_detections(df: DataFrame, keys: Sequence[str], detections: str) -> D
     )
 
 
+def add_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters cannot make Spark compute again.
+
+    A filter on a computed column is moved below the projection that computes
+    it, with a copy of the expression; over a chain of such columns the copies
+    multiply.  A generator keeps filters on its output where they are.
+    """
+    named = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select("*", F.inline_outer(F.array(named)))
+
+
 def explode_rows(df: DataFrame, keys: Sequence[str], array: Column) -> DataFrame:
     """``keys`` and one element ``d`` per row.
 

@@ -29,6 +29,9 @@ from veilspan.operators.scan import running as running_rows
 from veilspan.operators.scan import with_halo
 from veilspan.schemas import BOX_DETECTIONS
 
+# Lines of one page that are gathered into a row at most.
+MAX_PAGE_LINES = 20_000
+
 # --- predicates -------------------------------------------------------------
 
 
@@ -209,20 +212,25 @@ def page_text_detections(
     )
 
 
-def pages_from_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gather a line table into page rows.
+def pages_from_lines(
+    lines: DataFrame, keys: Sequence[str], max_lines: int = MAX_PAGE_LINES
+) -> tuple[DataFrame, DataFrame]:
+    """Page rows of a line table, and the lines of pages too large for a row.
 
-    Meant for pages as they come from one image, whose lines fit in a row; for
-    tables with larger groups use the line-table operators below.
+    The size of every page is counted before anything is gathered, so no task
+    collects more than ``max_lines`` lines.  The rest goes through the
+    line-table operators below, which give the same results.
     """
-    return lines.groupBy(*keys).agg(
+    keys = list(keys)
+    large = lines.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_lines)
+    small = lines.join(large, keys, "left_anti")
+    pages = small.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(
-                F.collect_list(F.struct("line_no", "text", "bbox", "confidence"))
-            ),
+            F.array_sort(F.collect_list(F.struct("line_no", "text", "bbox", "confidence"))),
             lambda l: F.struct(l["text"], l["bbox"], l["confidence"]),
         ).alias("items")
     )
+    return pages, lines.join(large, keys, "left_semi")
 
 
 def lines_from_pages(pages: DataFrame, keys: Sequence[str], items: str = "items") -> DataFrame:
@@ -459,8 +467,20 @@ def structured_in_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def text_detections_in_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Structured hits and address blocks of a line table as box detections."""
+def text_detections_in_lines(
+    lines: DataFrame, keys: Sequence[str], max_lines: int = MAX_PAGE_LINES
+) -> DataFrame:
+    """Structured hits and address blocks of a line table as box detections.
+
+    Ordinary pages are handled row by row, huge ones in distributed pieces.
+    """
+    pages, large = pages_from_lines(lines, keys, max_lines)
+    found = explode_rows(pages, keys, page_text_detections("items")).select(*keys, "d.*")
+    return found.unionByName(text_detections_in_pieces(large, keys))
+
+
+def text_detections_in_pieces(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same without ever gathering a page."""
     keys = list(keys)
     columns = [*keys, "detection_type", "bbox", "confidence"]
     mapped = join_spans_to_lines(
@@ -472,5 +492,3 @@ def text_detections_in_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame
     return found.groupBy(*keys, "detection_type", "bbox").agg(
         F.max("confidence").alias("confidence")
     )
-
-

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspan.functions import paths as P
+from veilspan.operators.detections import add_once
 from veilspan.schemas import MANIFEST_JSON
 
 # --- fixed values -----------------------------------------------------------
@@ -14,8 +16,12 @@ MANIFEST_VERSION = 1
 
 
 def parse_manifests(df: DataFrame, json: str = "json") -> DataFrame:
-    """Add ``manifest``; null where the text is not a JSON object."""
-    return df.withColumn("manifest", F.from_json(json, MANIFEST_JSON))
+    """Add ``manifest``; null where the text is not a JSON object of its shape."""
+    schema = T.StructType([*MANIFEST_JSON.fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json(json, schema, {"columnNameOfCorruptRecord": "_bad"})
+    whole = add_once(df, _parsed=parsed)
+    usable = F.when(F.col("_parsed._bad").isNull(), F.col("_parsed"))
+    return add_once(whole, manifest=usable).drop("_parsed")
 
 
 def normalized_path(path: Column | str) -> Column:

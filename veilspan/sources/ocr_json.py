@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from veilspan.functions.boxes import bbox_is_valid, confidence_is_valid, make_bbox
 from veilspan.functions.text import strip
+from veilspan.operators.detections import add_once
 from veilspan.schemas import LINE_ITEMS, OCR_JSON
 
 
@@ -17,10 +18,19 @@ def parse_ocr_results(df: DataFrame, json: str = "json") -> tuple[DataFrame, Dat
     The arrays of texts, scores and boxes may sit at the top or under ``res``.
     Blank texts are skipped; other rows of a bad page are not used either.
     """
-    nested = T.StructType([*OCR_JSON.fields, T.StructField("res", OCR_JSON)])
-    parsed = df.withColumn("_root", F.from_json(json, nested)).withColumn(
-        "_p",
-        F.when(F.col("_root.res").isNotNull(), F.col("_root.res")).otherwise(
+    nested = T.StructType(
+        [
+            *OCR_JSON.fields,
+            T.StructField("res", OCR_JSON),
+            T.StructField("_bad", T.StringType()),
+        ]
+    )
+    root = add_once(
+        df, _root=F.from_json(json, nested, {"columnNameOfCorruptRecord": "_bad"})
+    )
+    parsed = add_once(
+        root,
+        _p=F.when(F.col("_root.res").isNotNull(), F.col("_root.res")).otherwise(
             F.struct("_root.rec_texts", "_root.rec_scores", "_root.rec_boxes")
         ),
     )
@@ -43,7 +53,7 @@ def parse_ocr_results(df: DataFrame, json: str = "json") -> tuple[DataFrame, Dat
         ),
         lambda z: z["text"] != "",
     )
-    staged = parsed.withColumn("_used", used)
+    staged = add_once(parsed, _used=used)
     items = F.transform(
         "_used",
         lambda z: F.struct(
@@ -53,7 +63,7 @@ def parse_ocr_results(df: DataFrame, json: str = "json") -> tuple[DataFrame, Dat
         ),
     ).cast(LINE_ITEMS)
     error = (
-        F.when(F.col("_root").isNull(), "not valid JSON")
+        F.when(F.col("_root").isNull() | F.col("_root._bad").isNotNull(), "not valid JSON")
         .when((sizes[0] != sizes[1]) | (sizes[0] != sizes[2]), "arrays differ in length")
         .when(F.exists("_used", lambda z: F.coalesce(F.size(z["box"]), F.lit(0)) != 4), "bad box shape")
         .when(F.exists("items", lambda i: ~bbox_is_valid(i["bbox"])), "invalid box")
@@ -62,7 +72,7 @@ def parse_ocr_results(df: DataFrame, json: str = "json") -> tuple[DataFrame, Dat
             "invalid confidence",
         )
     )
-    checked = staged.withColumn("items", items).withColumn("error", error)
+    checked = add_once(add_once(staged, items=items), error=error)
     keep = [c for c in df.columns if c != json]
     good = checked.filter(F.col("error").isNull()).select(*keep, "items")
     bad = checked.filter(F.col("error").isNotNull()).select(*keep, "error")

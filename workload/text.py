@@ -107,24 +107,45 @@ def structured_spans(spark, sf):
     return _spans(texts(spark, sf).withColumn("found", find_structured("text")))
 
 
-def web_page_spans(spark, sf):
-    pages = load_table(spark, sf, "pages", spread=True).select(
-        F.col("page_id").alias("doc_id"), "html"
+def redacted_web_pages(spark, sf):
+    pages = load_table(spark, sf, "pages", spread=True).select("page_id", "html")
+    found = pages.withColumn("found", find_structured("html"))
+    return found.select(
+        "page_id",
+        redact_text("html", "found").alias("html"),
+        F.size("found").cast("long").alias("n"),
     )
-    return _spans(pages.withColumn("found", find_structured("html")))
 
 
-WEB_PAGES = "(SELECT page_id AS doc_id, html AS text FROM pages) AS web"
+def redacted_turns(spark, sf):
+    """Each turn is followed by the card of the customer with its conversation's number."""
+    turns = load_table(spark, sf, "conversations", spread=True)
+    joined = turns.join(cards(spark, sf).withColumnRenamed("text", "card"), turns.conv_id == F.col("doc_id"))
+    found = joined.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"),
+        F.concat("text", F.lit(" "), "card").alias("text"),
+    ).withColumn("found", find_structured("text"))
+    return found.select(
+        "turn_id",
+        redact_text("text", "found").alias("text"),
+        F.size("found").cast("long").alias("n"),
+    )
 
 
-def conversation_spans(spark, sf):
-    turns = load_table(spark, sf, "conversations", spread=True).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"
-    )
-    return _spans(turns.withColumn("found", find_structured("text")))
+WEB_PAGES = "(SELECT page_id AS doc_id, html AS text FROM pages) AS web"
+TURNS = (
+    "(SELECT c.conv_id * 1000 + c.turn AS doc_id, concat(c.text, ' ', k.text) AS text"
+    f" FROM conversations AS c JOIN (SELECT * FROM {CARDS.sql()}) AS k ON c.conv_id = k.doc_id) AS turns"
+)
 
 
-TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations) AS turns"
+def _redacted_count_sql(source: str, key: str, text: str) -> str:
+    return f"""
+    WITH src AS MATERIALIZED (SELECT * FROM {source}),
+    hits AS MATERIALIZED (SELECT * FROM {detections_sql("src")} AS x),
+    n AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id)
+    SELECT r.doc_id AS {key}, r.text AS {text}, coalesce(n.n, 0) AS n
+    FROM {redacted_sql("src", "hits")} AS r LEFT JOIN n ON n.doc_id = r.doc_id"""
 
 
 def number_checks(spark, sf):
@@ -348,14 +369,8 @@ QUERIES = {
         structured_spans,
         f"SELECT {SPAN_COLUMNS} FROM {detections_sql(TEXTS_SQL)} AS d",
     ),
-    "web_page_spans": (
-        web_page_spans,
-        f"SELECT {SPAN_COLUMNS} FROM {detections_sql(WEB_PAGES)} AS d",
-    ),
-    "conversation_spans": (
-        conversation_spans,
-        f"SELECT {SPAN_COLUMNS} FROM {detections_sql(TURNS)} AS d",
-    ),
+    "redacted_web_pages": (redacted_web_pages, _redacted_count_sql(WEB_PAGES, "page_id", "html")),
+    "redacted_turns": (redacted_turns, _redacted_count_sql(TURNS, "turn_id", "text")),
     "number_checks": (number_checks, NUMBER_CHECKS_SQL),
     "deduplicated_spans": (deduplicated_spans, DEDUPED_SQL),
     "deduplicated_rows": (
