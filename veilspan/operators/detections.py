@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.operators.scan import islands
-from veilspan.schemas import DETECTION_TYPES, detection_type_rows
+from veilspan.schemas import DETECTION_TYPES
 
 
 def explode_detections(df: DataFrame, keys: Sequence[str], detections: str) -> DataFrame:
@@ -40,28 +40,23 @@ def explode_rows(df: DataFrame, keys: Sequence[str], array: Column) -> DataFrame
     return df.select(*keys, F.explode_outer(array).alias("d")).filter(F.col("d").isNotNull())
 
 
+def _by_type(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Seven counters per row as seven rows."""
+    pairs = F.array(
+        *(F.struct(F.lit(t).alias("detection_type"), F.col(t).alias("n")) for t in DETECTION_TYPES)
+    )
+    return wide.select(*keys, F.inline(pairs))
+
+
 def count_by_type(detections: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Detections per type with zeros for absent types.
+    """Detections per type with zeros for absent types, in one aggregation.
 
-    Only the groups that occur are known from ``detections``; every one of them
-    gets all seven types.  The type dimension has a fixed seven rows.
+    Without ``keys`` there are seven rows even for an empty input.
     """
-    keys = list(keys)
-    counted = detections.groupBy(*keys, "detection_type").agg(F.count("*").alias("n"))
-    types = detection_type_rows(detections.sparkSession).select("detection_type")
-    if not keys:
-        frame = types
-    else:
-        frame = (
-            counted.select(*keys)
-            .distinct()
-            .withColumn(
-                "detection_type", F.explode(F.array(*map(F.lit, DETECTION_TYPES)))
-            )
-        )
-    return frame.join(counted, [*keys, "detection_type"], "left").select(
-        *keys, "detection_type", F.coalesce("n", F.lit(0)).alias("n")
+    wide = detections.groupBy(*keys).agg(
+        *(F.count_if(F.col("detection_type") == t).alias(t) for t in DETECTION_TYPES)
     )
+    return _by_type(wide, keys)
 
 
 def count_array_by_type(df: DataFrame, keys: Sequence[str], detections: str) -> DataFrame:
@@ -75,10 +70,7 @@ def count_array_by_type(df: DataFrame, keys: Sequence[str], detections: str) ->
         return F.size(F.filter(detections, lambda d: d["detection_type"] == kind))
 
     wide = df.groupBy(*keys).agg(*(F.sum(number(t)).alias(t) for t in DETECTION_TYPES))
-    pairs = F.array(
-        *(F.struct(F.lit(t).alias("detection_type"), F.col(t).alias("n")) for t in DETECTION_TYPES)
-    )
-    return wide.select(*keys, F.inline(pairs))
+    return _by_type(wide, keys)
 
 
 def missing_types(counts: DataFrame, expected: Sequence[str]) -> DataFrame:

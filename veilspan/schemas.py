@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
@@ -91,10 +90,3 @@ MANIFEST_JSON = T.StructType(
     ]
 )
 
-
-def detection_type_rows(spark: SparkSession) -> DataFrame:
-    """The seven-row type dimension; its size is fixed, so it may be broadcast."""
-    return spark.createDataFrame(
-        [(name, rank) for rank, name in enumerate(DETECTION_TYPES)],
-        "detection_type string, type_rank int",
-    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import paths as P
+from veilspan.schemas import MAX_IMAGE_PIXELS, MAX_UPLOAD_BYTES
 
 # --- fixed values -----------------------------------------------------------
 BYTE_ORDER_MARK = "\ufeff"
@@ -88,7 +89,11 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def validate_uploads(uploads: DataFrame) -> DataFrame:
+def validate_uploads(
+    uploads: DataFrame,
+    max_bytes: int = MAX_UPLOAD_BYTES,
+    max_pixels: int = MAX_IMAGE_PIXELS,
+) -> DataFrame:
     """Add ``accepted`` and ``reject_reason``.
 
     ``uploads`` has ``content`` and ``media_type``, and ``image_width`` and
@@ -101,6 +106,8 @@ def validate_uploads(uploads: DataFrame) -> DataFrame:
         "media_type",
         F.coalesce(size["width"], F.col("image_width")),
         F.coalesce(size["height"], F.col("image_height")),
+        max_bytes,
+        max_pixels,
     )
     return uploads.withColumn("reject_reason", reason).withColumn(
         "accepted", F.col("reject_reason").isNull()

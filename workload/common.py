@@ -19,18 +19,19 @@ class Derived:
 
     table: str
     steps: tuple[tuple[str, ...], ...]
+    where: str | None = None
 
     def df(self, spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
         result = load_table(spark, sf, self.table, spread)
         for step in self.steps:
             result = result.selectExpr(*step)
-        return result
+        return result if self.where is None else result.filter(self.where)
 
     def sql(self) -> str:
         query = self.table
         for i, step in enumerate(self.steps):
             query = f"(SELECT {', '.join(step)} FROM {query}) AS s{i}"
-        return query
+        return query if self.where is None else f"(SELECT * FROM {query} WHERE {self.where}) AS w"
 
 
 # Contact cards: a name, an identity number (every third with a wrong checksum,
