@@ -25,8 +25,8 @@ from veilspan.functions.text import (
     strip,
 )
 from veilspan.operators.detections import explode_rows
+from veilspan.operators.scan import CHUNK, with_halo
 from veilspan.operators.scan import running as running_rows
-from veilspan.operators.scan import with_halo
 from veilspan.schemas import BOX_DETECTIONS
 
 # Lines of one page that are gathered into a row at most.
@@ -242,10 +242,10 @@ def lines_from_pages(pages: DataFrame, keys: Sequence[str], items: str = "items"
 # --- line tables ------------------------------------------------------------
 
 
-def line_offsets(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def line_offsets(lines: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """Add ``start`` and ``end`` of every line inside its page text."""
     return running_rows(
-        lines, keys, "line_no", {"start": ("sum", F.length("text").cast("long") + 1)}
+        lines, keys, "line_no", {"start": ("sum", F.length("text").cast("long") + 1)}, chunk
     ).withColumn("end", F.col("start") + F.length("text"))
 
 
@@ -309,11 +309,12 @@ def address_lines(
     keys: Sequence[str],
     following: int = P.ADDRESS_FOLLOWING_LINES,
     gap_ratio: float = P.ADDRESS_GAP_RATIO,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Lines of address blocks; looks at ``following`` lines above each line."""
     keys = list(keys)
     # two halo steps: the oldest line looked at needs its own predecessor
-    spread = with_halo(lines, "line_no", before=following + 1)
+    spread = with_halo(lines, "line_no", before=following + 1, chunk=chunk)
     order = W.partitionBy(*keys, "_chunk").orderBy("line_no")
     above = F.lag("bbox").over(order)
     marked = spread.withColumn("_above", above).withColumn(
@@ -350,7 +351,7 @@ def _first_char(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, rf"(?U)^{P.SEPARATOR}+", ""), 1, 1)
 
 
-def line_stretches(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def line_stretches(lines: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
     """Cut pages at line ends that no structured hit can cross.
 
     A hit that runs over a line end consists of digits, brackets and separators
@@ -360,7 +361,7 @@ def line_stretches(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     joins = r"(?U)^[\d()+]?$"
-    spread = with_halo(lines, "line_no", before=1)
+    spread = with_halo(lines, "line_no", before=1, chunk=chunk)
     previous = F.lag("text").over(W.partitionBy(*keys, "_chunk").orderBy("line_no"))
     flagged = (
         spread.withColumn("_previous", previous)
@@ -386,6 +387,7 @@ def line_stretches(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
             "start": ("sum", F.length("text").cast("long") + 1),
             "_earlier": ("max", F.col("_head")),
         },
+        chunk,
     )
     return (
         scanned.withColumn("stretch", F.coalesce("_head", "_earlier"))
@@ -394,7 +396,9 @@ def line_stretches(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def structured_in_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+def structured_in_lines(
+    lines: DataFrame, keys: Sequence[str], chunk: int = CHUNK
+) -> DataFrame:
     """Structured hits over a line table, offsets counted in the page text.
 
     Equal to searching the joined page, but no page is ever gathered: lines are
@@ -405,8 +409,8 @@ def structured_in_lines(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     radius = P.TCKN_CONTEXT_RADIUS
     # a line has at least one character, so with its newline it covers two
     reach = radius // 2
-    stretched = line_stretches(lines, keys)
-    spread = with_halo(stretched, "line_no", before=reach, after=reach)
+    stretched = line_stretches(lines, keys, chunk)
+    spread = with_halo(stretched, "line_no", before=reach, after=reach, chunk=chunk)
     order = W.partitionBy(*keys, "_chunk").orderBy("line_no")
     around = spread.select(
         *keys,

@@ -80,6 +80,8 @@ def with_halo(
     partitioned by the group and ``_chunk`` then see up to ``before`` rows
     ahead of and ``after`` rows behind each own row.  Keep ``_own`` rows only.
     """
+    if chunk < max(before, after):
+        raise ValueError("a chunk must be at least as long as its halo")
     position = F.col(order)
     home = F.floor(position / chunk)
     offset = F.pmod(position, F.lit(chunk))
