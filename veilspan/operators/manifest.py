@@ -112,45 +112,45 @@ def manifest_violations(parsed: DataFrame, key: str) -> DataFrame:
         ),
         rule(_empty(F.col("manifest.models")), F.lit("models"), "empty_list"),
     )
-    models = parsed.select(key, F.posexplode("manifest.models").alias("i", "m"))
-    model_at = ("models[", F.col("i"), "]")
+    models = parsed.select(key, F.posexplode("manifest.models").alias("_i", "_m"))
+    model_at = ("models[", F.col("_i"), "]")
     model_rules = [
-        rule(_blank(F.col(f"m.{name}")), at(*model_at, f".{name}"), "blank")
+        rule(_blank(F.col(f"_m.{name}")), at(*model_at, f".{name}"), "blank")
         for name in ("id", "name", "provider", "license")
     ]
     model_rows = report(
         models,
         *model_rules,
         rule(
-            ~P.is_safe_relative_path("m.target_directory"),
+            ~P.is_safe_relative_path("_m.target_directory"),
             at(*model_at, ".target_directory"),
             "unsafe_path",
         ),
-        rule(_empty(F.col("m.sources")), at(*model_at, ".sources"), "empty_list"),
+        rule(_empty(F.col("_m.sources")), at(*model_at, ".sources"), "empty_list"),
     )
-    sources = models.select(key, "i", F.posexplode("m.sources").alias("j", "s"))
-    source_at = (*model_at, ".sources[", F.col("j"), "]")
+    sources = models.select(key, "_i", F.posexplode("_m.sources").alias("_j", "_s"))
+    source_at = (*model_at, ".sources[", F.col("_j"), "]")
     source_rows = report(
         sources,
         rule(
-            ~F.coalesce(F.trim("s.repo_id").rlike(P.REPOSITORY), F.lit(False)),
+            ~F.coalesce(F.trim("_s.repo_id").rlike(P.REPOSITORY), F.lit(False)),
             at(*source_at, ".repo_id"),
             "bad_repository",
         ),
-        rule(_fails(F.col("s.revision"), P.REVISION), at(*source_at, ".revision"), "bad_revision"),
-        rule(_empty(F.col("s.files")), at(*source_at, ".files"), "empty_list"),
+        rule(_fails(F.col("_s.revision"), P.REVISION), at(*source_at, ".revision"), "bad_revision"),
+        rule(_empty(F.col("_s.files")), at(*source_at, ".files"), "empty_list"),
     )
-    files = sources.select(key, "i", "j", F.posexplode("s.files").alias("k", "f"))
-    file_at = (*source_at, ".files[", F.col("k"), "]")
+    files = sources.select(key, "_i", "_j", F.posexplode("_s.files").alias("_k", "_f"))
+    file_at = (*source_at, ".files[", F.col("_k"), "]")
     file_rows = report(
         files,
         rule(
-            ~P.is_safe_relative_path("f.path"), at(*file_at, ".path"), "unsafe_path"
+            ~P.is_safe_relative_path("_f.path"), at(*file_at, ".path"), "unsafe_path"
         ),
         rule(
-            ~F.coalesce(F.col("f.size") > 0, F.lit(False)), at(*file_at, ".size"), "bad_size"
+            ~F.coalesce(F.col("_f.size") > 0, F.lit(False)), at(*file_at, ".size"), "bad_size"
         ),
-        rule(_fails(F.col("f.sha256"), P.SHA256), at(*file_at, ".sha256"), "bad_digest"),
+        rule(_fails(F.col("_f.sha256"), P.SHA256), at(*file_at, ".sha256"), "bad_digest"),
     )
     flat = manifest_models(parsed, key)
 
