@@ -82,8 +82,8 @@ def python_merge(boxes, threshold):
     return sorted(out)
 
 
-@pytest.mark.parametrize("threshold", [0.35, 0.5])
-def test_greedy_merge_random(spark, threshold):
+@pytest.mark.parametrize("threshold, limit", [(0.35, 1000), (0.35, 5), (0.5, 0)])
+def test_greedy_merge_random(spark, threshold, limit):
     rng = random.Random(9)
     pages = {}
     for page in range(60):
@@ -95,7 +95,7 @@ def test_greedy_merge_random(spark, threshold):
     rows = [(p, 1, c, i, b) for p, boxes in pages.items() for c, i, b in boxes]
     df = spark.createDataFrame(rows, f"doc_id int, page_no int, confidence double, idx long, bbox {BOX}")
     got = {p: [] for p in pages}
-    for r in O.merge_boxes(df, PAGE, threshold, "face").collect():
+    for r in O.merge_boxes(df, PAGE, threshold, "face", limit).collect():
         got[r.doc_id].append((r.confidence, tuple(r.bbox)))
     for page, boxes in pages.items():
         assert sorted(got[page]) == python_merge(boxes, threshold)

@@ -92,6 +92,20 @@ def test_span_to_boxes(spark):
     assert got["b"] == ("phone", (5, 10, 69, 55), 0.5)
 
 
+def test_many_lines_and_hits_in_one_page(spark):
+    """More lines than one block; the join of tables is the model."""
+    rng = random.Random(6)
+    rows = line_rows("a", [rng.choice(["0532 123", "45 67 x", "y", "a@b.de", NUMBER]) for _ in range(700)])
+    df = lines_df(spark, rows)
+    pages, _ = L.pages_from_lines(df, PAGE)
+    found = pages.withColumn("text", L.page_text("items")).withColumn("f", find_structured("text"))
+    boxes = explode_rows(found, PAGE, L.map_spans_to_boxes("f", "items")).select(*PAGE, "d.*")
+    joined = L.join_spans_to_lines(L.structured_in_lines(df, PAGE), L.line_offsets(df, PAGE), PAGE)
+    columns = ["detection_type", "bbox", "confidence"]
+    got = sorted(map(tuple, boxes.select(*columns).collect()))
+    assert got == sorted(map(tuple, joined.select(*columns).collect())) and len(got) > 300
+
+
 @pytest.mark.parametrize("chunk", [20, 4096])
 def test_lines_equal_joined_page(spark, chunk):
     """Searching stretches gives the hits of the joined text, labels included."""

@@ -17,8 +17,12 @@ from veilspan.functions.boxes import (
     greedy_merge,
     rotate_bbox_back,
 )
+from veilspan.operators.detections import explode_rows
 from veilspan.operators.scan import dense_position, islands
 
+# Boxes of one image that are folded together without cutting it first.
+MAX_FOLDED_BOXES = 2_000
+
 
 def top_boxes(raw: DataFrame, keys: Sequence[str], k: int = S.FACE_TOP_K) -> DataFrame:
     """The ``k`` best-scored boxes per image and rotation, as the detector keeps.
@@ -87,34 +91,45 @@ def signature_boxes(
 
 
 def merge_boxes(
-    boxes: DataFrame, keys: Sequence[str], iou: float, detection_type: str
+    boxes: DataFrame,
+    keys: Sequence[str],
+    iou: float,
+    detection_type: str,
+    max_boxes: int = MAX_FOLDED_BOXES,
 ) -> DataFrame:
     """Greedy overlap merge per image.
 
     The merge depends on its order and must see all boxes that may influence
-    each other.  Boxes in bands of the image that nothing spans cannot, so an
-    image is first cut into such bands and each band is folded on its own.
+    each other, so an image is folded in one row.  Images with more than
+    ``max_boxes`` boxes are first cut into bands that no box spans: boxes of
+    different bands never influence each other, so the result is the same.
     """
     keys = list(keys)
+    large = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_boxes)
+
+    def fold(df: DataFrame, groups: list[str]) -> DataFrame:
+        merged = df.groupBy(*groups).agg(
+            greedy_merge(F.collect_list(F.struct("confidence", "idx", "bbox")), iou).alias("m")
+        )
+        return explode_rows(merged, keys, F.col("m")).select(
+            *keys,
+            F.lit(detection_type).alias("detection_type"),
+            "d.bbox",
+            "d.confidence",
+        )
+
     banded = islands(
-        boxes.withColumn("_top", F.col("bbox.y1").cast("long")).withColumn(
-            "_bottom", F.col("bbox.y2").cast("long")
-        ),
+        boxes.join(large, keys, "left_semi")
+        .withColumn("_top", F.col("bbox.y1").cast("long"))
+        .withColumn("_bottom", F.col("bbox.y2").cast("long")),
         keys,
         "_top",
         "_bottom",
         "_band",
         touching=False,
     )
-    merged = banded.groupBy(*keys, "_band").agg(
-        greedy_merge(F.collect_list(F.struct("confidence", "idx", "bbox")), iou).alias("m")
-    )
-    return merged.select(*keys, F.explode("m").alias("m")).select(
-        *keys,
-        F.lit(detection_type).alias("detection_type"),
-        "m.bbox",
-        "m.confidence",
-    )
+    whole = fold(boxes.join(large, keys, "left_anti"), keys)
+    return whole.unionByName(fold(banded, [*keys, "_band"]))
 
 
 def image_detections(

@@ -29,6 +29,9 @@ from veilspan.operators.scan import CHUNK, with_halo
 from veilspan.operators.scan import running as running_rows
 from veilspan.schemas import BOX_DETECTIONS
 
+# Lines looked at together when a span is mapped to the lines below it.
+_BLOCK_LINES = 128
+
 # Lines of one page that are gathered into a row at most.
 MAX_PAGE_LINES = 20_000
 
@@ -96,14 +99,38 @@ def map_spans_to_boxes(detections: Column | str, items: str) -> Column:
     """
     detections, lines = _col(detections), F.col(items)
 
-    def one(detection: Column, spans: Column) -> Column:
-        hit = F.transform(
-            F.filter(
-                F.arrays_zip(lines.alias("item"), spans.alias("span")),
-                lambda z: (detection["start"] < z["span"]["end"])
-                & (z["span"]["start"] < detection["end"]),
+    def overlaps(detection: Column, span: Column) -> Column:
+        return (detection["start"] < span["end"]) & (span["start"] < detection["end"])
+
+    def in_blocks(spans: Column) -> Column:
+        """Lines with their spans, in blocks that know the span they cover."""
+        paired = F.arrays_zip(lines.alias("item"), spans.alias("span"))
+        first = F.sequence(
+            F.lit(1), F.greatest(F.size(lines), F.lit(1)), F.lit(_BLOCK_LINES)
+        )
+        return let(
+            paired,
+            lambda rows: F.transform(
+                first,
+                lambda i: let(
+                    F.slice(rows, i, F.lit(_BLOCK_LINES)),
+                    lambda block: F.struct(
+                        F.element_at(block, 1)["span"]["start"].alias("start"),
+                        F.element_at(block, -1)["span"]["end"].alias("end"),
+                        block.alias("rows"),
+                    ),
+                ),
             ),
-            lambda z: z["item"],
+        )
+
+    def one(detection: Column, blocks: Column) -> Column:
+        near = F.flatten(
+            F.transform(
+                F.filter(blocks, lambda b: overlaps(detection, b)), lambda b: b["rows"]
+            )
+        )
+        hit = F.transform(
+            F.filter(near, lambda r: overlaps(detection, r["span"])), lambda r: r["item"]
         )
         return let(
             hit,
@@ -118,11 +145,11 @@ def map_spans_to_boxes(detections: Column | str, items: str) -> Column:
         )
 
     return F.when(
-        F.size(detections) > 0,
+        (F.size(detections) > 0) & (F.size(lines) > 0),
         let(
-            line_spans(items),
-            lambda spans: F.filter(
-                F.transform(detections, lambda d: one(d, spans)),
+            let(line_spans(items), in_blocks),
+            lambda blocks: F.filter(
+                F.transform(detections, lambda d: one(d, blocks)),
                 lambda d: d["bbox"].isNotNull(),
             ),
         ),
@@ -410,7 +437,16 @@ def structured_in_lines(
     # a line has at least one character, so with its newline it covers two
     reach = radius // 2
     stretched = line_stretches(lines, keys, chunk)
-    spread = with_halo(stretched, "line_no", before=reach, after=reach, chunk=chunk)
+    # no more than the last or first letters of a neighbour can matter
+    spread = with_halo(
+        stretched.withColumn("_tail", F.right("text", F.lit(radius))).withColumn(
+            "_start", F.left("text", F.lit(radius))
+        ),
+        "line_no",
+        before=reach,
+        after=reach,
+        chunk=chunk,
+    )
     order = W.partitionBy(*keys, "_chunk").orderBy("line_no")
     around = spread.select(
         *keys,
@@ -420,12 +456,14 @@ def structured_in_lines(
         "text",
         "_own",
         F.array_join(
-            F.collect_list("text").over(order.rowsBetween(-reach, -1)), "\n"
+            F.collect_list("_tail").over(order.rowsBetween(-reach, -1)), "\n"
         ).alias("_before"),
         F.array_join(
-            F.collect_list("text").over(order.rowsBetween(1, reach)), "\n"
+            F.collect_list("_start").over(order.rowsBetween(1, reach)), "\n"
         ).alias("_after"),
-    ).filter("_own")
+    ).filter("_own").withColumn("_before", F.right("_before", F.lit(radius))).withColumn(
+        "_after", F.left("_after", F.lit(radius))
+    )
     gathered = around.groupBy(*keys, "stretch").agg(
         F.min("start").alias("base"),
         F.array_join(
@@ -439,10 +477,10 @@ def structured_in_lines(
         F.max_by("_after", "line_no").alias("_after"),
     )
     left = F.when(
-        F.col("base") > 0, F.concat(F.substring(F.col("_before"), -radius, radius), F.lit("\n"))
+        F.col("base") > 0, F.concat(F.col("_before"), F.lit("\n"))
     ).otherwise(F.lit(""))
     right = F.when(
-        F.col("_after") != "", F.concat(F.lit("\n"), F.substring(F.col("_after"), 1, radius))
+        F.col("_after") != "", F.concat(F.lit("\n"), F.col("_after"))
     ).otherwise(F.lit(""))
     padded = gathered.select(
         *keys,

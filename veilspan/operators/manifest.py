@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import paths as P
-from veilspan.operators.detections import add_once
+from veilspan.operators.detections import add_once, explode_rows
 from veilspan.schemas import MANIFEST_JSON
 
 # --- fixed values -----------------------------------------------------------
@@ -100,7 +100,8 @@ def manifest_violations(parsed: DataFrame, key: str) -> DataFrame:
         return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
     def report(df: DataFrame, *rules: Column) -> DataFrame:
-        return df.select(key, F.inline(F.array_compact(F.array(*rules))))
+        found = explode_rows(df, [key], F.array_compact(F.array(*rules)))
+        return found.select(key, "d.field", "d.rule")
 
     root = report(
         parsed,

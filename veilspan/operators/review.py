@@ -17,6 +17,7 @@ from veilspan.functions.boxes import (
 )
 from veilspan.functions.paths import SHA256
 from veilspan.functions.text import strip
+from veilspan.operators.detections import explode_rows
 
 # --- fixed values -----------------------------------------------------------
 DETECTION_LABELS = {
@@ -105,9 +106,8 @@ def region_violations(regions: DataFrame, plans: DataFrame) -> DataFrame:
         "outside_image": bbox_is_valid("bbox")
         & ~bbox_is_within("bbox", F.col("image_width"), F.col("image_height")),
     }
-    return sized.select(
-        *key, "region_id", F.explode(_broken(rules)).alias("rule")
-    )
+    found = explode_rows(sized, [*key, "region_id"], _broken(rules))
+    return found.withColumnRenamed("d", "rule")
 
 
 def plan_violations(plans: DataFrame) -> DataFrame:
@@ -119,7 +119,8 @@ def plan_violations(plans: DataFrame) -> DataFrame:
         "negative_margin": F.col("redaction_margin") < 0,
         "no_pass_allowed": F.col("max_redaction_passes") < 1,
     }
-    return plans.select("plan_id", "revision", F.explode(_broken(rules)).alias("rule"))
+    found = explode_rows(plans, ["plan_id", "revision"], _broken(rules))
+    return found.withColumnRenamed("d", "rule")
 
 
 def source_mismatches(plans: DataFrame, files: DataFrame) -> DataFrame:

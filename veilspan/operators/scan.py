@@ -38,8 +38,21 @@ def running(
     first row of a group gets 0 for sums and null for maxima.  ``order`` is a
     whole number and unique within a group.
     """
-    keys = list(keys)
     chunked = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    return _running_by_chunk(chunked, list(keys), order, values).drop("_chunk")
+
+
+def _running_by_chunk(
+    chunked: DataFrame,
+    keys: list[str],
+    order: str,
+    values: dict[str, tuple[str, Column]],
+) -> DataFrame:
+    """``running`` over rows that carry their ``_chunk``, which is kept.
+
+    The result stays partitioned by (keys, chunk), so a second scan over it
+    moves no row again.
+    """
     totals = chunked.groupBy(*keys, "_chunk").agg(
         *(_AGGREGATES[how](expr).alias(f"_t_{name}") for name, (how, expr) in values.items())
     )
@@ -68,7 +81,7 @@ def running(
         else:
             combined = F.greatest(F.col(f"_b_{name}"), local)
         joined = joined.withColumn(name, combined)
-    return joined.drop("_chunk", *(f"_b_{name}" for name in values))
+    return joined.drop(*(f"_b_{name}" for name in values))
 
 
 def with_halo(
@@ -126,14 +139,18 @@ def islands(
     where the run ends still belongs to it.
     """
     keys = list(keys)
-    starts = df.groupBy(*keys, low).agg(F.max(high).alias("_reach"))
-    reached = running(starts, keys, low, {"_before": ("max", F.col("_reach"))}, chunk)
+    starts = (
+        df.groupBy(*keys, low)
+        .agg(F.max(high).alias("_reach"))
+        .withColumn("_chunk", F.floor(F.col(low) / chunk))
+    )
+    reached = _running_by_chunk(starts, keys, low, {"_before": ("max", F.col("_reach"))})
     gap = F.col(low) > F.col("_before") if touching else F.col(low) >= F.col("_before")
     heads = reached.withColumn("_head", F.when(F.col("_before").isNull() | gap, F.col(low)))
-    named = running(heads, keys, low, {"_earlier": ("max", F.col("_head"))}, chunk).select(
-        *keys, low, F.coalesce("_head", "_earlier").alias(island)
+    named = _running_by_chunk(heads, keys, low, {"_earlier": ("max", F.col("_head"))})
+    return df.join(
+        named.select(*keys, low, F.coalesce("_head", "_earlier").alias(island)), [*keys, low]
     )
-    return df.join(named, [*keys, low])
 
 
 def dense_position(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilspan.functions.text import (
@@ -18,7 +20,8 @@ from veilspan.functions.text import (
 from veilspan.operators import detections as D
 from veilspan.operators.batch import batch_summary
 from veilspan.plans.text import applied_detections, sanitize_texts
-from veilspan.session import load_table
+from veilspan.session import ensure_checkpoint_dir, load_table
+from veilspan.streaming.text import sanitize_stream, write_stream
 from workload.common import (
     CARDS,
     SPAN_RULES,
@@ -266,10 +269,10 @@ def sanitized_texts(spark, sf):
     )
 
 
-def _passes_sql(select: str) -> str:
+def _passes_sql(select: str, source: str = TEXTS_SQL) -> str:
     """Three passes; ``t0..t3`` hold the texts and ``d0..d3`` the detections."""
     return f"""
-    WITH t0 AS MATERIALIZED (SELECT doc_id, text FROM {TEXTS_SQL}),
+    WITH t0 AS MATERIALIZED (SELECT doc_id, text FROM {source}),
     d0 AS MATERIALIZED (SELECT * FROM {detections_sql("t0")} AS x),
     t1 AS MATERIALIZED (SELECT * FROM {redacted_sql("t0", "d0")} AS x),
     d1 AS MATERIALIZED (SELECT * FROM {detections_sql("t1")} AS x),
@@ -294,6 +297,21 @@ SANITIZED_SQL = _passes_sql(
 )
 
 
+def streamed_texts(spark, sf):
+    """The documents as a stream of files, redacted into the shared folder."""
+    stream = (
+        spark.readStream.schema("doc_id long, text string")
+        .option("pathGlobFilter", "documents.parquet")
+        .parquet(sf)
+    )
+    base = f"{ensure_checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    query = write_stream(sanitize_stream(stream), f"{base}/out", f"{base}/state")
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        "doc_id", "sanitized_text", F.col("redaction_passes").cast("long").alias("redaction_passes"), "status"
+    )
+
+
 def applied_by_pass(spark, sf):
     return (
         applied_detections(_sanitized(spark, sf), ["doc_id"])
@@ -382,6 +400,14 @@ QUERIES = {
     "merged_spans_in_row": (merged_spans_in_row, MERGED_IN_ROW_SQL),
     "redacted_texts": (redacted_texts, REDACTED_SQL),
     "sanitized_texts": (sanitized_texts, SANITIZED_SQL),
+    "streamed_texts": (
+        streamed_texts,
+        _passes_sql(
+            "SELECT doc_id, text AS sanitized_text, redaction_passes,"
+            " CASE WHEN remaining_count = 0 THEN 'passed' ELSE 'review_required' END AS status FROM w",
+            "documents",
+        ),
+    ),
     "applied_by_pass": (applied_by_pass, APPLIED_SQL),
     "text_verification": (text_verification, VERIFICATION_SQL),
     "batch_outcome": (batch_outcome, BATCH_SQL),
