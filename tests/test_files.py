@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import paths as P
 from veilspan.operators import batch, manifest as M
 from veilspan.operators.tree import audit_summary, audit_tree
+from veilspan.plans.batch import sanitize_directory, supported_files
 from veilspan.plans.text import sanitize_texts
 from veilspan.sources import files as S
 
@@ -75,6 +76,20 @@ def test_text_batch(spark, tree, tmp_path):
         S.write_sanitized(done, str(tmp_path / "out"))
 
 
+def test_directory(spark, tree, tmp_path):
+    (tree / "sub" / "b.txt").write_text("same name, other folder")
+    out = str(tmp_path / "done")
+    summary = sanitize_directory(spark, str(tree), out, recursive=True).first()
+    # a.txt twice and b.txt twice: no output may overwrite another
+    assert tuple(summary) == (4, 0, 0, 4, 1)
+    flat = str(tmp_path / "flat")
+    assert tuple(sanitize_directory(spark, str(tree), flat).first()) == (2, 2, 0, 0, 0)
+    rows = spark.read.parquet(flat).collect()
+    assert {r.sanitized_text for r in rows} == {"clean", "mail [REDACTED]\nTel [REDACTED]\nend"}
+    routes = supported_files(spark, str(tree)).select("route").distinct().collect()
+    assert sorted(r.route for r in routes) == ["image", "text"]
+
+
 def test_same_input_and_output(spark):
     df = spark.createDataFrame([("/d/a_REDACTED.txt", bytearray(b"x"))], "path string, content binary")
     row = S.read_texts(df.withColumn("path", F.lit("/d/a.txt")), "/d").first()

@@ -87,7 +87,7 @@ def test_context_is_a_slice(spark):
 def python_rule(pattern: str) -> re.Pattern:
     """The same expression for Python, which is Unicode-aware by itself."""
     flags = re.IGNORECASE if pattern.startswith("(?iuU)") else 0
-    return re.compile(re.sub(r"^\(\?\w+\)", "", pattern), flags)
+    return re.compile(re.sub(r"^\(\?\w+\)", "", pattern).replace(P.WORD_EDGE, r"\b"), flags)
 
 
 @pytest.mark.parametrize("pattern", [P.TCKN_CANDIDATE, P.PHONE, P.EMAIL])
@@ -105,6 +105,20 @@ def test_spans_match_python(spark, pattern):
         assert got[i] == [(m.start(), m.end(), m.group()) for m in rule.finditer(text)], repr(text)
 
 
+def test_word_borders_match_python(spark):
+    """Combining marks and odd numbers next to a label, as Python sees them."""
+    rng = random.Random(13)
+    parts = ["TC", "T.C.", "T C", "tckn", "Kimlik No", "KİMLİK NUMARASI", "kimlik numarası:", "\u0301", "²", "Ⅷ", "_", "é", ".", " ", "x", "‿"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(1500)]
+    stops = ["tel.", "tel", "T.C.", "TCKN", "imza", "İMZA", "Tarih", "ad soyad", "ADI SOYADI", "e-posta"]
+    lines = [rng.choice([" ", ""]) + rng.choice(stops) + rng.choice(parts + [""]) for _ in range(1000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + lines)], "id int, t string")
+    got = {r.id: (r.c, r.s) for r in df.select("id", F.col("t").rlike(P.TCKN_CONTEXT).alias("c"), F.col("t").rlike(P.STOP_HEADER).alias("s")).collect()}
+    context, stop = python_rule(P.TCKN_CONTEXT), python_rule(P.STOP_HEADER)
+    for i, t in enumerate(texts + lines):
+        assert got[i] == (bool(context.search(t)), bool(stop.match(t))), repr(t)
+
+
 def test_many_matches_in_one_text(spark):
     """More matches than one fold block holds."""
     text = " ".join(f"u{i}@x.de" for i in range(1500))

@@ -9,17 +9,21 @@ text (never lower-case a text first: some letters change length).
 # Python also counts the separators 1C..1F as white space; Java does not.
 SPACE = r"[\s\x1c-\x1f]"
 SEPARATOR = r"[\s\x1c-\x1f.\-]"
+# Python's word characters are letters, numbers of any kind and the underscore;
+# Java's also include combining marks, so the word border is spelled out.
+WORD_CHAR = r"[\p{L}\p{N}_]"
+WORD_EDGE = rf"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
 
 TCKN_CANDIDATE = rf"(?U)(?<!\d)\d(?:{SEPARATOR}?\d){{10}}(?!\d)"
 
 TCKN_CONTEXT = (
     r"(?iuU)(?:"
-    rf"\bT\.?{SPACE}*C\.?\b"
-    r"|\bTC\b"
-    r"|\bTCKN\b"
-    rf"|\bT\.?{SPACE}*C\.?{SPACE}*Kimlik\b"
-    rf"|\bKimlik{SPACE}*(?:No|Numarası|Numarasi)\b"
-    rf"|\bKimlik{SPACE}*(?:No|Numarası|Numarasi){SPACE}*[:.]?"
+    rf"{WORD_EDGE}T\.?{SPACE}*C\.?{WORD_EDGE}"
+    rf"|{WORD_EDGE}TC{WORD_EDGE}"
+    rf"|{WORD_EDGE}TCKN{WORD_EDGE}"
+    rf"|{WORD_EDGE}T\.?{SPACE}*C\.?{SPACE}*Kimlik{WORD_EDGE}"
+    rf"|{WORD_EDGE}Kimlik{SPACE}*(?:No|Numarası|Numarasi){WORD_EDGE}"
+    rf"|{WORD_EDGE}Kimlik{SPACE}*(?:No|Numarası|Numarasi){SPACE}*[:.]?"
     r")"
 )
 TCKN_CONTEXT_RADIUS = 40
@@ -56,7 +60,7 @@ STOP_HEADER = (
     r"telefon|tel\.?|gsm|cep|e-?posta|e-?mail"
     rf"|t\.?{SPACE}*c\.?|tc|tckn|imza|tarih"
     rf"|adı?{SPACE}+soyadı?"
-    r")\b"
+    rf"){WORD_EDGE}"
 )
 ADDRESS_FOLLOWING_LINES = 5
 ADDRESS_GAP_RATIO = 2.5
