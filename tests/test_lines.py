@@ -106,9 +106,10 @@ def test_many_lines_and_hits_in_one_page(spark):
     assert got == sorted(map(tuple, joined.select(*columns).collect())) and len(got) > 300
 
 
-@pytest.mark.parametrize("chunk", [20, 4096])
-def test_lines_equal_joined_page(spark, chunk):
+@pytest.mark.parametrize("chunk, block", [(20, 1), (4096, 7), (4096, 128)])
+def test_lines_equal_joined_page(spark, chunk, block, monkeypatch):
     """Searching stretches gives the hits of the joined text, labels included."""
+    monkeypatch.setattr(L, "_BLOCK_LINES", block)
     rng = random.Random(4)
     kinds = [
         "0532", "123 45", "67", "0532 123", "45 67 x", "TC", "Kimlik No:", "12345678901", NUMBER, NUMBER[:5],

@@ -29,7 +29,7 @@ from veilspan.operators.scan import CHUNK, with_halo
 from veilspan.operators.scan import running as running_rows
 from veilspan.schemas import BOX_DETECTIONS
 
-# Lines looked at together when a span is mapped to the lines below it.
+# Lines looked at together, when they are searched and when hits are mapped to them.
 _BLOCK_LINES = 128
 
 # Lines of one page that are gathered into a row at most.
@@ -429,8 +429,8 @@ def structured_in_lines(
     """Structured hits over a line table, offsets counted in the page text.
 
     Equal to searching the joined page, but no page is ever gathered: lines are
-    joined per stretch only, and the text around a stretch, which labels of
-    identity numbers may lie in, comes from the neighbouring lines.
+    joined per block of stretches only, and the text around a block, which
+    labels of identity numbers may lie in, comes from the neighbouring lines.
     """
     keys = list(keys)
     radius = P.TCKN_CONTEXT_RADIUS
@@ -448,9 +448,10 @@ def structured_in_lines(
         chunk=chunk,
     )
     order = W.partitionBy(*keys, "_chunk").orderBy("line_no")
+    # neighbouring stretches are searched together, which saves rows
     around = spread.select(
         *keys,
-        "stretch",
+        F.floor(F.col("stretch") / _BLOCK_LINES).alias("_block"),
         "line_no",
         "start",
         "text",
@@ -464,7 +465,7 @@ def structured_in_lines(
     ).filter("_own").withColumn("_before", F.right("_before", F.lit(radius))).withColumn(
         "_after", F.left("_after", F.lit(radius))
     )
-    gathered = around.groupBy(*keys, "stretch").agg(
+    gathered = around.groupBy(*keys, "_block").agg(
         F.min("start").alias("base"),
         F.array_join(
             F.transform(
@@ -497,7 +498,7 @@ def structured_in_lines(
         find_structured("text").alias("_found"),
     )
     hits = explode_rows(searched, [*keys, "_shift", "_low", "_high"], F.col("_found"))
-    # hits of the surrounding text belong to other stretches
+    # hits of the surrounding text belong to other blocks
     return hits.filter(
         (F.col("d.start") >= F.col("_low")) & (F.col("d.end") <= F.col("_high"))
     ).select(
