@@ -123,11 +123,26 @@ def test_detector_tables(spark):
     faces = {tuple(r.bbox) for r in O.face_boxes(raw, PAGE).collect()}
     # rotated image is 400 x 500: grown (295,394,325,426) turned back
     assert faces == {(75, 70, 225, 230), (394, 75, 426, 105)}
-    assert {tuple(r.bbox) for r in O.face_boxes(raw, PAGE, top_k=1).collect()} == faces
+    for options in ({"top_k": 1}, {"max_boxes": 0}):
+        assert {tuple(r.bbox) for r in O.face_boxes(raw, PAGE, **options).collect()} == faces
     signatures = {tuple(r.bbox) for r in O.signature_boxes(raw.filter("rotation = 0"), PAGE).collect()}
     assert signatures == {(90, 80, 210, 220)}
 
 
+@pytest.mark.parametrize("k, salts", [(3, 2), (3, 64), (100, 4)])
+def test_top_boxes(spark, k, salts):
+    rng = random.Random(k)
+    rows = [(p, 1, rng.choice([0, 90]), i, 0.0, 0.0, 1.0, 1.0, rng.choice([0.1, 0.5, 0.5, 0.9]), 9, 9) for p in range(5) for i in range(p * 20)]
+    df = spark.createDataFrame(rows, RAW)
+    want = set()
+    for p in range(5):
+        for rotation in (0, 90):
+            group = sorted((-r[8], r[3]) for r in rows if r[0] == p and r[2] == rotation)
+            want |= {(p, rotation, i) for _, i in group[:k]}
+    got = O.top_boxes(df, PAGE, k, salts).select("doc_id", "rotation", "idx").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_page_detectors_together(spark):
     from tests.test_lines import line_rows, lines_df
     from veilspan.operators.lines import pages_from_lines

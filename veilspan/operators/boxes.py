@@ -18,24 +18,37 @@ from veilspan.functions.boxes import (
     rotate_bbox_back,
 )
 from veilspan.operators.detections import explode_rows
-from veilspan.operators.scan import dense_position, islands
+from veilspan.operators.scan import dense_position, islands, split_by_count
 
 # Boxes of one image that are folded together without cutting it first.
 MAX_FOLDED_BOXES = 2_000
 
 
-def top_boxes(raw: DataFrame, keys: Sequence[str], k: int = S.FACE_TOP_K) -> DataFrame:
+def top_boxes(
+    raw: DataFrame, keys: Sequence[str], k: int = S.FACE_TOP_K, salts: int = 64
+) -> DataFrame:
     """The ``k`` best-scored boxes per image and rotation, as the detector keeps.
 
-    Spark trims every input partition to ``k`` rows per group before the
-    shuffle, so an image with very many boxes stays small.
+    Groups of at most ``k`` boxes, that is nearly all, are only counted.
     """
-    ranked = W.partitionBy(*keys, "rotation").orderBy(F.desc("score"), "idx")
-    return (
-        raw.withColumn("_rank", F.row_number().over(ranked))
-        .filter(F.col("_rank") <= k)
-        .drop("_rank")
-    )
+    small, large = split_by_count(raw, [*keys, "rotation"], k)
+    return small.unionByName(_salted_top(large, keys, k, salts))
+
+
+def _salted_top(raw: DataFrame, keys: Sequence[str], k: int, salts: int = 64) -> DataFrame:
+    """Rank in two steps, so that the last one sees ``salts * k`` boxes at most."""
+    groups = [*keys, "rotation"]
+
+    def best(df: DataFrame, *by: str) -> DataFrame:
+        ranked = W.partitionBy(*by).orderBy(F.desc("score"), "idx")
+        return (
+            df.withColumn("_rank", F.row_number().over(ranked))
+            .filter(F.col("_rank") <= k)
+            .drop("_rank")
+        )
+
+    salted = raw.withColumn("_salt", F.pmod(F.hash("idx"), F.lit(salts)))
+    return best(best(salted, *groups, "_salt").drop("_salt"), *groups)
 
 
 def face_boxes(
@@ -44,6 +57,7 @@ def face_boxes(
     threshold: float = S.SCORE_THRESHOLDS["face"],
     iou: float = S.FACE_IOU,
     top_k: int = S.FACE_TOP_K,
+    max_boxes: int = MAX_FOLDED_BOXES,
 ) -> DataFrame:
     """Raw face boxes of all rotations as merged detections.
 
@@ -56,13 +70,21 @@ def face_boxes(
         F.when(turned, F.col("image_height")).otherwise(F.col("image_width")),
         F.when(turned, F.col("image_width")).otherwise(F.col("image_height")),
     )
-    boxes = top_boxes(raw.filter(F.col("score") >= threshold), keys, top_k).select(
-        *keys,
-        F.struct("rotation", "idx").alias("idx"),
-        F.col("score").alias("confidence"),
-        rotate_bbox_back(grown, "rotation", "image_width", "image_height").alias("bbox"),
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select(
+            *keys,
+            F.struct("rotation", "idx").alias("idx"),
+            F.col("score").alias("confidence"),
+            rotate_bbox_back(grown, "rotation", "image_width", "image_height").alias("bbox"),
+        )
+
+    # an image this small keeps all its boxes and needs no cutting
+    small, large = split_by_count(
+        raw.filter(F.col("score") >= threshold), keys, min(top_k, max_boxes)
     )
-    return merge_boxes(boxes, keys, iou, "face")
+    whole = _fold(placed(small), list(keys), keys, iou, "face")
+    return whole.unionByName(_fold_bands(placed(_salted_top(large, keys, top_k)), keys, iou, "face"))
 
 
 def signature_boxes(
@@ -104,32 +126,39 @@ def merge_boxes(
     ``max_boxes`` boxes are first cut into bands that no box spans: boxes of
     different bands never influence each other, so the result is the same.
     """
-    keys = list(keys)
-    large = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_boxes)
+    small, large = split_by_count(boxes, keys, max_boxes)
+    whole = _fold(small, list(keys), keys, iou, detection_type)
+    return whole.unionByName(_fold_bands(large, keys, iou, detection_type))
+
+
+def _fold(
+    df: DataFrame, groups: list[str], keys: Sequence[str], iou: float, detection_type: str
+) -> DataFrame:
+    merged = df.groupBy(*groups).agg(
+        greedy_merge(F.collect_list(F.struct("confidence", "idx", "bbox")), iou).alias("m")
+    )
+    return explode_rows(merged, keys, F.col("m")).select(
+        *keys,
+        F.lit(detection_type).alias("detection_type"),
+        "d.bbox",
+        "d.confidence",
+    )
 
-    def fold(df: DataFrame, groups: list[str]) -> DataFrame:
-        merged = df.groupBy(*groups).agg(
-            greedy_merge(F.collect_list(F.struct("confidence", "idx", "bbox")), iou).alias("m")
-        )
-        return explode_rows(merged, keys, F.col("m")).select(
-            *keys,
-            F.lit(detection_type).alias("detection_type"),
-            "d.bbox",
-            "d.confidence",
-        )
 
+def _fold_bands(
+    boxes: DataFrame, keys: Sequence[str], iou: float, detection_type: str
+) -> DataFrame:
     banded = islands(
-        boxes.join(large, keys, "left_semi")
-        .withColumn("_top", F.col("bbox.y1").cast("long"))
-        .withColumn("_bottom", F.col("bbox.y2").cast("long")),
+        boxes.withColumn("_top", F.col("bbox.y1").cast("long")).withColumn(
+            "_bottom", F.col("bbox.y2").cast("long")
+        ),
         keys,
         "_top",
         "_bottom",
         "_band",
         touching=False,
     )
-    whole = fold(boxes.join(large, keys, "left_anti"), keys)
-    return whole.unionByName(fold(banded, [*keys, "_band"]))
+    return _fold(banded, [*keys, "_band"], keys, iou, detection_type)
 
 
 def image_detections(

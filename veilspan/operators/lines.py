@@ -25,7 +25,7 @@ from veilspan.functions.text import (
     strip,
 )
 from veilspan.operators.detections import explode_rows
-from veilspan.operators.scan import CHUNK, with_halo
+from veilspan.operators.scan import CHUNK, split_by_count, with_halo
 from veilspan.operators.scan import running as running_rows
 from veilspan.schemas import BOX_DETECTIONS
 
@@ -249,15 +249,14 @@ def pages_from_lines(
     line-table operators below, which give the same results.
     """
     keys = list(keys)
-    large = lines.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > max_lines)
-    small = lines.join(large, keys, "left_anti")
+    small, large = split_by_count(lines, keys, max_lines)
     pages = small.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("line_no", "text", "bbox", "confidence"))),
             lambda l: F.struct(l["text"], l["bbox"], l["confidence"]),
         ).alias("items")
     )
-    return pages, lines.join(large, keys, "left_semi")
+    return pages, large
 
 
 def lines_from_pages(pages: DataFrame, keys: Sequence[str], items: str = "items") -> DataFrame:

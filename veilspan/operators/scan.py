@@ -25,6 +25,21 @@ CHUNK = 4096
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 
 
+def split_by_count(
+    df: DataFrame, keys: Sequence[str], limit: int
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups with at most ``limit`` rows, and the rows of larger groups.
+
+    Only counts are shuffled to tell them apart.  There are few large groups,
+    so Spark can usually broadcast their keys; where there are none, adaptive
+    execution drops whatever is built on the second part.
+    """
+    keys = list(keys)
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    names = large.select(*keys)
+    return df.join(names, keys, "left_anti"), df.join(names, keys, "left_semi")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
