@@ -51,8 +51,8 @@ def test_edits(spark):
 
 def test_touching_boxes(spark):
     assert not one(spark, B.boxes_intersect(box(0, 0, 5, 5), box(5, 0, 9, 5)))
-    assert one(spark, B.iou(box(0, 0, 5, 5), box(5, 0, 9, 5))) == 0.0
-    assert one(spark, B.iou(box(0, 0, 4, 4), box(2, 0, 6, 4))) == pytest.approx(8 / 24)
+    for a, b, share in (((0, 0, 5, 5), (5, 0, 9, 5), 0.0), ((0, 0, 4, 4), (2, 0, 6, 4), 8 / 24)):
+        assert one(spark, B.iou("a", "b"), a=box(*a), b=box(*b)) == pytest.approx(share)
     assert one(spark, B.enclosing_bbox(F.array(box(1, 5, 2, 6), box(0, 7, 1, 9)))) == (0, 5, 2, 9)
 
 

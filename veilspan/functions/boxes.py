@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspan.functions.arrays import let
+from veilspan.functions.arrays import let, let_sql
 from veilspan.schemas import BBOX
 
 
@@ -204,64 +204,55 @@ def enclosing_bbox(boxes: Column) -> Column:
     return F.when(F.size(boxes) > 0, enclosed)
 
 
-def iou(a, b) -> Column:
-    """Intersection over union; 0 for disjoint boxes."""
-    a, b = _col(a), _col(b)
-    width = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
-    height = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
-    inter = width.cast("long") * height
-    area_a = bbox_width(a).cast("long") * bbox_height(a)
-    area_b = bbox_width(b).cast("long") * bbox_height(b)
-    return F.when((width <= 0) | (height <= 0), F.lit(0.0)).otherwise(
-        inter / (area_a + area_b - inter)
+def _iou_sql(a: str, b: str) -> str:
+    width = f"(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1))"
+    height = f"(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+    inter = f"(cast({width} AS bigint) * {height})"
+    areas = " + ".join(
+        f"cast({r}.x2 - {r}.x1 AS bigint) * ({r}.y2 - {r}.y1)" for r in (a, b)
+    )
+    return (
+        f"CASE WHEN {width} <= 0 OR {height} <= 0 THEN 0.0D"
+        f" ELSE {inter} / ({areas} - {inter}) END"
     )
 
 
-def greedy_merge(boxes: Column, threshold: float) -> Column:
+def iou(a: str, b: str) -> Column:
+    """Intersection over union of two box columns; 0 for disjoint boxes."""
+    return F.expr(_iou_sql(a, b))
+
+
+def greedy_merge(boxes: str, threshold: float) -> Column:
     """Merge ``array<struct<confidence,idx,bbox>>`` by overlap, best score first.
 
     Each box joins the first cluster whose box it overlaps enough; the cluster
     then grows to cover it.  The outcome depends on the order, so ties in the
-    score are settled by ``idx``.  Clusters are few, so the fold stays small.
+    score are settled by ``idx``.  ``boxes`` is an SQL expression.
     """
-    cluster_type = f"array<struct<bbox:{BBOX},confidence:double>>"
-    ordered = F.transform(
-        F.array_sort(
-            F.transform(
-                boxes,
-                lambda b: F.struct(
-                    (-b["confidence"]).alias("rank"), b["idx"], b["bbox"]
-                ),
-            )
-        ),
-        lambda b: F.struct(b["bbox"].alias("bbox"), (-b["rank"]).alias("confidence")),
+    ordered = (
+        f"transform(array_sort(transform({boxes}, b -> named_struct("
+        "'rank', -b.confidence, 'idx', b.idx, 'bbox', b.bbox))),"
+        " b -> named_struct('bbox', b.bbox, 'confidence', -b.rank))"
+    )
+    grown = (
+        "named_struct('bbox', named_struct("
+        "'x1', least(c.bbox.x1, box.bbox.x1), 'y1', least(c.bbox.y1, box.bbox.y1),"
+        " 'x2', greatest(c.bbox.x2, box.bbox.x2), 'y2', greatest(c.bbox.y2, box.bbox.y2)),"
+        " 'confidence', greatest(c.confidence, box.confidence))"
+    )
+    position = (
+        f"cast(array_position(transform(clusters, c -> {_iou_sql('box.bbox', 'c.bbox')}"
+        f" >= {threshold!r}D), true) AS int)"
+    )
+    placed = let_sql(
+        position,
+        lambda hit: f"CASE WHEN {hit} = 0 THEN concat(clusters, array(box)) ELSE"
+        f" transform(clusters, (c, i) -> CASE WHEN i + 1 = {hit} THEN {grown} ELSE c END) END",
+    )
+    return F.expr(
+        f"aggregate({ordered}, cast(array() AS array<struct<bbox:{BBOX},confidence:double>>),"
+        f" (clusters, box) -> {placed})"
     )
-
-    def add(clusters: Column, box: Column) -> Column:
-        def place(hit: Column) -> Column:
-            return F.when(
-                hit == 0, F.concat(clusters, F.array(box))
-            ).otherwise(
-                F.transform(
-                    clusters,
-                    lambda c, i: F.when(
-                        i + 1 == hit,
-                        F.struct(
-                            union_bbox(c["bbox"], box["bbox"]).alias("bbox"),
-                            F.greatest(c["confidence"], box["confidence"]).alias(
-                                "confidence"
-                            ),
-                        ),
-                    ).otherwise(c),
-                )
-            )
-
-        overlaps = F.transform(
-            clusters, lambda c: iou(box["bbox"], c["bbox"]) >= threshold
-        )
-        return let(F.array_position(overlaps, True).cast("int"), place)
-
-    return F.aggregate(ordered, F.array().cast(cluster_type), add)
 
 
 # --- geometry edits of the review screen ------------------------------------

@@ -135,7 +135,9 @@ def _fold(
     df: DataFrame, groups: list[str], keys: Sequence[str], iou: float, detection_type: str
 ) -> DataFrame:
     merged = df.groupBy(*groups).agg(
-        greedy_merge(F.collect_list(F.struct("confidence", "idx", "bbox")), iou).alias("m")
+        greedy_merge(
+            "collect_list(named_struct('confidence', confidence, 'idx', idx, 'bbox', bbox))", iou
+        ).alias("m")
     )
     return explode_rows(merged, keys, F.col("m")).select(
         *keys,
