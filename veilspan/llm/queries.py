@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contamination
 from .line_dedup import without_common_lines
+from .minhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -34,6 +36,63 @@ SELECT k.doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
 FROM k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id, k.text
 """
 
+
+def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = contamination(docs, _table(spark, sf, "benchmark"), window=10)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_WORDS = r"regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+i AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, size, array_to_string(w[s:s + size - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT r, size, s, array_to_string(w[s:s + size - 1], ' ') AS g
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)),
+m AS (SELECT dw.r, dw.size, dw.s, iw.item_id FROM dw JOIN iw ON dw.size = iw.size AND dw.g = iw.g),
+h AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + size)) AS p FROM m) GROUP BY r),
+k AS (SELECT r, count(*) AS n, string_agg(v, ',' ORDER BY v) AS v FROM (SELECT DISTINCT r, item_id::VARCHAR AS v FROM m) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(k.n, 0) AS n_items,
+       sha256(coalesce(k.v, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
+"""
+
+
+def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    found = near_duplicates(docs, words=5, percent=85)
+    kept = F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept)
+
+
+_SPACED = r"regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"
+
+OP7_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({_SPACED.format('text')}, []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+t AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN t USING (doc_id)
+"""
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
+    "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op7_minhash": (op7_minhash, OP7_SQL),
 }
