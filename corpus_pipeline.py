@@ -1 +1,80 @@
-QUERIES = {}
+"""From raw documents to a training mix, in five stages.
+
+Every stage takes the documents that its predecessor kept, as a table that was written
+and read again, and works on all of them.  The first four return documents, with their
+columns as they came; the last one returns the mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilspan.llm.decontaminate import contamination
+from veilspan.llm.frames import row_key, stored
+from veilspan.llm.line_dedup import without_common_lines
+from veilspan.llm.minhash import near_duplicates
+from veilspan.llm.mixing import mixed
+from veilspan.llm.toxicity import learn
+
+TOXIC_SCORE = 0.7
+LINE_DOCUMENTS = 10
+NEAR_PERCENT = 80
+WINDOW_WORDS = 10
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below ``TOXIC_SCORE``."""
+    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(model.scores(F.col("text")) < TOXIC_SCORE)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ``LINE_DOCUMENTS`` of them or more have.
+
+    ``n_chars`` follows the text.  A document that loses all its lines stays, empty.
+    """
+    kept = without_common_lines(docs, min_docs=LINE_DOCUMENTS)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least id of each group of near duplicates, and those without an id."""
+    found = near_duplicates(docs, percent=NEAR_PERCENT)
+    copies = found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("_copy")).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW_WORDS)
+    hit = found.filter("n_hit > 0").select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (row_key("doc_id", "text") == F.col("_row")), "left_anti")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixed(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: The learnt scores of the first stage have no SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``; each result is a table in the checkpoint folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir))
+    return docs
+
+
+QUERIES = {"pipeline": (run, ORACLE_SQL)}

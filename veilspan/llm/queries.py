@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html_extract import extracted
 from .line_dedup import without_common_lines
 from .minhash import near_duplicates
+from .mixing import mixed
+from .pii import pseudonymised
+from .quality_rules import judged as quality_judged
+from .suffix_dedup import without_repeats
+from .toxicity import toxicity
+from .url_filter import UrlLists, judged
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,6 +44,11 @@ FROM k LEFT JOIN common c ON k.key = c.key GROUP BY k.doc_id, k.text
 """
 
 
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity(docs, _table(spark, sf, "labels"), threshold=0.7)
+
+
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = contamination(docs, _table(spark, sf, "benchmark"), window=10)
@@ -69,6 +81,11 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)
 """
 
 
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return quality_judged(docs).drop("cleaned")
+
+
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = near_duplicates(docs, words=5, percent=85)
@@ -91,8 +108,78 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d LEFT JOIN n USING (doc_id) JOIN t USING (doc_id)
 """
 
+
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return without_repeats(docs, length=400).withColumnRenamed("id", "doc_id").drop("kept")
+
+
+def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixed(docs, weights=(5, 2, 1), most=3).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+
+def op4_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return pseudonymised(docs, key="corpus release key 1")
+
+
+#: Verdict, host and beginning of the path of each rule.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+BLOCKED_HOSTS = (
+    "adult-x.example.com",
+    "ads-track.example.com",
+    "casino-win.example.net",
+    "cheap-pills.example.net",
+    "free-bets.example.net",
+    "spam-farm.example.org",
+)
+
+
+def op5_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    lists = UrlLists.share(spark, URL_RULES, BLOCKED_HOSTS)
+    pages = _table(spark, sf, "pages").select("page_id", "url")
+    return judged(pages, lists).withColumnRenamed("id", "page_id")
+
+
+_RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+_HOST_ROWS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+
+OP5_SQL = f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT r, page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, host, path) AS (VALUES {_RULE_ROWS}), hosts(host) AS (VALUES {_HOST_ROWS}),
+m AS (SELECT p.r, x.verdict, x.host || x.path AS rule,
+    row_number() OVER (PARTITION BY p.r ORDER BY length(x.host || x.path) DESC, length(x.host) DESC) AS k
+  FROM p JOIN rules x ON (p.host = x.host OR ends_with(p.host, '.' || x.host)) AND starts_with(p.path, x.path))
+SELECT page_id, host, path, m.rule AS rule,
+  coalesce(m.verdict, CASE WHEN EXISTS (SELECT 1 FROM hosts h WHERE p.host = h.host OR ends_with(p.host, '.' || h.host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN m ON p.r = m.r AND m.k = 1
+"""
+
+
+def op10_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return extracted(_table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
+    "op2_toxicity": (op2_toxicity, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op4_pii": (op4_pii, None),
+    "op5_url_filter": (op5_url_filter, OP5_SQL),
+    "op6_quality_rules": (op6_quality_rules, None),
     "op7_minhash": (op7_minhash, OP7_SQL),
+    "op8_suffix_dedup": (op8_suffix_dedup, None),
+    "op9_mixing": (op9_mixing, None),
+    "op10_html_extract": (op10_html_extract, None),
 }
