@@ -27,12 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .frames import row_key, small_batches, stored
+from .frames import filter_bits, may_hold, row_key, small_batches, stored
 
 WINDOW, GRAM = 10, 5
-#: The filter has 16 bits for each fingerprint, and this many at most.
-MAX_FILTER_BITS = 1 << 26
-
 _HASHES = "fp long, size int, start int, one array<long>, two array<long>"
 _FIRST, _SECOND, _SHORT = 11, 12, 13
 
@@ -69,15 +66,6 @@ def _document_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, sh
     """A row for each text, and one for each fingerprint that an item may have, with the
     hashes of the windows around it."""
     table = bits.value
-    mask = np.uint64(len(table) * 64 - 1)
-
-    def possible(fp: np.ndarray) -> np.ndarray:
-        found = np.ones(len(fp), bool)
-        for shift in (0, 32):
-            at = (fp >> np.uint64(shift)) & mask
-            found &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
-        return found
-
     def around(own: np.ndarray, size: int, first: np.ndarray, last: np.ndarray) -> list[list[np.ndarray]]:
         """Both hashes of the windows from ``first`` to ``last``, for each fingerprint."""
         hashes = [hashing.window_hashes(own, size, s).view(np.int64) for s in (_FIRST, _SECOND)]
@@ -104,7 +92,7 @@ def _document_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, sh
                     fp = hashing.window_hashes(own, size, _SHORT)
                     found.append((size, np.arange(len(fp)), fp))
                 for size, place, fp in found:
-                    kept = possible(fp)
+                    kept = may_hold(table, fp)
                     if not kept.any():
                         continue
                     place, fp = place[kept], fp[kept]
@@ -127,20 +115,6 @@ def _document_rows(batches: Iterator[pa.RecordBatch], window: int, gram: int, sh
             yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), pa.nulls(len(places), pa.int64()), *flat, *lists], names)
 
 
-def _filter_bits(fps: DataFrame) -> np.ndarray:
-    """The bit filter of all fingerprints: set bits are gathered by 64-bit word, so what
-    reaches the driver has a bound that does not depend on the number of items."""
-    bits = 1 << max(16, (16 * fps.count()).bit_length())
-    bits = min(bits, MAX_FILTER_BITS)
-    place = F.explode(F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)]))
-    one = F.expr("shiftleft(1L, cast(p % 64 as int))")
-    words = fps.select(place.alias("p")).select(F.expr("p div 64").alias("word"), one.alias("bit"))
-    table = np.zeros(bits // 64, np.int64)
-    for word, value in words.groupBy("word").agg(F.bit_or("bit").alias("value")).toLocalIterator():
-        table[word] = value
-    return table.view(np.uint64)
-
-
 def contamination(
     docs: DataFrame,
     items: DataFrame,
@@ -159,7 +133,7 @@ def contamination(
     fps = stored(made.filter("fp IS NOT NULL").select("fp", "size").distinct())
     windows = stored(made.filter("fp IS NULL").select("one", "two", "size", "item").distinct())
     short = sorted(r[0] for r in fps.filter(F.col("size") < window).select("size").distinct().collect())
-    bits = spark.sparkContext.broadcast(_filter_bits(fps))
+    bits = spark.sparkContext.broadcast(filter_bits(fps, "fp"))
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,45 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+#: A bit filter has 16 bits for each key, and this many at most.
+MAX_FILTER_BITS = 1 << 26
+
+
+def filter_bits(keys: DataFrame, column: str) -> np.ndarray:
+    """The bits that the well-mixed 64-bit keys of ``column`` set, as 64-bit words.
+
+    Bits are gathered by word, so what reaches the driver has a bound that does not
+    depend on the number of keys.
+    """
+    bits = min(1 << max(16, (16 * keys.count()).bit_length()), MAX_FILTER_BITS)
+    place = F.explode(F.array(*[F.shiftrightunsigned(column, s).bitwiseAND(F.lit(bits - 1)) for s in (0, 32)]))
+    words = keys.select(place.alias("p")).select(F.expr("p div 64").alias("word"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("bit"))
+    table = np.zeros(bits // 64, np.int64)
+    for word, value in words.groupBy("word").agg(F.bit_or("bit").alias("value")).toLocalIterator():
+        table[word] = value
+    return table.view(np.uint64)
+
+
+def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those of a filter; none of them is missed."""
+    keys, mask, found = keys.astype(np.uint64, copy=False), np.uint64(len(table) * 64 - 1), np.ones(len(keys), bool)
+    for shift in (0, 32):
+        at = (keys >> np.uint64(shift)) & mask
+        found &= (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    return found
+
+
+def bit_filter(keys: DataFrame) -> Callable[[str], Column]:
+    """A test that drops most rows whose key is not in the only column of ``keys``."""
+    shared = keys.sparkSession.sparkContext.broadcast(filter_bits(keys, keys.columns[0]))
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(shared.value, values.to_numpy(np.int64).view(np.uint64)))
+
+    return lambda name: test(F.col(name))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Label (``node``, ``label``) every node of ``edges`` (``a``, ``b``) with the least
     node it can reach.

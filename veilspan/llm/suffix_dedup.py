@@ -12,15 +12,19 @@ ranges by its places.  Each bucket is sorted on its own and compares neighbours,
 the ends of the buckets are compared across their boundaries.
 
 Suffixes that begin alike at an anchor still differ in how far they agree on either
-side.  The strings around an anchor, by their offset to it, are settled in
-intervals: if all that the strings of an interval span occurs again, all of them do;
-if what they have in common does not, none does; else the interval is split, down to
-single strings.  Each step is one more sort of suffixes by their leading bytes, here
-of a given length.  No group of suffixes is held in memory; leading bytes move as
-128-bit digests, which sort equal strings together.
+side.  Every string has one anchor that decides on it, so the strings of an anchor are
+an interval of offsets.  If all that the strings of an interval span occurs again, all of them do; if what they
+have in common does not, none does; else the interval is split, down to single strings.
+Where strings of an interval are still open, places that share their common part take
+part in the next step though they are settled, one for each different surrounding.
+Each test is one more sort of suffixes by their leading bytes, of a given length.  No
+group of suffixes is held in memory; leading bytes move as 128-bit digests, which bring
+equal strings together.
 
-Texts are read as UTF-8 bytes.  A text moves once, to meet its anchors, and only texts
-with repeated anchors go on.
+A text moves only if a bit filter of bounded size says that it may have what is looked
+for; a join decides, so a filter too full to help changes no result.
+
+Texts are read as UTF-8 bytes.
 
 Rows: rows of equal id and equal text count as one document and get equal results.  A
 null text is empty.  An empty table gives an empty result.  Other columns are not read
@@ -39,14 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .frames import row_key, shuffle_width, small_batches, stored
+from .frames import bit_filter, row_key, shuffle_width, small_batches, stored
 
 LENGTH = 400
-#: Offsets between a string and its anchor, and into how many an interval is split.
-GRID, SPLIT = 256, 16
+#: Offsets between a string and its anchor, and the offsets that are tested together.
+GRID, CELL = 256, 16
 _PIECE = 1 << 18
 
-_PLACE = "key binary, row long, at long, low int, size int, whole boolean"
+_PLACE = "key binary, row long, at long, low int, high int, other binary"
+_UNIT = "shared binary, whole binary, row long, at long, low int, high int"
 _SEEN, _OPEN, _EDGE = 0, 1, 2
 
 
@@ -100,7 +105,7 @@ def _scanned(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a sorted bucket whose key another place has, and what its ends leave open."""
-    names = ["key", "row", "at", "low", "size", "whole", "kind"]
+    names = ["key", "row", "at", "low", "high", "other", "kind"]
     held = first = last = None  # the last row so far, and whether the one before it has its key
 
     def made(rows: pa.RecordBatch, kind: int) -> pa.RecordBatch:
@@ -158,28 +163,70 @@ def repeated_keys(suffixes: DataFrame) -> DataFrame:
     return seen.filter(F.col("kind") == _SEEN).drop("kind").union(seen.filter(F.col("kind") == _OPEN).drop("kind").join(ends, "key", "left_semi"))
 
 
-def _spanned(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
-    """For each interval of each text: what its strings span, and what they share, as
-    digests; for single strings that is the same, so only one of them."""
-    names = ["key", "row", "at", "low", "size", "whole"]
+def _nearest(places: list[int], hashes: list[int], strict: bool) -> list[int | None]:
+    """For each anchor the nearest one before it of a lesser hash, or an equal one."""
+    found, open_anchors = [], []
+    for at, value in zip(places, hashes, strict=True):
+        while open_anchors and (open_anchors[-1][1] > value or (strict and open_anchors[-1][1] == value)):
+            open_anchors.pop()
+        found.append(open_anchors[-1][0] if open_anchors else None)
+        open_anchors.append((at, value))
+    return found
+
+
+def _digest(text: bytes, begin: int, end: int, seed: int) -> bytes | None:
+    return xxhash.xxh3_128_digest(text[begin:end], seed=seed) if 0 <= begin < end <= len(text) else None
+
+
+def _unit_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["shared", "whole", "row", "at", "low", "high"])
+
+
+def _units(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The offsets of the strings that each repeated anchor decides on.
+
+    An anchor decides on the strings in which it has the first of the least hashes.
+    """
+    gram = length - GRID + 1
     for batch in batches:
         rows, texts, lists = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
-        keys, out = [], []
-        for row, text, wanted in zip(rows, texts, lists, strict=True):
+        out = []
+        for row, text, repeated in zip(rows, texts, lists, strict=True):
             n = len(text)
-            for place in wanted:
-                at, low = place["at"], place["low"]
-                high = low + step - 1
-                ends = [(max(0, at - low), min(n, at - high + length), False)] if step > 1 else []
-                ends.append((at - high, at - low + length, True))
-                for a, b, whole in ends:
-                    exact = a == (at - high if whole else at - low) and b == (at - low if whole else at - high) + length
-                    if exact and 0 <= a < b <= n:
-                        keys.append(xxhash.xxh3_128_digest(text[a:b], seed=low * 1024 + step * 2 + whole))
-                        out.append((row, at, low, step, whole))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names)
+            places, hashes = (x.tolist() for x in anchors(np.frombuffer(text, np.uint8), gram, GRID))
+            known = set(repeated)
+            before = _nearest(places, hashes, False)
+            after = [None if x is None else -x for x in _nearest([-x for x in reversed(places)], hashes[::-1], True)[::-1]]
+            for i, at in enumerate(places):
+                if at not in known:
+                    continue
+                high = min(GRID - 1, at, GRID - 1 if before[i] is None else at - before[i] - 1)
+                low = max(0, at + length - n, 0 if after[i] is None else at + GRID - after[i])
+                if low <= high:
+                    low, high = low // CELL * CELL, high // CELL * CELL + CELL - 1
+                    whole = _digest(text, at - high, at - low + length, low * GRID + high)
+                    out.append((hashes[i].to_bytes(8, "little"), whole, row, at, low, high))
+        yield _unit_batch(out)
+
+
+def _split(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iterator[pa.RecordBatch]:
+    """The intervals of ``step`` offsets of each unit, with what their strings share and
+    what they span; for single strings that is the same."""
+    for batch in batches:
+        rows, texts, lists = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
+        out = []
+        for row, text, units in zip(rows, texts, lists, strict=True):
+            for unit in units:
+                at = unit["at"]
+                for low in range(unit["low"], unit["high"] + 1, step):
+                    high = low + step - 1
+                    shared = _digest(text, at - low, at - high + length, 2 * low)
+                    if shared is not None:
+                        whole = shared if step == 1 else _digest(text, at - high, at - low + length, 2 * low + 1)
+                        out.append((shared, whole, row, at, low, high))
+        yield _unit_batch(out)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -188,8 +235,8 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
         texts, lists = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
         kept, removed, spans = [], [], []
         for text, found in zip(texts, lists, strict=True):
-            at = np.array([(x["at"], x["low"], x["size"]) for x in found], np.int64)
-            begin, end = at[:, 0] - at[:, 1] - at[:, 2] + 1, at[:, 0] - at[:, 1] + length
+            at = np.array([(x["at"], x["low"], x["high"]) for x in found], np.int64)
+            begin, end = at[:, 0] - at[:, 2], at[:, 0] - at[:, 1] + length
             order = np.argsort(begin, kind="stable")
             begin, end = begin[order], np.maximum.accumulate(end[order])
             fresh = np.concatenate([[True], begin[1:] > end[:-1]])
@@ -216,35 +263,38 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row"), F.col(text_col).alias("text"))
     scanned = stored(source.mapInArrow(lambda b: _scanned(b, length), f"id {kind}, row long, n_bytes long, whole_sha string, key binary, at long"))
 
-    suffixes = scanned.filter("key IS NOT NULL").select("key", "row", "at", F.lit(0).alias("low"), F.lit(GRID).alias("size"), F.lit(False).alias("whole"))
-    active = repeated_keys(suffixes).select("row", "at", "low")
-    first = active.groupBy("row").agg(F.collect_set(F.struct("at", "low")).alias("wanted"))
-    texts = source.select("row", "text").join(first.hint("shuffle_hash"), "row").dropDuplicates(["row"])
-    texts = stored(texts)
+    def meeting(bodies: DataFrame, lists: DataFrame) -> DataFrame:
+        """The texts that ``lists`` has rows for, with them."""
+        possible = bit_filter(lists.select("row"))
+        return bodies.filter(possible("row")).join(lists.hint("shuffle_hash"), "row")
 
-    settled, wanted, step = None, texts, GRID
+    def repeated(units: DataFrame, by: str, other: str) -> DataFrame:
+        keyed = units.filter(F.col(by).isNotNull()).select(F.col(by).alias("key"), "row", "at", "low", "high", F.col(other).alias("other"))
+        return repeated_keys(keyed).select(F.col("key").alias(by), F.col("other").alias(other), "row", "at", "low", "high")
+
+    suffixes = scanned.filter("key IS NOT NULL").select("key", "row", "at", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(None).cast("binary").alias("other"))
+    places = stored(repeated_keys(suffixes).groupBy("row").agg(F.collect_set("at").alias("wanted")))
+    texts = stored(meeting(source.select("row", "text"), places))
     bodies = texts.select("row", "text")
-    while True:
-        width = step
-        strings = wanted.select("row", "text", "wanted").mapInArrow(lambda b, s=width: _spanned(b, length, s), _PLACE)
-        again = stored(repeated_keys(strings).select("row", "at", "low", "size", "whole").distinct())
-        whole = again.filter("whole").select("row", "at", "low", "size")
-        settled = whole if settled is None else settled.union(whole)
-        if step == 1:
-            break
-        step //= SPLIT
-        if width == GRID:  # the anchor's own gram is what all strings around it share
-            shared = texts.select("row", F.explode("wanted").alias("w")).select("row", "w.at", "w.low")
-        else:
-            shared = again.filter("NOT whole").select("row", "at", "low")
-        split = shared.join(whole.select("row", "at", "low"), ["row", "at", "low"], "left_anti")
-        parts = split.select("row", "at", F.explode(F.sequence(F.col("low"), F.col("low") + (width - 1), F.lit(step))).alias("low"))
-        lists = parts.groupBy("row").agg(F.collect_set(F.struct("at", "low")).alias("wanted"))
-        wanted = bodies.join(lists.hint("shuffle_hash"), "row")
-
-    gone = settled.groupBy("row").agg(F.collect_list(F.struct("at", "low", "size")).alias("found"))
-    cut = bodies.join(gone.hint("shuffle_hash"), "row").mapInArrow(lambda b: _cut(b, length), "row long, kept binary, n_removed long, n_spans long")
-    cut = cut.withColumn("kept_sha", F.sha2("kept", 256))
+    units = stored(texts.mapInArrow(lambda b: _units(b, length), _UNIT))
+    settled = []
+    for step in (CELL, 1):
+        done = stored(repeated(units, "whole", "shared"))
+        settled.append(done)
+        left = stored(units.join(done.select("row", "at", "low"), ["row", "at", "low"], "left_anti"))
+        needed = stored(left.select("shared").distinct())
+        beside = done.join(needed, "shared", "left_semi").groupBy("whole").agg(F.min(F.struct("row", "at", "low", "high")).alias("x")).select("x.*")
+        lists = left.select("row", "at", "low", "high").union(beside).groupBy("row").agg(F.collect_set(F.struct("at", "low", "high")).alias("units"))
+        parts = meeting(bodies, stored(lists)).mapInArrow(lambda b, s=step: _split(b, length, s), _UNIT)
+        units = stored(repeated(parts, "shared", "whole"))
+    settled.append(units)
+
+    found = settled[0].select("row", "at", "low", "high")
+    for more in settled[1:]:
+        found = found.union(more.select("row", "at", "low", "high"))
+    gone = stored(found.groupBy("row").agg(F.collect_set(F.struct("at", "low", "high")).alias("found")))
+    cut = meeting(bodies, gone).mapInArrow(lambda b: _cut(b, length), "row long, kept binary, n_removed long, n_spans long")
+    cut = cut.dropDuplicates(["row"]).withColumn("kept_sha", F.sha2("kept", 256))
     info = scanned.filter("key IS NULL").select("id", "row", "n_bytes", "whole_sha")
     done = info.join(cut, "row", "left")
     zero = F.lit(0).cast("long")
