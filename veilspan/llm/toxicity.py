@@ -2,7 +2,9 @@
 
 Method: many voters look at a text and either fire or stay silent.  Lexicon voters
 fire on words, word beginnings and word endings that go with toxic rows of the
-labelled sample; each family is dealt over several voters.  Pattern voters fire on
+labelled sample, more than with texts of their kind: rows are compared within texts of
+the same most frequent word, which parts languages and genres.  Each family is dealt
+over several voters.  Pattern voters fire on
 how such words stand in the text and on its typography.  A generative label model
 then estimates, without labels, how often each voter fires in toxic and in clean
 documents, from how the votes of all documents fall together; voters that fire
@@ -12,8 +14,8 @@ over the lexicon and the patterns is trained on the posterior labels.
 What grows with the corpus stays in Spark.  Votes are packed into a number of
 ``VOTERS`` bits, so the count of each combination, which is all the label model
 needs, has at most ``2 ** VOTERS`` rows at any size.  The lexicon and the classifier
-are fitted on at most ``sample_rows`` labelled rows of each class, chosen by a hash
-of their ids; a lexicon entry is held by ``LEAST_SHARE`` of the toxic sample rows, so
+are fitted on at most ``sample_rows`` labelled rows, chosen by a hash of their ids; a
+lexicon entry is held by ``LEAST_SHARE`` of the toxic sample rows, so
 their number is bounded by the number of words of a text over that share.
 
 Rows: null and empty texts have no votes and get the score of a text without any
@@ -39,20 +41,24 @@ from pyspark.sql import functions as F
 
 from .frames import small_batches, stored
 
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 60_000
 #: Least rows and least share of the toxic sample that hold a lexicon entry.
 LEAST_ROWS, LEAST_SHARE = 3, 0.005
-#: Least lift over the clean sample and least log-likelihood ratio of an entry.
-LEAST_LIFT, LEAST_RATIO = 8.0, 20.0
+#: Least share of toxic rows among those with an entry, and least log-likelihood ratio
+#: of their number against that expected of texts of their kind.
+LEAST_PRECISION, LEAST_RATIO = 0.8, 20.0
+#: A kind of text with fewer sample rows is taken together with all others.
+LEAST_KIND = 50
 
 FAMILIES = ("word", "begin4", "begin5", "end4")
 FOLDS = 3
 PATTERNS = ("several", "repeated", "dense", "close", "masked", "shouted")
+#: Patterns that are no count of entries; only these are features of the classifier.
+OWN_PATTERNS = (4, 5)
 VOTERS = len(FAMILIES) * FOLDS + len(PATTERNS)
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MASKED = re.compile(r"\b[^\W\d_]+[*@$#]+[^\W\d_]+\b")
-_SHOUTED = re.compile(r"!{2,}|\b[A-Z]{4,}\b")
+_MASKED = re.compile(r"[^\W\d_][*@$#]+[^\W\d_]")
 _PIECE = 1 << 20
 
 
@@ -116,7 +122,7 @@ class Lexicon:
                         held[w] += 1
             count += len(words)
             masked = masked or bool(_MASKED.search(piece))
-            shouted = shouted or bool(_SHOUTED.search(piece))
+            shouted = shouted or "!!" in piece
         hits = sum(held.values())
         patterns = (len(held) > 1, hits > len(held), 100 * hits >= count > 0, close, masked, shouted)
         for i, fires in enumerate(patterns, len(FAMILIES) * FOLDS):
@@ -185,10 +191,9 @@ def fit_classifier(entries: list[list[int]], votes: np.ndarray, targets: np.ndar
     n = len(targets)
     rows = np.repeat(np.arange(n), [len(e) for e in entries])
     columns = np.array([c for e in entries for c in e], np.int64)
-    patterns = _bits(votes)[:, len(FAMILIES) * FOLDS :]
-    more = np.nonzero(patterns)
+    more = np.nonzero(_bits(votes)[:, [len(FAMILIES) * FOLDS + i for i in OWN_PATTERNS]])
     rows, columns = np.concatenate([rows, more[0]]), np.concatenate([columns, more[1] + size])
-    width = size + len(PATTERNS)
+    width = size + len(OWN_PATTERNS)
     balance = targets / max(targets.sum(), 1e-9) + (1 - targets) / max((1 - targets).sum(), 1e-9)
     balance /= balance.sum()
     weights, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
@@ -209,71 +214,102 @@ class ToxicityModel:
     weights: np.ndarray
     labels: LabelModel | None
 
-    def score(self, text: str | None) -> float:
+    def _logit(self, votes: int, entries: list[int]) -> float:
+        logit = self.weights[-1] + self.weights[entries].sum()
+        for k, i in enumerate(OWN_PATTERNS):
+            if votes >> (len(FAMILIES) * FOLDS + i) & 1:
+                logit += self.weights[self.lexicon.size + k]
+        return logit
+
+    def score(self, votes: int, entries: list[int]) -> float:
+        """The score of a text that was looked at."""
         if not self.lexicon.size:
             return 0.0
-        votes, found = self.lexicon.look(text)
-        logit = self.weights[-1] + self.weights[found].sum()
-        for i in range(len(PATTERNS)):
-            if votes >> (len(FAMILIES) * FOLDS + i) & 1:
-                logit += self.weights[self.lexicon.size + i]
-        return float(1 / (1 + math.exp(-min(40.0, max(-40.0, logit)))))
+        return float(1 / (1 + math.exp(-min(40.0, max(-40.0, self._logit(votes, entries))))))
 
     def scores(self, text: Column) -> Column:
         """The score of each text, between 0 and 1."""
 
         @F.pandas_udf("double")
         def scored(texts: pd.Series) -> pd.Series:
-            return pd.Series([self.score(t) for t in texts], dtype="float64")
+            return pd.Series([self.score(*self.lexicon.look(t)) for t in texts], dtype="float64")
 
         return scored(text)
 
+    def scores_of(self, votes: Column, entries: Column) -> Column:
+        """The score of each text from what was seen in it."""
+
+        @F.pandas_udf("double")
+        def scored(votes: pd.Series, entries: pd.Series) -> pd.Series:
+            return pd.Series([self.score(v, list(e)) for v, e in zip(votes, entries, strict=True)], dtype="float64")
+
+        return scored(votes, entries)
+
 
 def held_out(id_column: str) -> Column:
     """Rows whose labels are kept from learning."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _count_features(batches: Iterator[pa.RecordBatch], wanted: frozenset | None) -> Iterator[pa.RecordBatch]:
+def kind_of(text: str | None) -> str:
+    """The most frequent word of a text, the first in the alphabet among several."""
+    counts: Counter = Counter()
+    for piece in _pieces(text or ""):
+        counts.update(_WORD.findall(piece.lower()))
+    return min(counts, key=lambda w: (-counts[w], w)) if counts else ""
+
+
+def _count_features(batches: Iterator[pa.RecordBatch], wanted: frozenset | None, shares: dict[str, float], overall: float) -> Iterator[pa.RecordBatch]:
+    """How many rows have a feature, and how many of those would be toxic if they were
+    like other texts of their kind; for the wanted features if these are given."""
     counts: Counter = Counter()
+    expected: Counter = Counter()
 
     def made() -> pa.RecordBatch:
         keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([v for _, v in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["family", "value", "n"])
+        columns = [pa.array([k for k, _ in keys], pa.int32()), pa.array([v for _, v in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64()), pa.array([expected[k] for k in keys], pa.float64())]
+        return pa.RecordBatch.from_arrays(columns, ["family", "value", "n", "expected"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            share = shares.get(kind, overall)
             found = features(text)
-            counts.update(found if wanted is None else found & wanted)
+            for key in found if wanted is None else found & wanted:
+                counts[key] += 1
+                expected[key] += share
             if len(counts) > 500_000:
                 yield made()
                 counts.clear()
+                expected.clear()
     if counts:
         yield made()
 
 
-def _counted(texts: DataFrame, wanted: frozenset | None) -> DataFrame:
-    rows = texts.select("text").mapInArrow(lambda batches: _count_features(batches, wanted), "family int, value string, n long")
-    return rows.groupBy("family", "value").agg(F.sum("n").alias("n"))
-
-
 def learn_lexicon(sample: DataFrame) -> Lexicon:
     """Entries that go with the toxic rows of a bounded sample (``text``, ``toxic``)."""
+    none = Lexicon(tuple({} for _ in FAMILIES))
     sizes = dict(sample.groupBy("toxic").count().collect())
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic:
-        return Lexicon(tuple({} for _ in FAMILIES))
+    toxic, rows = sizes.get(1, 0), sum(sizes.values())
+    if not toxic or toxic == rows:
+        return none
+    kinds = sample.groupBy("kind").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).filter(F.col("n") >= LEAST_KIND).collect()
+    shares, overall = {r.kind: r.t / r.n for r in kinds}, toxic / rows
     least = max(LEAST_ROWS, math.ceil(LEAST_SHARE * toxic))
-    common = {(r.family, r.value): r.n for r in _counted(sample.filter("toxic = 1"), None).filter(F.col("n") >= least).collect()}
-    wanted = frozenset(common)
-    beside = {(r.family, r.value): r.n for r in _counted(sample.filter("toxic = 0"), wanted).collect()}
+
+    def counted(value: int, wanted: frozenset | None) -> DataFrame:
+        texts = sample.filter(F.col("toxic") == value).select("text", "kind")
+        found = texts.mapInArrow(lambda b: _count_features(b, wanted, shares, overall), "family int, value string, n long, expected double")
+        return found.groupBy("family", "value").agg(F.sum("n").alias("n"), F.sum("expected").alias("expected"))
+
+    common = {(r.family, r.value): (r.n, r.expected) for r in counted(1, None).filter(F.col("n") >= least).collect()}
+    beside = {(r.family, r.value): (r.n, r.expected) for r in counted(0, frozenset(common)).collect()}
     chosen = []
-    for key, n in common.items():
-        m = beside.get(key, 0)
-        lift = n / toxic / ((m + 1) / (clean + 1))
-        expected = (n + m) / (toxic + clean)
-        ratio = 2 * (n * math.log(n / (toxic * expected)) + (m * math.log(m / (clean * expected)) if m else 0))
-        if lift >= LEAST_LIFT and ratio >= LEAST_RATIO:
+    for key, (n, of_toxic) in common.items():
+        m, of_clean = beside.get(key, (0, 0.0))
+        expected = of_toxic + of_clean
+        rest = n + m - expected
+        ratio = 2 * (n * math.log(n / expected) + (m * math.log(m / rest) if m else 0)) if expected > 0 else math.inf
+        if n > expected and n >= LEAST_PRECISION * (n + m) and ratio >= LEAST_RATIO:
             chosen.append(key)
     entries: tuple[dict[str, int], ...] = tuple({} for _ in FAMILIES)
     for number, (family, value) in enumerate(sorted(chosen)):
@@ -282,42 +318,61 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
 
 def _looked(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
+    """What the lexicon finds in the last column, in its place."""
     for batch in batches:
-        seen = [lexicon.value.look(t) for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in seen], pa.int64()), pa.array([e for _, e in seen], pa.list_(pa.int32()))], ["votes", "entries"])
+        seen = [lexicon.value.look(t) for t in batch.columns[-1].to_pylist()]
+        columns = [*batch.columns[:-1], pa.array([v for v, _ in seen], pa.int64()), pa.array([e for _, e in seen], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "votes", "entries"])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Lexicon, label model and classifier, from the labels that may be learnt from and
-    the texts of all documents."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def drawn_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
+    """``text``, ``toxic`` and ``kind`` of at most ``rows`` labelled documents."""
     known = labels.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
-    drawn = None
-    for value in (0, 1):
-        part = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("id", F.lit(97)), "id").limit(sample_rows)
-        drawn = part if drawn is None else drawn.union(part)
-    drawn = stored(drawn)  # at most 2 * sample_rows ids, so it may be sent to every task
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = stored(texts.join(F.broadcast(drawn), "id").select("text", "toxic"))
-    lexicon = learn_lexicon(sample)
-    if not lexicon.size:
-        return ToxicityModel(lexicon, np.zeros(len(PATTERNS) + 1), None)
-    shared = spark.sparkContext.broadcast(lexicon)
+    # at most so many ids, so they may be sent to every task
+    drawn = stored(known.orderBy(F.xxhash64("id", F.lit(97)), "id").limit(rows))
 
-    votes = texts.select("text").mapInArrow(lambda b: _looked(b, shared), "votes long, entries array<int>")
-    counted = votes.groupBy("votes").count().collect()  # at most 2 ** VOTERS rows
+    @F.pandas_udf("string")
+    def kind(texts: pd.Series) -> pd.Series:
+        return pd.Series([kind_of(t) for t in texts], dtype=object)
+
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id")
+    return stored(own.select("text", "toxic", kind("text").alias("kind")))
+
+
+def fit(lexicon: Lexicon, looked: DataFrame, sample: DataFrame) -> ToxicityModel:
+    """Label model from the votes of all documents, and classifier from the sample."""
+    if not lexicon.size:
+        return ToxicityModel(lexicon, np.zeros(len(OWN_PATTERNS) + 1), None)
+    counted = looked.groupBy("votes").count().collect()  # at most 2 ** VOTERS rows
     model = fit_label_model(np.array([r[0] for r in counted]), np.array([r[1] for r in counted]))
+    seen = look_at(sample.select("text"), lexicon).collect()
+    votes = np.array([r.votes for r in seen])
+    return ToxicityModel(lexicon, fit_classifier([r.entries for r in seen], votes, model.posterior(votes), lexicon.size), model)
 
-    seen = sample.select("text").mapInArrow(lambda b: _looked(b, shared), "votes long, entries array<int>").collect()
-    own = np.array([r.votes for r in seen])
-    weights = fit_classifier([r.entries for r in seen], own, model.posterior(own), lexicon.size)
-    return ToxicityModel(lexicon, weights, model)
 
+def look_at(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``votes`` and ``entries`` in the place of the last column."""
+    shared = texts.sparkSession.sparkContext.broadcast(lexicon)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
+    return texts.mapInArrow(lambda b: _looked(b, shared), f"{kept}{', ' * bool(kept)}votes long, entries array<int>")
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+    """Lexicon, label model and classifier, from the labels that may be learnt from and
+    the texts of all documents."""
+    small_batches(docs.sparkSession)
+    sample = drawn_sample(docs, labels, id_col, text_col, label_col, sample_rows)
+    lexicon = learn_lexicon(sample)
+    return fit(lexicon, look_at(docs.select(F.col(text_col).alias("text")), lexicon), sample)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Id, ``held_out``, ``score`` and ``predicted`` of each row."""
-    model = learn(docs, labels, id_col, text_col)
-    scored = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), model.scores(F.col(text_col)).alias("score"))
+    small_batches(docs.sparkSession)
+    sample = drawn_sample(docs, labels, id_col, text_col, label_col, sample_rows)
+    lexicon = learn_lexicon(sample)
+    looked = stored(look_at(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), lexicon))
+    model = fit(lexicon, looked, sample)
+    scored = looked.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), model.scores_of(F.col("votes"), F.col("entries")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
