@@ -168,6 +168,13 @@ def test_rectangles_and_pixels(spark):
         *PAGE, F.col("image_height").alias("height"), F.col("image_width").alias("width"), channels.alias("n_channels"),
         F.unhex(F.repeat(F.lit("FF"), F.col("image_width") * F.col("image_height") * channels)).alias("data"),
     )
+    held = {r.doc_id: (r.data, r.error) for r in fill_rectangles(images, rects, PAGE).collect()}
+    # an image with a rectangle that cannot be placed is held back
+    assert held[1] == (None, "a rectangle does not lie in the image") and held[2] == (b"\xff" * 48, None)
+    elsewhere = spark.createDataFrame([(9, 1, "face", (0, 0, 2, 2))], f"doc_id int, page_no int, detection_type string, bbox {BOX}")
+    unsized = O.redaction_rectangles(elsewhere, pages, PAGE).collect()
+    assert [(r.doc_id, r.valid, r.rect) for r in unsized] == [(9, False, None)]
+    rects = rects.filter("valid")
     filled = {r.doc_id: r.data for r in fill_rectangles(images, rects, PAGE).collect()}
     black = {
         (x, y) for y in range(8) for x in range(10) if filled[1][(y * 10 + x) * 3 : (y * 10 + x) * 3 + 3] == b"\0\0\0"
@@ -220,9 +227,10 @@ def test_document_rollup_and_publication(spark):
         [("a", 1, 1, 0, True), ("a", 2, 2, 0, True), ("b", 1, 1, 0, True), ("b", 2, 3, 4, False), ("c", 1, 1, 0, True)],
         "doc_id string, page_no int, redaction_passes int, remaining_count int, passed boolean",
     )
-    documents = spark.createDataFrame([("a", True), ("b", True), ("c", False)], "doc_id string, text_layer_empty boolean")
+    documents = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("none", True)], "doc_id string, text_layer_empty boolean")
     rolled = I.document_results(pages, documents)
     published, held = I.publishable(rolled)
     assert [r.doc_id for r in published.collect()] == ["a"]
-    assert sorted(r.doc_id for r in held.collect()) == ["b", "c"]
+    # a document without pages was not looked at, so it is held back
+    assert sorted((r.doc_id, r.page_count) for r in held.collect()) == [("b", 2), ("c", 1), ("none", 0)]
     assert [tuple(r) for r in I.failed_pages(pages).collect()] == [("b", 2, 4)]

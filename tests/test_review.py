@@ -177,7 +177,7 @@ def test_sessions(spark):
 def test_session_states(spark):
     pages = spark.createDataFrame([(s, 1) for s in "abcd"], "session_id string, page_number int")
     log = spark.createDataFrame([("b", 1, 1, 0), ("c", 1, 1, 0), ("d", 1, 1, 0), ("d", 1, 9, 1)], "session_id string, page_number int, seq long, revision int")
-    exported = spark.createDataFrame([("c", 5), ("d", 5)], "session_id string, seq long")
+    exported = spark.createDataFrame([("a", 3), ("c", 5), ("d", 5)], "session_id string, seq long")
     got = {r.session_id: r.state for r in R.session_states(pages, log, exported).collect()}
     assert got == {"a": "uploaded", "b": "analyzed", "c": "exported", "d": "analyzed"}
     assert {r.session_id: r.revision for r in R.current_plans(log).collect()}["d"] == 1
@@ -193,6 +193,7 @@ def test_analysis_gives_numbered_regions(spark):
     assert sorted((r.region_id, r.detection_type) for r in regions.collect()) == [("auto-0001", "face"), ("auto-0002", "phone")]
     assert R.plan_violations(plans).count() == 0 and R.region_violations(regions, plans).count() == 0
     changed = plans.select("plan_id", F.lit("00" * 32).alias("source_sha256"), "image_width", "image_height")
+    assert R.source_mismatches(plans, plans.limit(0)).count() == 1
     assert R.source_mismatches(plans, plans).count() == 0 and R.source_mismatches(plans, changed).count() == 1
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan import schemas as S
+from veilspan.functions.text import strip
 
 # --- fixed values -----------------------------------------------------------
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg")
@@ -17,9 +18,9 @@ SUPPORTED_EXTENSIONS = (
 )
 MEDIA_TYPES = ("image/png", "image/jpeg", "application/pdf")
 
-SHA256 = r"^[0-9a-f]{64}$"
-REVISION = r"^[0-9a-f]{40}$"
-REPOSITORY = r"^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+$"
+SHA256 = r"\A[0-9a-f]{64}\z"
+REVISION = r"\A[0-9a-f]{40}\z"
+REPOSITORY = r"\A[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+\z"
 
 SKIPPED_DIRECTORIES = (
     ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".git", ".idea",
@@ -99,7 +100,7 @@ def is_safe_relative_path(path: Column | str) -> Column:
     Empty and ``.`` parts disappear when a path is normalised, so only a path
     made of nothing else is rejected for them by being blank.
     """
-    path = F.trim(_col(path))
+    path = strip(path)
     parts = F.split(path, "/")
     return F.coalesce(
         (path != "")
@@ -111,7 +112,7 @@ def is_safe_relative_path(path: Column | str) -> Column:
 
 
 def is_ascii(value: Column | str) -> Column:
-    return _col(value).rlike(r"^[\x00-\x7f]*$")
+    return _col(value).rlike(r"\A[\x00-\x7f]*\z")
 
 
 def fingerprint(content: Column | str) -> Column:

@@ -187,10 +187,11 @@ def redaction_rectangles(
     """Black rectangle per detection: grown by the margin, cut at the border.
 
     The fill includes the right and lower edge, hence the covered area.
-    ``valid`` is false where a box lies outside the image.
+    ``valid`` is false where a box lies outside the image, or where the size of
+    the image is not known.
     """
     sized = detections.join(
-        pages.select(*keys, "image_width", "image_height"), list(keys)
+        pages.select(*keys, "image_width", "image_height"), list(keys), "left"
     )
     margin = margin if isinstance(margin, Column) else F.lit(margin)
     rect = expand_bbox("bbox", margin, "image_width", "image_height")

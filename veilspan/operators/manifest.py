@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import paths as P
+from veilspan.functions.text import strip
 from veilspan.operators.detections import add_once, explode_rows
 from veilspan.schemas import MANIFEST_JSON
 
@@ -27,7 +28,7 @@ def parse_manifests(df: DataFrame, json: str = "json") -> DataFrame:
 def normalized_path(path: Column | str) -> Column:
     """Path without empty and ``.`` parts."""
     value = F.col(path) if isinstance(path, str) else path
-    parts = F.filter(F.split(F.trim(value), "/"), lambda p: (p != "") & (p != "."))
+    parts = F.filter(F.split(strip(value), "/"), lambda p: (p != "") & (p != "."))
     return F.array_join(parts, "/")
 
 
@@ -35,10 +36,10 @@ def manifest_models(parsed: DataFrame, key: str) -> DataFrame:
     return parsed.select(key, F.posexplode("manifest.models").alias("model_no", "m")).select(
         key,
         "model_no",
-        F.trim("m.id").alias("model_id"),
-        F.trim("m.name").alias("name"),
-        F.trim("m.provider").alias("provider"),
-        F.trim("m.license").alias("license"),
+        strip("m.id").alias("model_id"),
+        strip("m.name").alias("name"),
+        strip("m.provider").alias("provider"),
+        strip("m.license").alias("license"),
         normalized_path("m.target_directory").alias("target_directory"),
     )
 
@@ -49,7 +50,7 @@ def manifest_files(parsed: DataFrame, key: str) -> DataFrame:
     sources = models.select(
         key,
         "model_no",
-        F.trim("m.id").alias("model_id"),
+        strip("m.id").alias("model_id"),
         normalized_path("m.target_directory").alias("target_directory"),
         F.posexplode("m.sources").alias("source_no", "s"),
     )
@@ -59,8 +60,8 @@ def manifest_files(parsed: DataFrame, key: str) -> DataFrame:
         "model_id",
         "target_directory",
         "source_no",
-        F.trim("s.repo_id").alias("repo_id"),
-        F.lower(F.trim("s.revision")).alias("revision"),
+        strip("s.repo_id").alias("repo_id"),
+        F.lower(strip("s.revision")).alias("revision"),
         F.posexplode("s.files").alias("file_no", "f"),
     ).select(
         key,
@@ -74,16 +75,16 @@ def manifest_files(parsed: DataFrame, key: str) -> DataFrame:
         normalized_path("f.path").alias("path"),
         F.col("f.path").alias("raw_path"),
         F.col("f.size").alias("size"),
-        F.lower(F.trim("f.sha256")).alias("sha256"),
+        F.lower(strip("f.sha256")).alias("sha256"),
     )
 
 
 def _blank(value: Column) -> Column:
-    return F.coalesce(F.trim(value) == "", F.lit(True))
+    return F.coalesce(strip(value) == "", F.lit(True))
 
 
 def _fails(value: Column, pattern: str) -> Column:
-    return ~F.coalesce(F.lower(F.trim(value)).rlike(pattern), F.lit(False))
+    return ~F.coalesce(F.lower(strip(value)).rlike(pattern), F.lit(False))
 
 
 def _empty(value: Column) -> Column:
@@ -134,7 +135,7 @@ def manifest_violations(parsed: DataFrame, key: str) -> DataFrame:
     source_rows = report(
         sources,
         rule(
-            ~F.coalesce(F.trim("_s.repo_id").rlike(P.REPOSITORY), F.lit(False)),
+            ~F.coalesce(strip("_s.repo_id").rlike(P.REPOSITORY), F.lit(False)),
             at(*source_at, ".repo_id"),
             "bad_repository",
         ),

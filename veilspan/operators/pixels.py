@@ -19,7 +19,7 @@ def fill_rectangles(
     margin: int = 0,
     transform: Transform | None = None,
 ) -> DataFrame:
-    """Overwrite rectangles with black pixels: ``keys, height, width, data``.
+    """Overwrite rectangles with black pixels: ``keys, height, width, data, error``.
 
     ``images`` has ``height, width, n_channels, data`` as the image source
     yields them (BGR bytes, top row first); ``rectangles`` has ``rect`` as
@@ -27,27 +27,37 @@ def fill_rectangles(
     The output has three channels.  The rectangles of one image are gathered
     with it after copies are removed, since an image is filled in one piece.
 
+    A rectangle that is null could not be placed in its image.  Such an image is
+    held back: its ``data`` is null and ``error`` says why.
+
     ``transform(pixels, rectangles, margin)`` may change the filled pixels.
     """
     keys = list(keys)
     per_image = (
-        rectangles.filter(F.col("rect").isNotNull())
-        .select(*keys, "rect")
+        rectangles.select(*keys, "rect")
         .distinct()
         .groupBy(*keys)
         .agg(
-            F.collect_list(F.array("rect.x1", "rect.y1", "rect.x2", "rect.y2")).alias("rects")
+            F.collect_list(
+                F.when(F.col("rect").isNotNull(), F.array("rect.x1", "rect.y1", "rect.x2", "rect.y2"))
+            ).alias("rects"),
+            F.bool_or(F.col("rect").isNull()).alias("unplaced"),
         )
     )
     joined = images.join(per_image, keys, "left").select(
-        *keys, "height", "width", "n_channels", "data", "rects"
+        *keys, "height", "width", "n_channels", "data", "rects", "unplaced"
     )
     key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name in keys)
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            filled = []
+            filled, errors = [], []
             for row in batch.itertuples(index=False):
+                if row.unplaced is True:
+                    filled.append(None)
+                    errors.append("a rectangle does not lie in the image")
+                    continue
+                errors.append(None)
                 pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(
                     row.height, row.width, row.n_channels
                 )
@@ -62,6 +72,7 @@ def fill_rectangles(
                 filled.append(pixels.tobytes())
             out = batch[keys + ["height", "width"]].copy()
             out["data"] = filled
+            out["error"] = errors
             yield out
 
-    return joined.mapInPandas(fill, f"{key_fields}, height int, width int, data binary")
+    return joined.mapInPandas(fill, f"{key_fields}, height int, width int, data binary, error string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan import schemas as S
@@ -127,14 +128,14 @@ def source_mismatches(plans: DataFrame, files: DataFrame) -> DataFrame:
     """Plans whose bound source is not the given file.
 
     ``files`` holds ``plan_id, source_sha256, image_width, image_height`` of
-    what is about to be used.
+    what is about to be used; a plan whose file is missing is a mismatch.
     """
     bound = ("source_sha256", "image_width", "image_height")
-    now = files.select("plan_id", *(F.col(c).alias(f"_{c}") for c in bound))
-    same = F.lit(True)
+    now = files.select("plan_id", F.lit(True).alias("_there"), *(F.col(c).alias(f"_{c}") for c in bound))
+    same = F.col("_there").isNotNull()
     for column in bound:
         same = same & F.col(column).eqNullSafe(F.col(f"_{column}"))
-    return plans.join(now, "plan_id").filter(~same).select("plan_id", "revision")
+    return plans.join(now, "plan_id", "left").filter(~same).select("plan_id", "revision")
 
 
 # --- revisions --------------------------------------------------------------
@@ -143,57 +144,102 @@ def source_mismatches(plans: DataFrame, files: DataFrame) -> DataFrame:
 def _requests(
     decisions: DataFrame, geometry_updates: DataFrame, manual_regions: DataFrame
 ) -> DataFrame:
+    """All change requests in one table, by ``kind``."""
     columns = ("plan_id", "expected_revision")
+    no_box = F.lit(None).cast(S.BBOX).alias("bbox")
+    no_text = F.lit(None).cast("string")
     return (
-        decisions.select(*columns)
-        .unionByName(geometry_updates.select(*columns))
-        .unionByName(manual_regions.select(*columns))
-        .distinct()
+        decisions.select(
+            *columns, F.lit("decision").alias("kind"), "region_id", no_box, F.col("action").alias("action"), no_text.alias("detection_type")
+        )
+        .unionByName(
+            geometry_updates.select(
+                *columns, F.lit("geometry_update").alias("kind"), "region_id", F.col("bbox").cast(S.BBOX).alias("bbox"), no_text.alias("action"), no_text.alias("detection_type")
+            )
+        )
+        .unionByName(
+            manual_regions.select(
+                *columns, F.lit("manual").alias("kind"), no_text.alias("region_id"), F.col("bbox").cast(S.BBOX).alias("bbox"), no_text.alias("action"), "detection_type"
+            )
+        )
     )
 
 
-def revision_violations(
+def _judged_requests(
     plans: DataFrame,
     regions: DataFrame,
     decisions: DataFrame,
     geometry_updates: DataFrame,
     manual_regions: DataFrame,
 ) -> DataFrame:
-    """Why change requests cannot be applied to the current plans.
+    """The requests with what is wrong about each, ``broken`` as an array of reasons.
 
-    Columns ``plan_id, region_id, reason``; ``region_id`` is null for a stale
-    revision or an unknown plan, which concern the request as a whole.
+    A requested box, type or action has to follow the rules of the regions it
+    becomes; see ``region_violations``.
     """
-    current = plans.select("plan_id", "revision")
-    stale = (
+    current = plans.select("plan_id", "revision", "image_width", "image_height")
+    known = (
+        regions.join(plans.select("plan_id", "revision"), ["plan_id", "revision"], "left_semi")
+        .groupBy("plan_id", "region_id")
+        .agg(F.count("*").alias("_known"))
+    )
+    same = W.partitionBy("plan_id", "kind", "region_id")
+    asked = (
         _requests(decisions, geometry_updates, manual_regions)
+        .withColumn("_times", F.count("*").over(same))
         .join(current, "plan_id", "left")
-        .filter(~F.col("expected_revision").eqNullSafe(F.col("revision")))
-        .select(
-            "plan_id",
-            F.lit(None).cast("string").alias("region_id"),
-            F.when(F.col("revision").isNull(), "unknown_plan")
-            .otherwise("stale_revision")
-            .alias("reason"),
-        )
-        .distinct()
+        .join(known, ["plan_id", "region_id"], "left")
+    )
+    boxed, named = F.col("kind") != "decision", F.col("kind") != "manual"
+    for_plan = {
+        "unknown_plan": F.col("revision").isNull(),
+        "stale_revision": F.col("revision").isNotNull()
+        & ~F.col("expected_revision").eqNullSafe(F.col("revision")),
+    }
+    for_region = {
+        **{
+            f"{word}_{kind}{end}": (F.col("kind") == kind) & condition
+            for kind in ("decision", "geometry_update")
+            for word, end, condition in (
+                ("duplicate", "", F.col("_times") > 1),
+                ("unknown", "_region", F.col("_known").isNull()),
+            )
+        },
+        "ambiguous_region": named & (F.coalesce("_known", F.lit(0)) > 1),
+        "unknown_action": ~boxed & ~F.coalesce(F.col("action").isin(*S.ACTIONS), F.lit(False)),
+        "unknown_type": F.col("detection_type").isNotNull()
+        & ~F.col("detection_type").isin(*S.DETECTION_TYPES),
+        "invalid_box": boxed & ~bbox_is_valid("bbox"),
+        "outside_image": boxed
+        & bbox_is_valid("bbox")
+        & ~F.coalesce(bbox_is_within("bbox", F.col("image_width"), F.col("image_height")), F.lit(True)),
+    }
+    return asked.withColumn("_plan_reasons", _broken(for_plan)).withColumn(
+        "_region_reasons", _broken(for_region)
     )
-    known = regions.join(current, ["plan_id", "revision"]).select("plan_id", "region_id")
 
-    def per_region(changes: DataFrame, name: str) -> DataFrame:
-        counted = changes.groupBy("plan_id", "region_id").agg(F.count("*").alias("_n"))
-        duplicate = counted.filter(F.col("_n") > 1).select(
-            "plan_id", "region_id", F.lit(f"duplicate_{name}").alias("reason")
-        )
-        unknown = counted.join(known, ["plan_id", "region_id"], "left_anti").select(
-            "plan_id", "region_id", F.lit(f"unknown_{name}_region").alias("reason")
-        )
-        return duplicate.unionByName(unknown)
 
-    return (
-        stale.unionByName(per_region(decisions, "decision"))
-        .unionByName(per_region(geometry_updates, "geometry_update"))
+def revision_violations(
+    plans: DataFrame,
+    regions: DataFrame,
+    decisions: DataFrame,
+    geometry_updates: DataFrame,
+    manual_regions: DataFrame,
+) -> DataFrame:
+    """Why change requests cannot be applied to the current plans.
+
+    Columns ``plan_id, region_id, reason``; ``region_id`` is null for a stale
+    revision or an unknown plan, which concern the request as a whole, and for
+    what is wrong with a manual region.
+    """
+    asked = _judged_requests(plans, regions, decisions, geometry_updates, manual_regions)
+    none = F.lit(None).cast("string")
+    reasons = F.concat(
+        F.transform("_plan_reasons", lambda r: F.struct(none.alias("region_id"), r.alias("reason"))),
+        F.transform("_region_reasons", lambda r: F.struct(F.col("region_id"), r.alias("reason"))),
     )
+    found = explode_rows(asked, ["plan_id"], reasons)
+    return found.select("plan_id", "d.region_id", "d.reason").distinct()
 
 
 def revise_plans(
@@ -209,23 +255,18 @@ def revise_plans(
     with any violation are left out as a whole.  ``manual_regions`` carries a
     ``request_no`` that tells equal requests of one plan apart.
     """
-    rejected = revision_violations(
-        plans, regions, decisions, geometry_updates, manual_regions
-    ).select("plan_id")
+    asked = _judged_requests(plans, regions, decisions, geometry_updates, manual_regions)
+    clean = (F.size("_plan_reasons") == 0) & (F.size("_region_reasons") == 0)
     accepted = (
-        _requests(decisions, geometry_updates, manual_regions)
-        .select("plan_id")
-        .distinct()
-        .join(rejected, "plan_id", "left_anti")
+        asked.groupBy("plan_id", "revision")
+        .agg(F.bool_and(clean).alias("_clean"))
+        .filter("_clean")
+        .select("plan_id", "revision")
     )
-    next_plans = plans.join(accepted, "plan_id", "left_semi").withColumn(
+    next_plans = plans.join(accepted, ["plan_id", "revision"], "left_semi").withColumn(
         "revision", F.col("revision") + 1
     )
-    kept = regions.join(accepted, "plan_id", "left_semi").join(
-        plans.select("plan_id", "revision"), ["plan_id", "revision"], "left_semi"
-    )
-    # An unknown region can occur only in a rejected plan, so the left joins
-    # below see at most one change per region.
+    # A region has at most one decision and one move here, as others are refused.
     changes = decisions.select("plan_id", "region_id", F.col("action").alias("_action"))
     moves = geometry_updates.select("plan_id", "region_id", F.col("bbox").alias("_bbox"))
     moved = (
@@ -234,7 +275,8 @@ def revise_plans(
         & ~F.col("_bbox").eqNullSafe(F.col("bbox"))
     )
     revised = (
-        kept.join(changes, ["plan_id", "region_id"], "left")
+        regions.join(accepted, ["plan_id", "revision"], "left_semi")
+        .join(changes, ["plan_id", "region_id"], "left")
         .join(moves, ["plan_id", "region_id"], "left")
         .select(
             "plan_id",
@@ -248,28 +290,17 @@ def revise_plans(
             (F.col("geometry_modified") | moved).alias("geometry_modified"),
         )
     )
-    added = (
-        manual_regions.join(accepted, "plan_id", "left_semi")
-        .select(
-            "plan_id",
-            (F.col("expected_revision") + 1).alias("revision"),
-            F.concat(
-                F.lit("manual-"),
-                F.substring(
-                    F.sha2(
-                        F.concat_ws("|", "plan_id", "expected_revision", "request_no"), 256
-                    ),
-                    1,
-                    32,
-                ),
-            ).alias("region_id"),
-            "bbox",
-            F.lit("manual").alias("provenance"),
-            F.lit("retain").alias("action"),
-            "detection_type",
-            F.lit(None).cast("double").alias("confidence"),
-            F.lit(False).alias("geometry_modified"),
-        )
+    name = F.sha2(F.concat_ws("|", "plan_id", "expected_revision", "request_no"), 256)
+    added = manual_regions.join(accepted.select("plan_id"), "plan_id", "left_semi").select(
+        "plan_id",
+        (F.col("expected_revision") + 1).alias("revision"),
+        F.concat(F.lit("manual-"), F.substring(name, 1, 32)).alias("region_id"),
+        "bbox",
+        F.lit("manual").alias("provenance"),
+        F.lit("retain").alias("action"),
+        "detection_type",
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(False).alias("geometry_modified"),
     )
     return next_plans, revised.unionByName(added)
 
@@ -413,13 +444,15 @@ def current_plans(plan_log: DataFrame) -> DataFrame:
 
 
 def session_states(pages: DataFrame, plan_log: DataFrame, exports: DataFrame) -> DataFrame:
-    """uploaded, analyzed or exported; later plan changes void an export."""
+    """uploaded, analyzed or exported; later plan changes void an export.
+
+    An export entry of a session without a plan does not count.
+    """
     planned = plan_log.groupBy("session_id").agg(F.max("seq").alias("_planned"))
     exported = exports.groupBy("session_id").agg(F.max("seq").alias("_exported"))
     state = (
         F.when(
-            F.col("_exported").isNotNull()
-            & (F.col("_exported") > F.coalesce("_planned", F.lit(-1))),
+            F.col("_exported") > F.col("_planned"),
             "exported",
         )
         .when(F.col("_planned").isNotNull(), "analyzed")

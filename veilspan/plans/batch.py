@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions.paths import is_supported
+from veilspan.functions.paths import output_path as file_output_path
 from veilspan.operators.batch import batch_summary, output_collisions
 from veilspan.plans.text import sanitize_texts
 from veilspan.schemas import DEFAULT_MAX_PASSES
@@ -34,17 +35,28 @@ def sanitize_directory(
 ) -> DataFrame:
     """Sanitize all text files below a path and return the one-row summary.
 
-    The results are one table, partitioned by ``status``; a file that cannot be
-    read, or whose output name another file claims too, is a row with status
-    ``failed`` and its ``error``.  The summary reads what was written.
+    The results are one table, partitioned by ``status``.  Every supported file is
+    a row: one that cannot be read, whose output name another file claims too, or
+    whose kind needs recognised pages, has the status ``failed`` and an ``error``.
+    The summary reads what was written.
+
+    Names that are used twice are found on the listing, and the texts are read
+    after that, so no content is shuffled for it.
     """
-    files = supported_files(spark, input_path, recursive).filter("route = 'text'")
-    texts = read_texts(files, output_path).select("path", "output_path", "text", "error")
-    shared = output_collisions(texts).select("output_path", F.lit(True).alias("_shared"))
-    checked = texts.join(shared, "output_path", "left").withColumn(
-        "error",
-        F.coalesce("error", F.when(F.col("_shared"), "output name is used more than once")),
+    listed = supported_files(spark, input_path, recursive).select(
+        "path", "route", file_output_path("path", F.lit(output_path)).alias("output_path")
+    )
+    shared = output_collisions(listed).select("output_path", F.lit(True).alias("_shared"))
+    errors = listed.join(shared, "output_path", "left").select(
+        "path",
+        "output_path",
+        F.when(F.col("_shared"), "output name is used more than once")
+        .when(F.col("route") != "text", F.concat("route", F.lit(" files need recognised pages")))
+        .alias("refused"),
     )
+    refused = errors.filter(F.col("refused").isNotNull())
+    texts = read_texts(supported_files(spark, input_path, recursive).filter("route = 'text'"), output_path)
+    checked = texts.join(refused.select("path"), "path", "left_anti").select("path", "output_path", "text", "error")
     done = sanitize_texts(
         checked.filter(F.col("error").isNull()).select("path", "output_path", "text"),
         max_passes=max_passes,
@@ -59,8 +71,11 @@ def sanitize_directory(
         F.lit(None).cast("string").alias("error"),
         "status",
     )
-    failed = checked.filter(F.col("error").isNotNull()).select(
-        "path", "output_path", "error", F.lit("failed").alias("status")
+    failed = (
+        checked.filter(F.col("error").isNotNull())
+        .select("path", "output_path", "error")
+        .unionByName(refused.select("path", "output_path", F.col("refused").alias("error")))
+        .withColumn("status", F.lit("failed"))
     )
     write_sanitized(done.unionByName(failed, allowMissingColumns=True), output_path)
     return batch_summary(spark.read.schema("error string, status string").parquet(output_path))

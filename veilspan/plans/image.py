@@ -109,16 +109,21 @@ def document_results(
 
     ``documents`` carries ``text_layer_empty``.  A document passes when all its
     pages do and no extractable text is left; failed pages stay rows, see
-    ``failed_pages``.
+    ``failed_pages``.  A document without pages, or pages without a document, do
+    not pass.
     """
     rolled = pages.groupBy(*keys).agg(
         F.count("*").alias("page_count"),
         F.count_if(~F.col("passed")).alias("failed_page_count"),
         F.sum("redaction_passes").alias("redaction_passes"),
     )
-    return rolled.join(documents, list(keys), "left").withColumn(
+    joined = rolled.join(documents, list(keys), "full_outer")
+    for count in ("page_count", "failed_page_count", "redaction_passes"):
+        joined = joined.withColumn(count, F.coalesce(count, F.lit(0)))
+    return joined.withColumn(
         "passed",
         F.coalesce(F.col("text_layer_empty"), F.lit(False))
+        & (F.col("page_count") > 0)
         & (F.col("failed_page_count") == 0),
     )
 

@@ -8,6 +8,7 @@ from veilspan.functions import boxes as B
 from veilspan.operators import boxes as O
 from veilspan.operators import detections as D
 from veilspan.operators.pixels import fill_rectangles
+from veilspan.operators.passes import first_reports
 from veilspan.plans import image as I
 from workload.common import BOX_SQL, Derived, flat_box
 
@@ -327,15 +328,18 @@ TYPE_COUNTS_SQL = f"""
 
 def redaction_rectangles(spark, sf):
     pages = RAW.df(spark, sf).select(*PAGE, "image_width", "image_height").distinct()
+    pages = pages.filter("doc_id % 7 <> 3")  # some pages have no known size
     rects = O.redaction_rectangles(_all_detections(spark, sf), pages, PAGE)
     return rects.select(*PAGE, "detection_type", *flat_box("rect"), "valid", "covered")
 
 
 RECTANGLES_SQL = f"""
-    SELECT doc_id, page_no, detection_type, x1, y1, x2, y2, x2 > x1 AND y2 > y1 AS valid,
+    SELECT doc_id, page_no, detection_type, x1, y1, x2, y2, coalesce(x2 > x1 AND y2 > y1, false) AS valid,
       (least(999, x2) - x1 + 1) * (least(799, y2) - y1 + 1) AS covered
-    FROM (SELECT doc_id, page_no, detection_type, greatest(0, x1 - 5) AS x1, greatest(0, y1 - 5) AS y1,
-      least(1000, x2 + 5) AS x2, least(800, y2 + 5) AS y2 FROM {ALL}) AS r"""
+    FROM (SELECT doc_id, page_no, detection_type,
+      CASE WHEN doc_id % 7 <> 3 THEN greatest(0, x1 - 5) END AS x1, CASE WHEN doc_id % 7 <> 3 THEN greatest(0, y1 - 5) END AS y1,
+      CASE WHEN doc_id % 7 <> 3 THEN least(1000, x2 + 5) END AS x2, CASE WHEN doc_id % 7 <> 3 THEN least(800, y2 + 5) END AS y2
+      FROM {ALL}) AS r"""
 
 
 def numbered_regions(spark, sf):
@@ -467,32 +471,35 @@ def new_detections(spark, sf):
     """Reports of the first verification that name something not yet applied."""
     _, found = _pass_tables(spark, sf)
     identity = [*PAGE, "detection_type", "bbox"]
-    known = found.filter("pass_no = 0").select(*identity)
+    first = first_reports(found, PAGE).filter("first_pass = 1").select(*identity)
     return (
-        found.filter("pass_no = 1").join(known, identity, "left_anti")
+        found.filter("pass_no = 1").join(first, identity, "left_semi")
         .select(*PAGE, "detection_type", *flat_box(), "confidence")
     )
 
 
 def page_verification(spark, sf):
+    """What the last pass of each page still reports."""
     pages, found = _pass_tables(spark, sf)
-    return D.verification_report(pages, found.filter("pass_no = 3"), PAGE)
+    last = I.sanitize_pages(pages, found, PAGE).select(*PAGE, F.col("redaction_passes").alias("pass_no"))
+    return D.verification_report(pages, found.join(last, [*PAGE, "pass_no"], "left_semi"), PAGE)
 
 
-VERIFIED_SQL = f"""
-    SELECT doc_id, page_no, count(*) FILTER (pass_no = 3) AS remaining_count,
-      count(*) FILTER (pass_no = 3) = 0 AS passed FROM {PASSES.sql()} GROUP BY doc_id, page_no"""
+VERIFIED_SQL = f"WITH {LOOP} SELECT doc_id, page_no, remaining_count, passed FROM outcome"
 
 
 def _document_results(spark, sf):
     pages, found = _pass_tables(spark, sf)
     outcomes = I.sanitize_pages(pages, found, PAGE)
-    documents = pages.select("doc_id").distinct().select(
+    # every tenth document has a twin whose pages are missing
+    ids = pages.select(F.explode(F.when(F.col("doc_id") % 10 == 0, F.array("doc_id", -1 - F.col("doc_id"))).otherwise(F.array("doc_id"))).alias("doc_id"))
+    documents = ids.distinct().select(
         "doc_id",
         (F.col("doc_id") % 6 != 1).alias("text_layer_empty"),
         F.when(F.col("doc_id") % 2 == 0, "docx").otherwise("pdf").alias("source_format"),
     )
-    return outcomes, I.document_results(outcomes.filter("page_no % 5 = doc_id % 5"), documents)
+    verdicts = outcomes.withColumn("passed", F.col("passed") | (F.col("doc_id") % 4 == 0))
+    return outcomes, I.document_results(verdicts, documents)
 
 
 def document_results(spark, sf):
@@ -501,11 +508,14 @@ def document_results(spark, sf):
 
 
 _ROLLED = f"""{LOOP}, rolled AS (
-      SELECT doc_id, count(*) AS page_count, count_if(NOT passed)::bigint AS failed_page_count,
+      SELECT doc_id, count(*) AS page_count, count_if(NOT (passed OR doc_id % 4 = 0))::bigint AS failed_page_count,
         sum(redaction_passes)::bigint AS redaction_passes, doc_id % 6 <> 1 AS text_layer_empty,
         CASE WHEN doc_id % 2 = 0 THEN 'docx' ELSE 'pdf' END AS source_format,
-        doc_id % 6 <> 1 AND count_if(NOT passed) = 0 AS passed
-      FROM outcome WHERE page_no % 5 = doc_id % 5 GROUP BY doc_id)"""
+        doc_id % 6 <> 1 AND count_if(NOT (passed OR doc_id % 4 = 0)) = 0 AS passed
+      FROM outcome GROUP BY doc_id
+      UNION ALL SELECT DISTINCT -1 - doc_id, 0, 0, 0, (-1 - doc_id) % 6 <> 1,
+        CASE WHEN (-1 - doc_id) % 2 = 0 THEN 'docx' ELSE 'pdf' END, false
+      FROM outcome WHERE doc_id % 10 = 0)"""
 
 
 def published_documents(spark, sf):

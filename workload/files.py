@@ -195,12 +195,16 @@ UPLOADS_SQL = f"""
       FROM (SELECT p_partkey, p_partkey AS k, {_W} AS w, {_H} AS h FROM part) AS p) AS q"""
 
 
+# A supplier's order lines in many short documents, or in few long ones.
+_PDF = "l_suppkey * 1000 + l_partkey % (CASE WHEN l_suppkey % 3 = 0 THEN 5 ELSE 60 END)"
+
+
 def checked_pdfs(spark, sf):
     """PDFs of suppliers' order lines, one page per part; customers have none."""
     pages = load_table(spark, sf, "lineitem").selectExpr(
-        "l_suppkey AS doc_id", "cast(l_partkey AS bigint) AS page_no",
+        f"{_PDF} AS doc_id", "cast(l_partkey AS bigint) AS page_no",
         "l_quantity * 40 AS width_pt", "l_tax * 10000 + 500 AS height_pt",
-    ).filter("page_no % 40 = doc_id % 40 OR doc_id % 5 = 0")
+    )
     empty = load_table(spark, sf, "customer").selectExpr(
         "-1 - c_custkey AS doc_id", "cast(NULL AS bigint) AS page_no",
         "cast(NULL AS double) AS width_pt", "cast(NULL AS double) AS height_pt",
@@ -210,12 +214,12 @@ def checked_pdfs(spark, sf):
     )
 
 
-PDFS_SQL = """
+PDFS_SQL = f"""
     SELECT doc_id, page_count, oversized_page, CASE WHEN page_count < 1 THEN 'no_pages' WHEN page_count > 100 THEN 'too_many_pages'
       WHEN oversized_page IS NOT NULL THEN 'too_many_pixels' END AS reject_reason
-    FROM (SELECT l_suppkey AS doc_id, count(*) AS page_count, min(CASE WHEN ceil(l_quantity * 40 * (300 / 72.0::double))
+    FROM (SELECT {_PDF} AS doc_id, count(*) AS page_count, min(CASE WHEN ceil(l_quantity * 40 * (300 / 72.0::double))
           * ceil((l_tax * 10000 + 500) * (300 / 72.0::double)) > 50000000 THEN l_partkey END) AS oversized_page
-        FROM lineitem WHERE l_partkey % 40 = l_suppkey % 40 OR l_suppkey % 5 = 0 GROUP BY l_suppkey
+        FROM lineitem GROUP BY ALL
       UNION ALL SELECT -1 - c_custkey, 0, NULL FROM customer) AS p"""
 
 

@@ -136,7 +136,7 @@ def source_mismatches(spark, sf):
         F.when(F.col("c_custkey") % 7 == 1, F.repeat(F.lit("0b"), 32)).otherwise(F.col("source_sha256")).alias("source_sha256"),
         (F.col("image_width") + F.when(F.col("c_custkey") % 5 == 2, 1).otherwise(0)).alias("image_width"),
         "image_height",
-    )
+    ).filter(F.col("c_custkey") % 11 != 3)  # some files are missing
     return R.source_mismatches(plans, files).select("plan_id")
 
 
@@ -149,7 +149,7 @@ DECISIONS = Derived(
         (
             "o_orderkey", "concat('p', cast(o_custkey AS string)) AS plan_id", _EXPECTED,
             "concat('r', cast(o_orderkey + CASE WHEN o_orderkey % 97 = 6 THEN 10000000 ELSE 0 END AS string)) AS region_id",
-            "CASE WHEN o_orderkey % 2 = 0 THEN 'remove' ELSE 'retain' END AS action",
+            "CASE WHEN o_orderkey % 201 = 0 THEN 'keep' WHEN o_orderkey % 2 = 0 THEN 'remove' ELSE 'retain' END AS action",
         ),
     ),
     "o_orderkey % 3 = 0",
@@ -163,8 +163,8 @@ MOVES = Derived(
             "concat('r', cast(o_orderkey + CASE WHEN o_orderkey % 89 = 1 THEN 10000000 ELSE 0 END AS string)) AS region_id",
             "cast((o_orderkey * 7) % 900 + CASE WHEN o_orderkey % 8 = 1 THEN 3 ELSE 0 END AS int) AS x1",
             "cast((o_orderkey * 11) % 700 AS int) AS y1",
-            "cast((o_orderkey * 7) % 900 + 30 + o_orderkey % 60 AS int) AS x2",
-            "cast((o_orderkey * 11) % 700 + 20 + o_orderkey % 70 AS int) AS y2",
+            "cast((o_orderkey * 7) % 900 + 30 + o_orderkey % 60 + CASE WHEN o_orderkey % 113 = 5 THEN 900 ELSE 0 END AS int) AS x2",
+            "cast((o_orderkey * 11) % 700 + 20 + o_orderkey % 70 - CASE WHEN o_orderkey % 127 = 9 THEN 200 ELSE 0 END AS int) AS y2",
         ),
     ),
     "o_orderkey % 4 = 1",
@@ -175,8 +175,8 @@ MANUAL = Derived(
         (
             "c_custkey", "concat('p', cast(c_custkey AS string)) AS plan_id",
             "cast(c_custkey % 3 AS int) AS expected_revision", "cast(1 AS int) AS request_no",
-            "cast(10 AS int) AS x1", "cast(20 AS int) AS y1", "cast(110 + c_custkey % 9 AS int) AS x2", "cast(60 AS int) AS y2",
-            "CASE WHEN c_custkey % 4 = 0 THEN 'signature' ELSE cast(NULL AS string) END AS detection_type",
+            "cast(10 AS int) AS x1", "cast(20 AS int) AS y1", "cast(CASE WHEN c_custkey % 34 = 0 THEN 10 WHEN c_custkey % 38 = 0 THEN 1001 ELSE 110 + c_custkey % 9 END AS int) AS x2", "cast(60 AS int) AS y2",
+            "CASE WHEN c_custkey % 46 = 0 THEN 'iban' WHEN c_custkey % 4 = 0 THEN 'signature' ELSE cast(NULL AS string) END AS detection_type",
         ),
     ),
     "c_custkey % 2 = 0",
@@ -206,7 +206,13 @@ VIOLATIONS = f"""(
       UNION ALL SELECT DISTINCT plan_id, region_id, 'unknown_decision_region' FROM {DECISIONS_SQL}
         WHERE (plan_id, region_id) NOT IN (SELECT (plan_id, region_id) FROM {REGIONS.sql()})
       UNION ALL SELECT DISTINCT plan_id, region_id, 'unknown_geometry_update_region' FROM {MOVES.sql()}
-        WHERE (plan_id, region_id) NOT IN (SELECT (plan_id, region_id) FROM {REGIONS.sql()})) AS violations""".replace(
+        WHERE (plan_id, region_id) NOT IN (SELECT (plan_id, region_id) FROM {REGIONS.sql()})
+      UNION ALL SELECT DISTINCT plan_id, region_id, 'unknown_action' FROM {DECISIONS_SQL} WHERE action = 'keep'
+      UNION ALL SELECT plan_id, region_id, 'outside_image' FROM {MOVES.sql()} WHERE x2 > 1000 AND y2 > y1
+      UNION ALL SELECT plan_id, region_id, 'invalid_box' FROM {MOVES.sql()} WHERE y2 <= y1 OR y2 < 0
+      UNION ALL SELECT plan_id, NULL, 'invalid_box' FROM {MANUAL.sql()} WHERE x2 <= x1
+      UNION ALL SELECT plan_id, NULL, 'outside_image' FROM {MANUAL.sql()} WHERE x2 > 1000
+      UNION ALL SELECT plan_id, NULL, 'unknown_type' FROM {MANUAL.sql()} WHERE detection_type = 'iban') AS violations""".replace(
     "AS s0 AS p", "AS p"
 )
 
@@ -279,7 +285,6 @@ FOUND = Derived(
             "cast(o_orderkey % 100 AS double) / 100 AS confidence",
         ),
     ),
-    "o_orderkey % 4 <> 0",
 )
 
 
@@ -451,7 +456,7 @@ def session_states(spark, sf):
 STATES_SQL = f"""
     SELECT session_id, count(DISTINCT page_number) AS page_count,
       CASE WHEN coalesce(max(seq) FILTER (event_type = 'purchase' AND user_id % 4 <> 2), -1)
-          > coalesce(max(seq) FILTER (event_type IN ('click', 'view') AND user_id % 4 <> 1), -1) THEN 'exported'
+          > max(seq) FILTER (event_type IN ('click', 'view') AND user_id % 4 <> 1) THEN 'exported'
         WHEN max(seq) FILTER (event_type IN ('click', 'view') AND user_id % 4 <> 1) IS NOT NULL THEN 'analyzed'
         ELSE 'uploaded' END AS state
     FROM {LOG.sql()} GROUP BY session_id"""
@@ -522,7 +527,7 @@ QUERIES = {
     "plan_violations": (plan_violations, PLAN_VIOLATIONS_SQL),
     "source_mismatches": (
         source_mismatches,
-        "SELECT concat('p', c_custkey) AS plan_id FROM customer WHERE c_custkey % 7 = 1 OR c_custkey % 5 = 2",
+        "SELECT concat('p', c_custkey) AS plan_id FROM customer WHERE c_custkey % 7 = 1 OR c_custkey % 5 = 2 OR c_custkey % 11 = 3",
     ),
     "revision_violations": (revision_violations, f"SELECT * FROM {VIOLATIONS}"),
     "revised_regions": (revised_regions, REVISED_SQL),
