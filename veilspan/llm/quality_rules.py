@@ -34,7 +34,7 @@ FRAGMENT_WORDS = 4
 #: phrases, and punctuation that closes a line.
 NAVIGATION = (
     r"(?i)^(?:home|menu|main menu|search|log ?in|log ?out|sign ?in|sign ?up|register|next|previous|prev|back|back to top|top|close|skip to (?:main )?content"
-    r"|read more|more|see all|view all|share|print|contact(?: us)?|about(?: us)?|sitemap|subscribe)[ .:>»]*$"
+    r"|read more|more|see all|view all|share|print|contact(?: us)?|about(?: us)?|sitemap|subscribe)[ .:>»]*\z"
 )
 SEPARATED = r"(?:[^|»›•·]*[|»›•·]){2}"
 SEPARATED_WORDS = 12
@@ -42,7 +42,7 @@ BOILERPLATE = (
     r"(?i)(?:all rights reserved|cookie policy|uses? cookies|privacy policy|terms (?:of|and) (?:use|service|conditions)|copyright (?:©|\(c\)|[0-9]{4})"
     r"|enable javascript|javascript is (?:disabled|required)|licensed under|lorem ipsum|click here|subscribe to our)"
 )
-CLOSED = r"[.!?…:;。！？]['\")\]’”»]*$"
+CLOSED = r"[.!?…:;。！？]['\")\]’”»]*\z"
 
 
 def count_of(text: Column, characters: str) -> Column:

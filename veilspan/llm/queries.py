@@ -11,6 +11,7 @@ from .line_dedup import without_common_lines
 from .minhash import near_duplicates
 from .mixing import mixed
 from .pii import pseudonymised
+from .quality_rules import BOILERPLATE, CLOSED, FRAGMENT_WORDS, LEAST_WORDS, MOST_LOST, MOST_REPEATED, MOST_SYMBOLS, NAVIGATION, SEPARATED, SEPARATED_WORDS, SYMBOLS
 from .quality_rules import judged as quality_judged
 from .suffix_dedup import without_repeats
 from .toxicity import toxicity
@@ -86,6 +87,35 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_judged(docs).drop("cleaned")
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_PLAIN_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_SYMBOLS_IN = "(length({0}) - length(translate({0}, " + _quoted(SYMBOLS) + ", '')))"
+
+OP6_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, {_PLAIN_WORDS.format('t')} AS w FROM d),
+g AS (SELECT r, s, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS s FROM w WHERE len(w) >= 5)),
+twice AS (SELECT r, g FROM g GROUP BY r, g HAVING count(*) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + 5)) AS p FROM g JOIN twice USING (r, g)) GROUP BY r),
+l AS (SELECT r, line, trim(line, {_BLANKS}) AS x FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+j AS (SELECT r, line, x, len({_PLAIN_WORDS.format('x')}) AS n FROM l),
+f AS (SELECT r, line, x, 100 * {_SYMBOLS_IN.format('x')} > {MOST_SYMBOLS} * length(x) OR regexp_matches(x, {_quoted(NAVIGATION)})
+    OR (n <= {SEPARATED_WORDS} AND regexp_matches(x, {_quoted(SEPARATED)})) OR regexp_matches(x, {_quoted(BOILERPLATE)})
+    OR (n < {FRAGMENT_WORDS} AND NOT regexp_matches(x, {_quoted(CLOSED)})) AS fails FROM j),
+k AS (SELECT r, count(*) FILTER (x <> '') - count(DISTINCT line) FILTER (x <> '') AS n_dup_lines, sum(length(x)) AS whole,
+    coalesce(sum(length(x)) FILTER (x <> '' AND fails), 0) AS failing FROM f GROUP BY r),
+m AS (SELECT doc_id, len(w) AS n_words, list_sum([length(x) FOR x IN w])::BIGINT AS word_chars, {_SYMBOLS_IN.format('t')} AS n_symbols,
+    n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, failing, whole
+  FROM d JOIN w USING (r) JOIN k USING (r) LEFT JOIN covered USING (r)),
+b AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND 100 * failing <= {MOST_LOST} * whole AS kept FROM b
+"""
+
+
 def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = near_duplicates(docs, words=5, percent=85)
@@ -177,7 +207,7 @@ QUERIES = {
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
     "op4_pii": (op4_pii, None),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
-    "op6_quality_rules": (op6_quality_rules, None),
+    "op6_quality_rules": (op6_quality_rules, OP6_SQL),
     "op7_minhash": (op7_minhash, OP7_SQL),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_mixing": (op9_mixing, None),
