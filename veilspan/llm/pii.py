@@ -25,10 +25,12 @@ and may have any names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?i:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}"
 ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -36,7 +38,11 @@ ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
 CARD = r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|\+[0-9]{10,15}(?![0-9])"
-CANDIDATE = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS_KEY, IBAN, ADDRESS, DATE, CARD, PHONE))
+#: Patterns are grouped by what may begin them, so most places are passed at once.
+NUMBER = "|".join(f"(?:{p})" for p in (ADDRESS, DATE, CARD, PHONE))
+CANDIDATE = f"(?:{EMAIL})|(?=[pPsStTaA])(?:{SECRET})|(?=[A-Z]{{2}})(?:{ACCESS_KEY}|{IBAN})|(?=[0-9+(])(?:{NUMBER})"
+#: What every text with a candidate has.
+LIKELY = r"@|[0-9][0-9 ().-]{5,}[0-9]|[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8}|A[KS]IA[0-9A-Z]{16}|[0-9]{2} ?[A-Z0-9]{4}|\+[0-9]{10}|[/-][0-9]{2}"
 
 KINDS = ("email", "secret", "iban", "address", "date", "card", "phone")
 _ROUNDS = 10
@@ -44,8 +50,13 @@ _ROUNDS = 10
 _FIRST_DAY, _DAY_HALVES = "1700-01-01", (189, 773)
 
 
-def feistel(left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column, key: str) -> tuple[Column, Column]:
-    """A keyed permutation of the pairs below ``left_size`` and ``right_size``."""
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def feistel(left: Column, right: Column, left_size: Column, right_size: Column, tweak: Column, key: str) -> Column:
+    """A keyed permutation of the pairs below ``left_size`` and ``right_size``, as ``l`` and ``r``."""
 
     def noise(r: Column, half: Column, size: Column) -> Column:
         digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, r.cast("string"), half.cast("string")).cast("binary"), 256)
@@ -57,40 +68,49 @@ def feistel(left: Column, right: Column, left_size: Column, right_size: Column,
         return F.struct(new_left.alias("l"), new_right.alias("r"))
 
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
-    done = F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, turn)
-    return done["l"], done["r"]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_ROUNDS - 1)), start, turn)
 
 
 def permuted_digits(digits: Column, tweak: Column, key: str) -> Column:
     """A permutation of the digit strings of the same length, from 2 to 34."""
-    n = F.length(digits)
-    a = F.floor(n / 2).cast("int")
     ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("long")
-    left, right = F.substring(digits, F.lit(1), a), F.substring(digits, a + 1, n - a)
-    l, r = feistel(left.cast("long"), right.cast("long"), ten(a), ten(n - a), F.concat(tweak, n.cast("string")), key)
-    return F.concat(F.lpad(l.cast("string"), a, "0"), F.lpad(r.cast("string"), n - a, "0"))
+
+    def moved(d: Column) -> Column:
+        n = F.length(d)
+        a = F.floor(n / 2).cast("int")
+        left, right = F.substring(d, F.lit(1), a), F.substring(d, a + 1, n - a)
+        pair = feistel(left.cast("long"), right.cast("long"), ten(a), ten(n - a), F.concat(tweak, n.cast("string")), key)
+        return bound(pair, lambda p: F.concat(F.lpad(p["l"].cast("string"), a, "0"), F.lpad(p["r"].cast("string"), n - a, "0")))
+
+    return bound(digits, moved)
 
 
 def relaid(value: Column, pool: Column, where: str) -> Column:
     """``value`` with its characters of class ``where`` replaced by those of ``pool`` in turn."""
 
-    def step(state: Column, c: Column) -> Column:
-        hit = F.length(c).__gt__(0) & c.rlike(where)
-        return F.struct(F.concat(state["out"], F.when(hit, F.substring(pool, state["i"], F.lit(1))).otherwise(c)).alias("out"), (state["i"] + hit.cast("int")).alias("i"))
+    def laid(p: Column) -> Column:
+        def step(state: Column, c: Column) -> Column:
+            hit = (F.length(c) > 0) & c.rlike(where)
+            return F.struct(F.concat(state["out"], F.when(hit, F.substring(p, state["i"], F.lit(1))).otherwise(c)).alias("out"), (state["i"] + hit.cast("int")).alias("i"))
+
+        return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step)["out"]
 
-    return F.aggregate(F.split(value, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step)["out"]
+    return bound(pool, laid)
 
 
 def _luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a number whose check digit is the last."""
-    n = F.length(digits)
+    def total(number: Column) -> Column:
+        n = F.length(number)
 
-    def step(total: Column, i: Column) -> Column:
-        d = F.substring(digits, i, F.lit(1)).cast("int")
-        doubled = F.when((n - i) % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
-        return total + doubled
+        def step(total: Column, i: Column) -> Column:
+            d = F.substring(number, i, F.lit(1)).cast("int")
+            doubled = F.when((n - i) % 2 == 1, d * 2 - F.when(d > 4, 9).otherwise(0)).otherwise(d)
+            return total + doubled
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step)
+        return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step)
+
+    return bound(digits, total)
 
 
 def _iban_remainder(text: Column) -> Column:
@@ -104,30 +124,41 @@ def _iban_remainder(text: Column) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    body = F.concat(F.substring(digits, 1, 1), permuted_digits(F.substring(digits, F.lit(2), n - 2), F.concat(F.lit("card"), F.substring(digits, 1, 1)), key))
-    check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(_luhn_sum(digits) % 10 == 0, relaid(value, F.concat(body, check.cast("string")), "[0-9]"))
+    def made(digits: Column) -> Column:
+        first, middle = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2)
+        body = F.concat(first, permuted_digits(middle, F.concat(F.lit("card"), first), key))
+        checked = bound(body, lambda b: F.concat(b, ((10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
+        return F.when(_luhn_sum(digits) % 10 == 0, relaid(value, checked, "[0-9]"))
+
+    return bound(F.regexp_replace(value, "[^0-9]", ""), made)
 
 
 def _iban(value: Column, key: str) -> Column:
-    plain = F.replace(value, F.lit(" "), F.lit(""))
-    country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
-    valid = _iban_remainder(F.concat(account, F.substring(plain, 1, 4))) == 1
-    digits = F.regexp_replace(account, "[^0-9]", "")
-    moved = F.when(F.length(digits) > 1, relaid(account, permuted_digits(digits, F.concat(F.lit("iban"), country), key), "[0-9]")).otherwise(account)
-    check = F.lpad((98 - _iban_remainder(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, relaid(value, F.concat(country, check, moved), "[A-Z0-9]"))
+    def made(plain: Column) -> Column:
+        country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
+        valid = _iban_remainder(F.concat(account, F.substring(plain, 1, 4))) == 1
+        digits = F.regexp_replace(account, "[^0-9]", "")
+        moved = F.when(F.length(digits) > 1, relaid(account, permuted_digits(digits, F.concat(F.lit("iban"), country), key), "[0-9]")).otherwise(account)
+
+        def checked(m: Column) -> Column:
+            check = F.lpad((98 - _iban_remainder(F.concat(m, country, F.lit("00")))).cast("string"), 2, "0")
+            return F.concat(country, check, m)
+
+        return F.when(valid, relaid(value, bound(moved, checked), "[A-Z0-9]"))
+
+    return bound(F.replace(value, F.lit(" "), F.lit("")), made)
 
 
 def _address(value: Column, key: str) -> Column:
-    part = lambda i: F.split(value, r"\.")[i].cast("int")
-    valid = ~value.rlike(r"(?:^|\.)0[0-9]") & (F.greatest(*[part(i) for i in range(4)]) < 256)
-    size = F.lit(65536).cast("long")
-    l, r = feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), size, size, F.lit("address"), key)
-    joined = F.concat_ws(".", *[x.cast("string") for h in (l, r) for x in (F.floor(h / 256), h % 256)])
-    return F.when(valid, joined)
+    def made(parts: Column) -> Column:
+        part = lambda i: parts[i].cast("int")
+        valid = ~value.rlike(r"(?:^|\.)0[0-9]") & (F.greatest(*[part(i) for i in range(4)]) < 256)
+        size = F.lit(65536).cast("long")
+        pair = feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), size, size, F.lit("address"), key)
+        shown = bound(pair, lambda p: F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.floor(p[h] / 256), p[h] % 256)]))
+        return F.when(valid, shown)
+
+    return bound(F.split(value, r"\."), made)
 
 
 def _date(value: Column, key: str) -> Column:
@@ -139,32 +170,39 @@ def _date(value: Column, key: str) -> Column:
     )
     number = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
     a, b = (F.lit(x).cast("long") for x in _DAY_HALVES)
-    l, r = feistel(F.floor(number / _DAY_HALVES[1]), F.pmod(number, F.lit(_DAY_HALVES[1])), a, b, F.lit("date"), key)
-    moved = F.date_add(F.lit(_FIRST_DAY).cast("date"), (l * _DAY_HALVES[1] + r).cast("int"))
     american = F.try_to_date(value, "MM/dd/yyyy").isNotNull()
-    shown = F.when(form == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(moved, "dd.MM.yyyy"))
-    shown = shown.when(american, F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
-    return F.when((number >= 0) & (number < _DAY_HALVES[0] * _DAY_HALVES[1]), shown)
+
+    def shown(moved: Column) -> Column:
+        iso = F.when(form == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(moved, "dd.MM.yyyy"))
+        return iso.when(american, F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
+
+    def made(n: Column) -> Column:
+        pair = feistel(F.floor(n / _DAY_HALVES[1]), F.pmod(n, F.lit(_DAY_HALVES[1])), a, b, F.lit("date"), key)
+        moved = bound(pair, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DAY_HALVES[1] + p["r"]).cast("int")))
+        return F.when((n >= 0) & (n < _DAY_HALVES[0] * _DAY_HALVES[1]), bound(moved, shown))
+
+    return bound(number, made)
 
 
 def _phone(value: Column, key: str) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    moved = F.concat(F.substring(digits, F.lit(1), n - 10), permuted_digits(F.substring(digits, n - 9, F.lit(10)), F.lit("phone"), key))
-    return F.when((n >= 10) & (n <= 15), relaid(value, moved, "[0-9]"))
+    def made(digits: Column) -> Column:
+        n = F.length(digits)
+        moved = F.concat(F.substring(digits, F.lit(1), n - 10), permuted_digits(F.substring(digits, n - 9, F.lit(10)), F.lit("phone"), key))
+        return F.when((n >= 10) & (n <= 15), relaid(value, moved, "[0-9]"))
+
+    return bound(F.regexp_replace(value, "[^0-9]", ""), made)
 
 
 def _characters(value: Column, same: Column, key: str) -> Column:
     """``value`` with keyed letters and digits in the place of its own; ``same`` is what
     equal values have in common."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", F.lit(key), b.cast("string"), same).cast("binary"), 256))
-    stream = F.array_join(blocks, "")
 
-    def replaced(c: Column, i: Column) -> Column:
+    def replaced(stream: Column, c: Column, i: Column) -> Column:
         pick = F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         return F.when(c.rlike("[0-9]"), F.char((pick % 10 + 48).cast("long"))).when(c.rlike("[a-z]"), F.char((pick % 26 + 97).cast("long"))).when(c.rlike("[A-Z]"), F.char((pick % 26 + 65).cast("long"))).otherwise(c)
 
-    return F.array_join(F.transform(F.split(value, ""), replaced), "")
+    return bound(F.array_join(blocks, ""), lambda stream: F.array_join(F.transform(F.split(value, ""), lambda c, i: replaced(stream, c, i)), ""))
 
 
 def _email(value: Column, key: str) -> Column:
@@ -200,16 +238,17 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """Id, ``text`` with pseudonyms, and how many values of each kind were replaced."""
     text = F.col("_text")
     source = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    likely = F.coalesce(text.rlike(r"[0-9@]|(?i:password|passwd|secret|token|api[_-]?key)"), F.lit(False))
+    likely = F.coalesce(text.rlike(LIKELY), F.lit(False))
     values = F.when(likely, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
-    def shown(value: Column) -> Column:
-        pair = pseudonym(value, key)
+    def shown(pair: Column, value: Column) -> Column:
         return F.struct(F.when(pair["new"].isNotNull(), pair["kind"]).alias("kind"), F.coalesce(pair["new"], value).alias("shown"))
 
     # the lists are made once for each row: an explode of one element is not merged
     # into the expressions that use it
-    found = source.select("*", F.explode(F.array(F.transform(values, shown))).alias("_found"))
+    found = source.select("*", F.explode(F.array(values)).alias("_values"))
+    found = found.select("*", F.explode(F.array(F.transform("_values", lambda v: pseudonym(v, key)))).alias("_pairs"))
+    found = found.withColumn("_found", F.zip_with("_pairs", "_values", shown)).drop("_pairs", "_values")
     gaps = F.split(text, CANDIDATE, -1)
     parts = F.zip_with(gaps, "_found", lambda gap, x: F.concat(gap, F.coalesce(x["shown"], F.lit(""))))
     done = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)
