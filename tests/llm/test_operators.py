@@ -163,7 +163,7 @@ def test_quality(spark):
 def test_quality_verdict(spark):
     sentence = "This sentence tells nothing new, but it ends as a sentence should."
     docs = [
-        (1, "\n".join([sentence + f" {i}." for i in range(4)] + ["Home", "Menu", "Contact us"])),
+        (1, "\n".join([f"Line {i} of {i * 7} tells {i + 3} things and {i * 5} others." for i in range(4)] + ["Home", "Menu", "Contact us"])),
         (2, "\n".join([f"Home | News {i} | About | Contact" for i in range(6)] + ["A single real sentence is too little here."])),
         (3, "\n".join([f"All rights reserved by company number {i} in this place." for i in range(5)] + [sentence])),
         (4, "\n".join(f"word{i}*** other{i}### third{i}$$$ fourth{i}%%%" for i in range(6))),
@@ -284,17 +284,17 @@ def test_digest_file_with_equal_hashes(tmp_path, monkeypatch):
 
 PAGE = (
     '<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href="/">Home</a></nav><div class="box">{box}</div>'
-    "<div>{body}<p>Open &amp; <b>bold</b><br>text &#233;<p>next<ul><li>one<li>two</ul></div><script>if (a<b) '</p>'</script>"
+    "<div>Story {n}<p>Open &amp; <b>bold {n}</b><br>text &#233;<p>next {n}<ul><li>one {n}<li>two {n}</ul></div><script>if (a<b) '</p>'</script>"
     '<form>Send</form><div class="user-comments"><p>nice</p></div><footer>f</footer></body></html>'
 )
 
 
 def test_html(spark):
-    rows = [(i, f"http://h.example/{i}", PAGE.format(box="Same on all pages", body=f"Story number {i}")) for i in range(30)]
+    rows = [(i, f"http://h.example/{i}", PAGE.format(box="Same on all pages", n=i)) for i in range(30)]
     rows += [(100, None, None), (101, "http://h.example/x", ""), (102, "http://one.example/", "<article><h1>A</h1><p>b  c</article><p>after"), (102, "http://one.example/", "just text < 5")]
     rows += [(103, "http://one.example/", "<p>" + "long " * 100_000)]
     got = {(r.page_id, r.n_chars): r.text for r in extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
-    story = "Story number 7 Open & bold text é next one two"
+    story = "Story 7 Open & bold 7 text é next 7 one 7 two 7"
     assert got[7, len(story)] == story  # the box is the same on every page of the host
     assert got[100, 0] == "" and got[101, 0] == "" and got[102, 5] == "A b c" and got[102, 13] == "just text < 5"
     assert (103, 499_999) in got
