@@ -95,7 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: greater neighbours of a node go to its least neighbour
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written, so both sides of the join are dealt for it and Spark can split a hot node
+        least = stored(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("m")))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter(forward)
         large = large.distinct()
         # small star: lesser neighbours of a node, and itself, go to its least neighbour
