@@ -32,23 +32,29 @@ DETECTION_LABELS = {
 }
 MANUAL_LABEL = "Manual privacy region"
 OTHER_LABEL = "Detection"
-# status -> (eyebrow, title, tone, download label)
+# status -> (eyebrow, title, description, tone, download label)
 STATUS_PRESENTATION = {
     "passed": (
         "Verification complete",
         "Configured detectors are clear",
+        "The exported pixels were scanned again and no remaining detections were found. "
+        "This is not a legal guarantee that every sensitive item was identified.",
         "clear",
         "Download reviewed output",
     ),
     "verified_with_human_overrides": (
         "Human override recorded",
         "Detectors are clear, with overrides",
+        "The exported pixels scanned clear, but one or more automatic regions were deliberately "
+        "kept visible. Review those decisions before sharing the output.",
         "caution",
         "Download output with overrides",
     ),
     "review_required": (
         "Further review required",
         "Detections remain in the output",
+        "The verifier still found sensitive regions after export. This artifact must not be "
+        "represented or shared as verified safe output.",
         "danger",
         "Download review artifact",
     ),
@@ -470,16 +476,19 @@ def session_states(pages: DataFrame, plan_log: DataFrame, exports: DataFrame) ->
 def export_gate(pages: DataFrame, plans: DataFrame, expected: DataFrame) -> DataFrame:
     """Pages that forbid an export: ``session_id, page_number, reason``.
 
-    The expected revisions must name exactly the pages of the session, every
-    page must be analysed, and its revision must be the current one.
+    The expected revisions must name exactly the pages of the session, each of
+    them once, every page must be analysed, and its revision must be the current one.
     """
     key = ["session_id", "page_number"]
     have = pages.select(*key, F.lit(True).alias("_page")).join(
         plans.select(*key, "revision"), key, "left"
     )
-    want = expected.select(*key, F.col("revision").alias("_expected"))
+    want = expected.groupBy(*key).agg(
+        F.max("revision").alias("_expected"), F.count("*").alias("_times")
+    )
     reason = (
         F.when(F.col("_page").isNull(), "unknown_page")
+        .when(F.col("_times") > 1, "duplicate_page")
         .when(F.col("_expected").isNull(), "missing_page")
         .when(F.col("revision").isNull(), "not_analyzed")
         .when(F.col("revision") != F.col("_expected"), "stale_revision")
@@ -517,9 +526,9 @@ def region_label(detection_type: Column | str, provenance: Column | str) -> Colu
 
 
 def status_presentation(status: Column | str) -> Column:
-    """``struct<eyebrow,title,tone,download_label>`` for a status."""
+    """``struct<eyebrow,title,description,tone,download_label>`` for a status."""
     value = F.col(status) if isinstance(status, str) else status
-    fields = ("eyebrow", "title", "tone", "download_label")
+    fields = ("eyebrow", "title", "description", "tone", "download_label")
     shown = [
         F.create_map(
             *(F.lit(v) for key, row in STATUS_PRESENTATION.items() for v in (key, row[i]))

@@ -21,9 +21,11 @@ from veilspan.schemas import (
 
 # --- fixed values -----------------------------------------------------------
 SEMANTIC_LABELS = ("person", "address")
-WORD = r"(?U)[\w#]+"
 # ----------------------------------------------------------------------------
 
+#: What counts as a word of a phrase, unless told otherwise.
+WORD = r"(?U)\w+"
+
 
 def check_thresholds(thresholds: dict[str, float]) -> dict[str, float]:
     for label, value in thresholds.items():
@@ -122,9 +124,9 @@ def line_entities_to_boxes(
     return F.flatten(F.transform(items, line))
 
 
-def phrase_key(text: Column | str) -> Column:
+def phrase_key(text: Column | str, word: str = WORD) -> Column:
     """Words of a phrase joined by single blanks."""
-    return F.array_join(F.regexp_extract_all(_col(text), F.lit(WORD), F.lit(0)), " ")
+    return F.array_join(F.regexp_extract_all(_col(text), F.lit(word), F.lit(0)), " ")
 
 
 def gazetteer_entities(
@@ -133,17 +135,18 @@ def gazetteer_entities(
     gazetteer: DataFrame,
     max_words: int = 3,
     text: str = "text",
+    word: str = WORD,
 ) -> DataFrame:
     """Find the phrases of ``gazetteer(phrase, label, score)`` in texts.
 
     Word n-grams meet the phrases in an equi-join, so the list may be of any
     size: Spark broadcasts it only when its measured size allows.  Offsets are
-    those of the words in the text.  A phrase of more than ``max_words`` words
+    those of the words in the text, which match the pattern ``word``.  A phrase of more than ``max_words`` words
     raises an error rather than being missed silently.
     """
     keys = list(keys)
     listed = gazetteer.select(
-        phrase_key("phrase").alias("_gram"), F.lower("label").alias("label"), "score"
+        phrase_key("phrase", word).alias("_gram"), F.lower("label").alias("label"), "score"
     ).filter(F.col("_gram") != "")
     words = F.size(F.split("_gram", " "))
     checked = listed.withColumn(
@@ -171,7 +174,7 @@ def gazetteer_entities(
 
         return F.concat(*(of_length(n) for n in range(1, max_words + 1)))
 
-    exploded = explode_rows(texts, keys, let(match_spans(text, WORD), grams))
+    exploded = explode_rows(texts, keys, let(match_spans(text, word), grams))
     return (
         exploded.select(*keys, "d.start", "d.end", F.col("d.gram").alias("_gram"))
         .join(checked, "_gram")

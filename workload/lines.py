@@ -248,6 +248,10 @@ def _page_detections_sql(extra: str = "") -> str:
 # --- names from a phrase list -----------------------------------------------
 
 
+# Names of customers have a number sign in them.
+NAME_WORD = r"(?U)[\w#]+"
+
+
 def _gazetteer(spark, sf):
     """Customer names as persons, nations as addresses, with varying scores."""
     people = load_table(spark, sf, "customer").selectExpr(
@@ -270,7 +274,7 @@ GAZETTEER = """(SELECT c_name AS phrase, 'person' AS label, cast(30 + c_custkey
 
 
 def _entities(spark, sf):
-    return S.gazetteer_entities(cards(spark, sf), ["doc_id"], _gazetteer(spark, sf))
+    return S.gazetteer_entities(cards(spark, sf), ["doc_id"], _gazetteer(spark, sf), word=NAME_WORD)
 
 
 def gazetteer_entities(spark, sf):
@@ -314,14 +318,14 @@ def pages_with_names(spark, sf):
     pages = page_rows(cards(spark, sf)).withColumn("text", L.page_text("items"))
     listed = _gazetteer(spark, sf)
     in_page = (
-        S.gazetteer_entities(pages.select("doc_id", "text"), ["doc_id"], listed)
+        S.gazetteer_entities(pages.select("doc_id", "text"), ["doc_id"], listed, word=NAME_WORD)
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("label", "start", "end", "score")).alias("raw"))
     )
     lines = L.lines_from_pages(pages, PAGE)
     looked_at = lines.filter(L.runs_line_semantics("text"))
     per_line = S.filter_raw_predictions(
-        S.gazetteer_entities(looked_at.select("doc_id", "line_no", "text"), ["doc_id", "line_no"], listed)
+        S.gazetteer_entities(looked_at.select("doc_id", "line_no", "text"), ["doc_id", "line_no"], listed, word=NAME_WORD)
     ).join(lines, ["doc_id", "line_no"])
     line_boxes = (
         per_line.groupBy("doc_id")

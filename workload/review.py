@@ -368,7 +368,9 @@ def _gate_tables(spark, sf):
     plans = pages.filter("c_custkey % 310 <> 0").select(
         "session_id", "page_number", (F.col("c_custkey") % 3).cast("int").alias("revision")
     )
-    return pages, plans, EXPECTED.df(spark, sf).drop("c_custkey")
+    expected = EXPECTED.df(spark, sf)
+    expected = expected.unionByName(expected.filter("c_custkey % 430 = 7"))  # named twice
+    return pages, plans, expected.drop("c_custkey")
 
 
 def export_gate(spark, sf):
@@ -380,8 +382,10 @@ def export_gate(spark, sf):
 GATE = f"""(SELECT coalesce(h.session_id, w.session_id) AS session_id,
       cast(coalesce(h.page_number, w.page_number) AS bigint) AS page_number,
       CASE WHEN h.session_id IS NULL THEN 'unknown_page' WHEN w.session_id IS NULL THEN 'missing_page'
-        WHEN h.c_custkey % 310 = 0 THEN 'not_analyzed' WHEN h.c_custkey % 3 <> w.revision THEN 'stale_revision' END AS reason
-      FROM (SELECT * FROM {PAGES.sql()}) AS h FULL JOIN (SELECT * FROM {EXPECTED.sql()}) AS w
+        WHEN w.n > 1 THEN 'duplicate_page' WHEN h.c_custkey % 310 = 0 THEN 'not_analyzed' WHEN h.c_custkey % 3 <> w.revision THEN 'stale_revision' END AS reason
+      FROM (SELECT * FROM {PAGES.sql()}) AS h FULL JOIN (SELECT session_id, page_number, max(revision) AS revision, count(*) AS n
+        FROM (SELECT * FROM {EXPECTED.sql()} UNION ALL SELECT * FROM {EXPECTED.sql()} WHERE c_custkey % 430 = 7) AS e
+        GROUP BY session_id, page_number) AS w
         ON w.session_id = h.session_id AND w.page_number = h.page_number) AS gate"""
 
 
@@ -487,16 +491,16 @@ LABELS_SQL = f"""
 
 def status_labels(spark, sf):
     shown = _exports(spark, sf).select("plan_id", R.status_presentation("status").alias("s"))
-    return shown.select("plan_id", "s.eyebrow", "s.title", "s.tone", "s.download_label")
+    return shown.select("plan_id", "s.eyebrow", "s.title", "s.description", "s.tone", "s.download_label")
 
 
 STATUS_LABELS_SQL = f"""WITH {EXPORTS}
-    SELECT plan_id, t.eyebrow, t.title, t.tone, t.download_label FROM exports JOIN (VALUES
-      ('passed', 'Verification complete', 'Configured detectors are clear', 'clear', 'Download reviewed output'),
-      ('verified_with_human_overrides', 'Human override recorded', 'Detectors are clear, with overrides', 'caution',
+    SELECT plan_id, t.eyebrow, t.title, t.description, t.tone, t.download_label FROM exports JOIN (VALUES
+      ('passed', 'Verification complete', 'Configured detectors are clear', 'The exported pixels were scanned again and no remaining detections were found. This is not a legal guarantee that every sensitive item was identified.', 'clear', 'Download reviewed output'),
+      ('verified_with_human_overrides', 'Human override recorded', 'Detectors are clear, with overrides', 'The exported pixels scanned clear, but one or more automatic regions were deliberately kept visible. Review those decisions before sharing the output.', 'caution',
         'Download output with overrides'),
-      ('review_required', 'Further review required', 'Detections remain in the output', 'danger',
-        'Download review artifact')) AS t(status, eyebrow, title, tone, download_label) ON t.status = exports.status"""
+      ('review_required', 'Further review required', 'Detections remain in the output', 'The verifier still found sensitive regions after export. This artifact must not be represented or shared as verified safe output.', 'danger',
+        'Download review artifact')) AS t(status, eyebrow, title, description, tone, download_label) ON t.status = exports.status"""
 
 
 def analyzed_plans(spark, sf):
