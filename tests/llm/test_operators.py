@@ -153,6 +153,39 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert {r[2] for r in got} == {0}
 
 
+@pytest.mark.parametrize("block", [4096, 1])
+def test_near_duplicates_behind_unlike_classes(spark, monkeypatch, block):
+    """In every bucket that two near copies share, the least class is unlike both."""
+    import numpy as np
+    import pyarrow as pa
+
+    from veilspan.llm import minhash
+
+    monkeypatch.setattr(minhash, "BUCKET_CLASSES", block, raising=False)
+    draw = random.Random(8)
+    one = [f"w{i}" for i in range(200)]
+    other = [*one[:-1], "changed"]
+
+    def bands(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+        return [row for part in minhash._sketches(iter([batch]), 5) for row in part.column(3).to_pylist()]
+
+    ours, theirs = bands([" ".join(one), " ".join(other)])
+    windows = [" ".join(one[s : s + 5]) for s in range(196)]
+    values = (np.array([x[0] for part in minhash.shingle_sets(pa.array(windows), 5) for x in part]) >> np.uint64(32)).astype(np.uint32)
+    least = [int(np.argmin((values ^ minhash._FACTORS[1, k]) * minhash._FACTORS[0, k])) for k in range(minhash._MINIMA)]
+    docs = []
+    for band, key in enumerate(ours):
+        if theirs[band] == key:  # passages with the band's minima, between words that bring no lesser ones
+            held = [windows[w] for w in least[band * minhash.BAND_ROWS : (band + 1) * minhash.BAND_ROWS]]
+            tries = [" ".join(f"{x} {draw.random()}" for x in held) for _ in range(300)]
+            docs.append((band, next(t for t, found in zip(tries, bands(tries), strict=True) if key in found)))
+    docs += [(100, " ".join(one)), (101, " ".join(other))]
+    got = sorted((r.id, r.n_shingles, r.component, r.id == r.component) for r in near_duplicates(table(spark, docs)).collect())
+    assert got == brute.near_duplicates(docs, 85)
+    assert len(docs) > 12 and got[-1][2] == 100
+
+
 def test_quality(spark):
     docs = [*texts(), (90, "# a | b\n$$$ %%% &&&"), (91, "a b c d e " * 30)]
     rows = quality_judged(table(spark, docs)).collect()

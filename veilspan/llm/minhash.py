@@ -6,7 +6,10 @@ functions are taken; rows of minima make band keys, and of each minimum only the
 low bits are kept, packed into a signature.  Classes that meet in a band bucket
 become candidates with the least class of that bucket; the number of equal
 low-bit fields, corrected for chance matches, estimates their similarity and drops
-accidental meetings.  What remains connected is a neighbourhood.  All pairs of a
+accidental meetings.  Differing fields obey the triangle inequality, so a class close
+to the bucket's least class has its near copies linked to it as well; the classes that
+the least class rejects are compared, in blocks, with each other and with those
+between.  What remains connected is a neighbourhood.  All pairs of a
 neighbourhood are looked at in blocks of bounded size: the bit counts drop most
 pairs, the full sets decide on the others, and only a spanning forest of the
 confirmed links leaves a task.  Connected components of these links are the groups.
@@ -23,7 +26,7 @@ an empty result.  Other columns are not read and may have any names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ NEIGHBOUR = 0.45
 DEVIATIONS = 5.0
 #: Size of a block of a neighbourhood, in classes and in shingles.
 BLOCK_CLASSES, BLOCK_SHINGLES = 512, 400_000
+#: Size of a block of a bucket, of which only signatures are compared.
+BUCKET_CLASSES = 4096
 
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 2**31, (2, _MINIMA), dtype=np.uint32)
 _FACTORS = np.stack([_FACTORS[0] * np.uint32(2) + np.uint32(1), _FACTORS[1] * np.uint32(2)])
@@ -106,15 +111,15 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.view(np.int64).ravel()))
 
 
-def estimated(a: str, b: str) -> Column:
-    """Similarity from two packed signatures, corrected for fields that agree by chance."""
-    differing = F.lit(0)
+def differing(a: str, b: str) -> Column:
+    """How many fields of two packed signatures differ."""
+    total = F.lit(0)
     for i in range(_LONGS):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         for shift in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(_ones_signed())))
-    return (1 - differing / F.lit(float(_MINIMA)) - _CHANCE) / (1 - _CHANCE)
+        total = total + F.bit_count(x.bitwiseAND(F.lit(_ones_signed())))
+    return total
 
 
 def _ones_signed() -> int:
@@ -134,6 +139,12 @@ def _least_estimate(percent: int) -> int:
     return int(np.ceil(_MINIMA * (1 - same) + DEVIATIONS * np.sqrt(_MINIMA * same * (1 - same))))
 
 
+def _reach(percent: int) -> int:
+    """The most fields in which a class may differ from the least class of its bucket to
+    be linked with it: by the estimate, and never fewer than in a pair worth a look."""
+    return max(int(_MINIMA * (1 - _CHANCE - (1 - _CHANCE) * NEIGHBOUR)), _least_estimate(percent))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Full sets of the rows whose set is that of their class."""
     names = ["label", "node", "block", "blocks", "fields", "hashes"]
@@ -148,8 +159,9 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             at += len(sets)
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], percent: int, forest: Callable = None) -> Iterator[pa.RecordBatch]:
     """A spanning forest of the links between the two blocks of each run of rows."""
+    forest = forest or _forest
     held: list[pa.RecordBatch] = []
     key = None
     for batch in batches:
@@ -159,12 +171,12 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
         for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
             if key is not None and tuple(keys[a]) != key:
-                yield from _forest(held, key, percent)
+                yield from forest(held, key, percent)
                 held = []
             key = tuple(keys[a])
             held.append(batch.slice(a, b - a))
     if held:
-        yield from _forest(held, key, percent)
+        yield from forest(held, key, percent)
 
 
 def _forest(held: list[pa.RecordBatch], key: tuple, percent: int) -> Iterator[pa.RecordBatch]:
@@ -210,6 +222,35 @@ def _forest(held: list[pa.RecordBatch], key: tuple, percent: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _near_forest(held: list[pa.RecordBatch], key: tuple, percent: int) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the pairs of a bucket that are worth a look, by their bit
+    counts; pairs without a rejected class are left out."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    nodes = table.column("node").to_numpy()
+    if len(nodes) < 2:
+        return
+    block = table.column("block").to_numpy()
+    far = table.column("far").to_numpy()
+    fields = table.column("fields").combine_chunks().flatten().to_numpy().reshape(-1, _LONGS).view(np.uint64)
+    crossing, limit = key[1] != key[2], _least_estimate(percent)
+    tree, left, right = np.arange(len(nodes)), [], []
+    for i in range(len(nodes) - 1):
+        near = _differing(fields[i], fields[i + 1 :]) <= limit
+        near &= tree[i + 1 :] != tree[i]
+        if not far[i]:
+            near &= far[i + 1 :]
+        if crossing:
+            near &= block[i + 1 :] != block[i]
+        found = np.flatnonzero(near) + i + 1
+        if len(found):
+            trees, first = np.unique(tree[found], return_index=True)
+            left.extend([nodes[i]] * len(trees))
+            right.extend(nodes[found[first]])
+            tree[np.isin(tree, trees)] = tree[i]
+    if left:
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
 def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Size of the intersection of each pair of sets, on the full sets."""
     if len(left) <= 64:
@@ -240,6 +281,13 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     return source.mapInArrow(lambda batches: _sketches(batches, words), _SKETCH)
 
 
+def _dealt(rows: DataFrame, group: str, *values: str) -> DataFrame:
+    """The rows of each pair of blocks of a group side by side, as ``_linked`` reads them."""
+    partner = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner"))
+    pairs = partner.select(group, F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "node", "block", *values)
+    return pairs.repartition(shuffle_width(rows.sparkSession), group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, percent: int = 85) -> DataFrame:
     """``id``, ``n_shingles`` and ``component`` of each row.
 
@@ -257,8 +305,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     meetings = buckets.join(hubs, "key").filter("node != hub").select("node", "hub").distinct()
     signature = classes.select("node", "fields")
     other = classes.select(F.col("node").alias("hub"), F.col("fields").alias("hub_fields"))
-    near = meetings.join(signature, "node").join(other, "hub").filter(estimated("fields", "hub_fields") >= NEIGHBOUR)
-    labels = stored(components(near.select(F.col("node").alias("a"), F.col("hub").alias("b"))))
+    reach = _reach(percent)
+    met = stored(meetings.join(signature, "node").join(other, "hub").select("node", "hub", differing("fields", "hub_fields").alias("differ")))
+    near = met.filter(F.col("differ") <= reach).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # near copies of any class that is closer are linked with the hub themselves
+    loose = met.filter(F.col("differ") > reach - _least_estimate(percent)).select("node", "hub", (F.col("differ") > reach).alias("far"))
+    left = stored(buckets.join(hubs, "key").join(loose, ["node", "hub"]).select("key", "node", "far"))
+    open_keys = left.groupBy("key").agg(F.count("*").alias("n"), F.max("far").alias("any_far")).filter("n > 1 AND any_far")
+    rest = left.join(open_keys.select("key", F.ceil(F.col("n") / BUCKET_CLASSES).cast("int").alias("blocks")), "key").join(signature, "node")
+    rest = _dealt(rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "key", "far", "fields")
+    near = near.union(rest.mapInArrow(lambda batches: _linked(batches, percent, _near_forest), "a long, b long"))
+    labels = stored(components(near))
 
     members = stored(classes.select("shingles", "node", "n_shingles", "fields").join(labels, "node"))
     weights = members.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
@@ -268,10 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     sets = texts.join(dealt, "node").select("text", "label", "node", "block", "blocks", "fields", "shingles")
     sets = sets.mapInArrow(lambda batches: _sets(batches, words), "label long, node long, block int, blocks int, fields array<long>, hashes binary")
-    partner = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("partner"))
-    pairs = partner.select("label", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"), "node", "block", "fields", "hashes")
-    pairs = pairs.repartition(shuffle_width(docs.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    links = pairs.mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
+    links = _dealt(sets, "label", "fields", "hashes").mapInArrow(lambda batches: _linked(batches, percent), "a long, b long")
     found = components(links)
 
     named = classes.select("shingles", "node").join(found, "node", "left").select("shingles", F.coalesce("label", "node").alias("component"))
