@@ -1,6 +1,7 @@
 """The operators against plain versions, on rows that are awkward."""
 
 import random
+import time
 
 import brute
 import pytest
@@ -338,6 +339,24 @@ def test_html_noise_elements():
     assert main_text('<div class="cookie-notice">ok?</div><!-- <p>no --><p>A<p title="a>b">B</div></p>', set()) == "A B"
 
 
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+@pytest.mark.parametrize("quote", "\"'")
+def test_html_long_attributes(n, quote):
+    long = f" data-x={quote}{'a>' * (n // 2)}{quote}"
+    page = f"<nav{long}>menu</nav><p>before<article{long}>A <img src={quote}{'b' * n}{quote}> B<script{long}>code()</script><div class=ad{long}>buy</div></article>after"
+    assert main_text(page, set()) == "A B"
+
+
+def test_html_unclosed_quotes():
+    assert main_text('<p>A<img alt="x>B<p class=\'y>C', set()) == "AB C"
+    assert main_text('<p>A<img src="' + "b" * 10_000, set()) == "A"
+    assert main_text("<p>it's 5\" <b>B</b> a < b", set()) == "it's 5\" B a < b"
+    start = time.monotonic()
+    for part in ("<a x=\"'", "<a '\"<a \"'", "<a x='>"):
+        main_text(part * 100_000, set())
+    assert time.monotonic() - start < 20
+
+
 def toxic_table():
     draw = random.Random(4)
     clean = [f"word{i}" for i in range(400)]

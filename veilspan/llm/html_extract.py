@@ -44,7 +44,8 @@ LEAST_PAGES, LEAST_SHARE = 8, 0.05
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^<>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+')*+)>"
+    # a quote that is never closed is no value: its tag ends at the next '>', or with the page
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?P<open>[\"'][^>]*+)?+)(?(open)(?:>|\Z)|>)"
     r"|<[!?][^>]*>",
     re.S,
 )
