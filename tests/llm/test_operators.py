@@ -334,6 +334,16 @@ def test_html(spark):
     assert (103, 499_999) in got
 
 
+def test_html_places_inside_articles(spark):
+    """What comes again in different articles goes; a mirrored article stays."""
+    page = '<nav>Home</nav><{m}><h1>Title {n}</h1><div class="x">Read our other pages</div><p>Story {n}</p></{m}>'
+    rows = [(i, f"http://h.example/{i}", page.format(n=i, m=("article", "main")[i % 2])) for i in range(40)]
+    rows += [(100 + i, f"http://mirror.example/{i}", page.format(n=1, m="article") + f"<p>{i}") for i in range(40)]
+    got = {r.page_id: r.text for r in extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(40)} == {f"Title {i} Story {i}" for i in range(40)}
+    assert {got[100 + i] for i in range(40)} == {"Title 1 Read our other pages Story 1"}
+
+
 def test_html_noise_elements():
     assert main_text('<article><header><h1>T</h1></header>x<aside>q</aside><section class="comments">c</section><p hidden>h</p>y</article>', set()) == "T x y"
     assert main_text('<div class="cookie-notice">ok?</div><!-- <p>no --><p>A<p title="a>b">B</div></p>', set()) == "A B"

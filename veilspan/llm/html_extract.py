@@ -6,8 +6,9 @@ content and its presentation, the inline elements in it, are spread: content tha
 comes again on many pages has a high entropy over them and little importance, and
 so has a place that looks the same everywhere.  Places below a least importance are
 noise of that host.  From each page go the branches that are noise by their element
-or class (menus, adverts, forms, comments), and, outside a marked article, the blocks
-at noisy places.
+or class (menus, adverts, forms, comments), and the blocks at noisy places.  Inside
+marked articles, pages of one host whose articles have equal text count once, so what
+comes again in different articles goes and an article that is mirrored stays.
 
 The first scan sends hashes and counts, added up within a task before they move.  The
 noise of a host is a short list: a place must be on a ``LEAST_SHARE`` of the host's
@@ -156,14 +157,14 @@ def _hash(text: str) -> int:
 
 
 def main_text(page: str | None, noisy: set[int]) -> str:
-    """The text of a page without noise; inside a marked article, places are not judged."""
+    """The text of a page, or of its marked article, without noise."""
     kept, marked = [], False
     for path, _, text, main, noise in blocks(page):
         if noise:
             continue
         if main and not marked:
             marked, kept = True, []
-        if main or (not marked and _hash(path) not in noisy):
+        if main == marked and _hash(path) not in noisy:
             kept.append(text)
     return " ".join(kept)
 
@@ -172,21 +173,24 @@ _PRESENT, _CONTENT, _STYLE = 0, 1, 2
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages that have a place, and its contents and styles, counted by host."""
-    names = ["host", "place", "kind", "value", "n"]
+    """Pages that have a place, and its contents and styles, counted by host; places
+    inside marked articles with the hash of the article's text."""
+    names = ["host", "place", "kind", "value", "article", "n"]
 
     def made(counts: Counter) -> pa.RecordBatch:
         keys = list(counts)
-        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64()))]
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))]
         return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names)
 
     counts: Counter = Counter()
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = {(host, 0, _PRESENT, 0)}
-            for path, style, text, _, _ in blocks(page):
-                place = _hash(path)
-                seen |= {(host, place, _PRESENT, 0), (host, place, _CONTENT, _hash(text)), (host, place, _STYLE, _hash(style))}
+            seen = {(host, 0, _PRESENT, 0, None)}
+            found = list(blocks(page))
+            whole = _hash("\0".join(text for _, _, text, main, noise in found if main and not noise))
+            for path, style, text, main, _ in found:
+                place, article = _hash(path), whole if main else None
+                seen |= {(host, place, kind, value, article) for kind, value in ((_PRESENT, 0), (_CONTENT, _hash(text)), (_STYLE, _hash(style)))}
             counts.update(seen)
             if len(counts) > 200_000:
                 yield made(counts)
@@ -197,11 +201,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``host``, ``place``, ``pages`` that have it, ``content`` and ``presentation``
-    importance and their weighted ``importance``."""
+    importance and their weighted ``importance``.  Pages of equal articles are one page
+    for the places inside them."""
     small_batches(pages.sparkSession, 500)
     source = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    rows = source.mapInArrow(_places, "host string, place long, kind int, value long, n long")
-    values = rows.groupBy("host", "place", "kind", "value").agg(F.sum("n").alias("n"))
+    rows = source.mapInArrow(_places, "host string, place long, kind int, value long, article long, n long")
+    each = rows.groupBy("host", "place", "kind", "value", "article").agg(F.sum("n").alias("n"))
+    once = F.when(F.col("article").isNull(), F.col("n")).otherwise(1)
+    values = each.groupBy("host", "place", "kind", "value").agg(F.sum(once).alias("n"))
     here = F.sum(F.when(F.col("kind") == _PRESENT, F.col("n")))
 
     def spread(kind: int):
