@@ -344,6 +344,14 @@ def test_html_places_inside_articles(spark):
     assert {got[100 + i] for i in range(40)} == {"Title 1 Read our other pages Story 1"}
 
 
+def test_html_places_on_a_small_share_of_a_host(spark):
+    """A box on 3 % of a host's pages is noise there as it is on a host of those pages alone."""
+    page = '<div class="s-{s}"><div class="x">Same box</div><p>Story {n}</p></div>'
+    rows = [(i, f"http://big.example/{i}", page.format(s="abcdefghijklmnopqrstuvwxyzäöüß"[i % 30], n=i)) for i in range(300)]
+    got = {r.page_id: r.text for r in extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(300)}
+
+
 def test_html_noise_elements():
     assert main_text('<article><header><h1>T</h1></header>x<aside>q</aside><section class="comments">c</section><p hidden>h</p>y</article>', set()) == "T x y"
     assert main_text('<div class="cookie-notice">ok?</div><!-- <p>no --><p>A<p title="a>b">B</div></p>', set()) == "A B"

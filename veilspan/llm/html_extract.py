@@ -10,11 +10,11 @@ or class (menus, adverts, forms, comments), and the blocks at noisy places.  Ins
 marked articles, pages of one host whose articles have equal text count once, so what
 comes again in different articles goes and an article that is mirrored stays.
 
-The first scan sends hashes and counts, added up within a task before they move.  The
-noise of a host is a short list: a place must be on a ``LEAST_SHARE`` of the host's
-pages, so there are at most as many as a page has places, over that share.  It is
-written as a table and joined by host, so the texts themselves are not shuffled while
-the table is small.
+The first scan sends hashes and counts, added up within a task before they move, and
+the layouts of pages, the sets of places they have.  Noisy places, of which a host may
+have any number, meet the layouts that have them; so a list never holds more places
+than a page has.  The lists are written as a table and joined by host and layout, so
+the texts themselves are not shuffled while the table is small.
 
 Rows: null and empty pages have an empty text.  Pages without a url count as one
 host.  Repeated pages count as often as they are there.  Unclosed elements end with
@@ -27,9 +27,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +40,7 @@ from .urls import url_host
 LEAST_IMPORTANCE = 0.6
 #: Weight of content against presentation.
 CONTENT_WEIGHT = 0.9
-LEAST_PAGES, LEAST_SHARE = 8, 0.05
+LEAST_PAGES = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -156,25 +155,28 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+def _layout(places: Iterable[int]) -> int:
+    return _hash(",".join(map(str, sorted(set(places)))))
+
+
+def _candidates(found: list[tuple]) -> list[tuple[int, str]]:
+    """Place and text of the blocks of a page, or of its marked article, outside noise branches."""
+    kept = [x for x in found if not x[4]]
+    marked = any(x[3] for x in kept)
+    return [(_hash(path), text) for path, _, text, main, _ in kept if main == marked]
+
+
 def main_text(page: str | None, noisy: set[int]) -> str:
     """The text of a page, or of its marked article, without noise."""
-    kept, marked = [], False
-    for path, _, text, main, noise in blocks(page):
-        if noise:
-            continue
-        if main and not marked:
-            marked, kept = True, []
-        if main == marked and _hash(path) not in noisy:
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(text for place, text in _candidates(list(blocks(page))) if place not in noisy)
 
 
-_PRESENT, _CONTENT, _STYLE = 0, 1, 2
+_PRESENT, _CONTENT, _STYLE, _LAYOUT = 0, 1, 2, 3
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages that have a place, and its contents and styles, counted by host; places
-    inside marked articles with the hash of the article's text."""
+    """Pages that have a place, and its contents, styles and layouts, counted by host;
+    places inside marked articles with the hash of the article's text."""
     names = ["host", "place", "kind", "value", "article", "n"]
 
     def made(counts: Counter) -> pa.RecordBatch:
@@ -185,12 +187,13 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            seen = {(host, 0, _PRESENT, 0, None)}
             found = list(blocks(page))
+            layout = _layout(_hash(path) for path, *_ in found)
+            seen = set()
             whole = _hash("\0".join(text for _, _, text, main, noise in found if main and not noise))
             for path, style, text, main, _ in found:
                 place, article = _hash(path), whole if main else None
-                seen |= {(host, place, kind, value, article) for kind, value in ((_PRESENT, 0), (_CONTENT, _hash(text)), (_STYLE, _hash(style)))}
+                seen |= {(host, place, kind, value, article) for kind, value in ((_PRESENT, 0), (_CONTENT, _hash(text)), (_STYLE, _hash(style)), (_LAYOUT, layout))}
             counts.update(seen)
             if len(counts) > 200_000:
                 yield made(counts)
@@ -199,16 +202,33 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made(counts)
 
 
-def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``place``, ``pages`` that have it, ``content`` and ``presentation``
-    importance and their weighted ``importance``.  Pages of equal articles are one page
-    for the places inside them."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The layout of each page and its blocks that may be shown."""
+    parts = pa.list_(pa.struct([("place", pa.int64()), ("text", pa.string())]))
+    for batch in batches:
+        layouts, shown = [], []
+        for page in batch.column(3).to_pylist():
+            found = list(blocks(page))
+            layouts.append(_layout(_hash(path) for path, *_ in found))
+            shown.append([{"place": place, "text": text} for place, text in _candidates(found)])
+        columns = [*[batch.column(i) for i in range(3)], pa.array(layouts, pa.int64()), pa.array(shown, parts)]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "url", "host", "layout", "parts"])
+
+
+def place_values(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """How many pages of a ``host`` have each ``value`` of a ``kind`` at a ``place``.
+    Pages of equal articles are one page for the places inside them."""
     small_batches(pages.sparkSession, 500)
     source = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     rows = source.mapInArrow(_places, "host string, place long, kind int, value long, article long, n long")
     each = rows.groupBy("host", "place", "kind", "value", "article").agg(F.sum("n").alias("n"))
     once = F.when(F.col("article").isNull(), F.col("n")).otherwise(1)
-    values = each.groupBy("host", "place", "kind", "value").agg(F.sum(once).alias("n"))
+    return each.groupBy("host", "place", "kind", "value").agg(F.sum(once).alias("n"))
+
+
+def style_tree(values: DataFrame) -> DataFrame:
+    """``host``, ``place``, ``pages`` that have it, ``content`` and ``presentation``
+    importance and their weighted ``importance``."""
     here = F.sum(F.when(F.col("kind") == _PRESENT, F.col("n")))
 
     def spread(kind: int):
@@ -229,17 +249,16 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Id, url, ``text`` and ``n_chars`` of each page."""
-    tree = stored(style_tree(pages, url_col, html_col))
-    whole = tree.filter("place = 0").select("host", F.col("pages").alias("all_pages"))
-    often = (F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= LEAST_SHARE * F.col("all_pages"))
-    noisy = tree.filter("place != 0").join(whole, "host").filter(often & (F.col("importance") < LEAST_IMPORTANCE))
-    noise = stored(noisy.groupBy("host").agg(F.collect_list("place").alias("places")))
-
-    @F.pandas_udf("string")
-    def text_of(htmls: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, set() if p is None else set(p)) for h, p in zip(htmls, places, strict=True)], dtype=object)
-
-    source = pages.select(F.col(id_col), F.col(url_col), F.col(html_col).alias("_html"), url_host(F.col(url_col)).alias("_host"))
-    joined = source.join(noise.select(F.col("host").alias("_noise_host"), "places"), F.col("_host") == F.col("_noise_host"), "left")
-    done = joined.select(id_col, url_col, text_of("_html", "places").alias("text"))
+    values = stored(place_values(pages, url_col, html_col))
+    noisy = style_tree(values).filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "place")
+    layouts = values.filter(F.col("kind") == _LAYOUT).select("host", "place", F.col("value").alias("layout"))
+    noise = stored(layouts.join(noisy, ["host", "place"]).groupBy("host", "layout").agg(F.collect_list("place").alias("places")))
+
+    kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
+    source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    read = source.mapInArrow(_read, f"id {kinds[0]}, url {kinds[1]}, host string, layout long, parts array<struct<place:long,text:string>>")
+    joined = read.join(noise, ["host", "layout"], "left")
+    kept = F.filter("parts", lambda x: F.col("places").isNull() | ~F.array_contains("places", x["place"]))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
+    done = joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
