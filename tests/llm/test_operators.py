@@ -230,6 +230,17 @@ def test_mixing(spark):
     assert sorted(map(key, rows)) == sorted(map(key, again))
 
 
+def test_mixing_of_small_sources(spark):
+    """The last block of a source is short; its slots are as many more."""
+    sizes = {"a": 50_000, "b": 1, "c": 10, "d": 130, "e": 1_000, "f": 1_100, "g": 1}
+    docs = [(k, s, "w " * n) for k, (s, n) in enumerate(sizes.items())]
+    taken = {r.source: (r.taken, r.target) for r in mixed(table(spark, docs, "doc_id long, source string, text string").drop("size")).collect()}
+    want = brute.targets(sizes)
+    for s, n in sizes.items():
+        assert taken[s][1] == pytest.approx(want[s])
+        assert abs(taken[s][0] - want[s]) <= (0.5 if want[s] == 3 * n else 128), s
+
+
 def test_permutation(spark):
     for size in (1, 2, 3, 10, 97, 256):
         got = spark.range(size).select(permuted(F.col("id"), F.lit(size).cast("long"), F.lit(3), F.lit(1)).alias("p")).collect()

@@ -88,15 +88,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return fits.withColumn("water", chosen["level"]).select("source", F.col("s").cast("int").alias("s"), "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("w")).alias("target"))
 
 
-def slot_counts(sources: DataFrame, total: int, block_words: int, shard_slots: int) -> DataFrame:
-    """Slots of each source in each shard: ``shard``, ``s``, ``n``."""
+def slot_counts(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
+    """Slots of each source in each shard: ``shard``, ``s``, ``n``.
+
+    The last block of a source is short, so a slot holds ``source_size / blocks`` words.
+    """
     spark = sources.sparkSession
-    slots = -(-total // block_words)
+    sources = sources.withColumn("want", F.coalesce(F.try_divide(F.col("target") * F.ceil(F.col("source_size") / block_words), "source_size"), F.lit(0.0)))
+    wanted = sources.agg(F.coalesce(F.sum("want"), F.lit(0.0))).first()[0]
+    slots = math.ceil(round(wanted, 6))
     shards = spark.range(-(-slots // shard_slots)).select(F.col("id").alias("shard"), F.least(F.lit(shard_slots), F.lit(slots) - F.col("id") * shard_slots).cast("long").alias("width"))
-    share = F.col("target") / F.lit(float(max(total, 1)))
+    share = F.col("want") / F.lit(wanted or 1.0)
     # shards are of one width, apart from the last: the shares are laid out once for each width
     widths = sources.select("s", share.alias("p"), F.explode(F.array(*[F.lit(int(w)) for w in sorted({min(shard_slots, slots), slots - (slots - 1) // shard_slots * shard_slots})])).alias("width"))
-    widths = widths.withColumn("certain", F.floor(F.col("p") * F.col("width")).cast("long")).withColumn("part", F.col("p") * F.col("width") - F.col("certain"))
+    widths = widths.withColumn("certain", F.floor(F.col("p") * F.col("width") + 1e-6).cast("long")).withColumn("part", F.greatest(F.col("p") * F.col("width") - F.col("certain"), F.lit(0.0)))
     laid = Window.partitionBy("width").orderBy("s")
     widths = widths.withColumns({"upto": F.sum("part").over(laid.rowsBetween(Window.unboundedPreceding, 0)), "parts": F.sum("part").over(Window.partitionBy("width")), "fixed": F.sum("certain").over(Window.partitionBy("width"))})
     layout = widths.groupBy("width").agg(F.sort_array(F.collect_list(F.struct("s", "upto", "certain"))).alias("laid"), F.first("parts").alias("parts"), F.first("fixed").alias("fixed"))
@@ -113,9 +118,9 @@ def slot_counts(sources: DataFrame, total: int, block_words: int, shard_slots: i
     return made.select("shard", F.col("x.s").alias("s"), (F.col("x.certain") + lucky).cast("long").alias("n")).filter("n > 0")
 
 
-def slots(sources: DataFrame, total: int, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST_EPOCHS) -> DataFrame:
+def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST_EPOCHS) -> DataFrame:
     """The mix: ``shard``, ``s`` (number of the source), ``epoch`` and ``block`` of each slot."""
-    counts = slot_counts(sources, total, block_words, shard_slots).withColumn("chunk", F.floor(F.col("shard") / _CHUNK_ROWS))
+    counts = slot_counts(sources, block_words, shard_slots).withColumn("chunk", F.floor(F.col("shard") / _CHUNK_ROWS))
     numbered = running_start(counts, "s", "chunk", ["shard"], "n", "start")
     blocks = sources.select("s", F.ceil(F.col("source_size") / block_words).cast("long").alias("blocks")).filter("blocks > 0")
     each = numbered.join(blocks, "s").select("shard", "s", "blocks", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("j"))
@@ -136,7 +141,7 @@ def mixed(
     """``id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken`` words of each document."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words.alias("size"), F.xxhash64(F.lit(_ORDER), F.col(id_col)).alias("place"), F.monotonically_increasing_id().alias("row")))
-    rows, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows = sizes.count()
     sources = stored(source_targets(sizes, weights, most))
     number = sources.select(F.col("source").alias("_source"), "s", "source_size", "target")
     placed = sizes.join(number, sizes.source.eqNullSafe(F.col("_source"))).drop("_source")
@@ -146,7 +151,7 @@ def mixed(
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     covered = streamed.withColumn("block", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("start"), F.col("block") * block_words)
-    times = slots(sources, total, block_words, shard_slots, most).groupBy("s", "block").agg(F.count("*").alias("times"))
+    times = slots(sources, block_words, shard_slots, most).groupBy("s", "block").agg(F.count("*").alias("times"))
     met = covered.withColumn("overlap", F.when(F.col("size") > 0, overlap).otherwise(0)).join(times, ["s", "block"], "left")
     part = F.sum(F.col("overlap") * F.coalesce("times", F.lit(0)))
     return met.groupBy("row", "id", "source", "size", "source_size", "target").agg(part.cast("long").alias("taken")).drop("row")
