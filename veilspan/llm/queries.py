@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clustered, with_inertia
 from .decontaminate import contamination
 from .html_extract import extracted
+from .importance import resampled
 from .line_dedup import without_common_lines
 from .minhash import near_duplicates
 from .mixing import mixed
 from .pii import pseudonymised
+from .quality_classifier import quality
 from .quality_rules import BOILERPLATE, CLOSED, FRAGMENT_WORDS, LEAST_WORDS, MOST_LOST, MOST_REPEATED, MOST_SYMBOLS, NAVIGATION, SEPARATED, SEPARATED_WORDS, SYMBOLS
 from .quality_rules import judged as quality_judged
 from .suffix_dedup import without_repeats
@@ -201,6 +204,82 @@ def op10_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     return extracted(_table(spark, sf, "pages").select("page_id", "url", "html"))
 
 
+def op11_importance(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    drawn = resampled(docs, _table(spark, sf, "benchmark"), percent=10, least_words=20, seed=2024, least=1, most=1, buckets=10_000)
+    return drawn.withColumnRenamed("id", "doc_id").drop("n_words")
+
+
+_BYTES_OF = "[('0x' || substr(hex(encode({0})), 2 * k + 1, 2))::BIGINT FOR k IN range(strlen({0}))]"
+
+#: The CRC of a word is made from the table of its polynomial, byte by byte.
+OP11_SQL = f"""
+WITH polynomial AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS x FROM d),
+tw AS (SELECT unnest({_WORDS.format('text')}) AS x FROM benchmark WHERE text IS NOT NULL),
+x AS MATERIALIZED (SELECT x, xor(list_reduce({_BYTES_OF.format('x')},
+    lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT x FROM dw UNION SELECT x FROM tw), polynomial),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN x USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM tw JOIN x USING (x) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)
+    / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tw) + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN x USING (x) JOIN g USING (bucket) GROUP BY r),
+h AS (SELECT r, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+p AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+k AS (SELECT *, n_features >= 20 AS enough FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id) AS place FROM k)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN enough AND place <= 10 * (SELECT count(*) FROM k WHERE enough) // 100 THEN place END AS rank FROM o
+"""
+
+
+def op12_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, centroids = clustered(_table(spark, sf, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
+    return with_inertia(assigned, centroids).withColumnRenamed("id", "vec_id")
+
+
+def _op12_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """One table of distances and one of centroids a round."""
+    steps = [
+        f"""e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [floor({scale} * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+    WHERE len(embedding) = {dims} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM
+    (SELECT v, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM e) ORDER BY h, v LIMIT {k})""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, min(ROW(d, c)) AS best FROM
+    (SELECT r, c, list_sum([(e.v[i] - c{n}.v[i]) * (e.v[i] - c{n}.v[i]) FOR i IN range(1, {dims + 1})])::BIGINT AS d FROM e, c{n}) GROUP BY r)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{n}.v) AS v FROM c{n} LEFT JOIN
+    (SELECT c, list(x ORDER BY i) AS v FROM
+      (SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM
+        (SELECT a{n}.best[2] AS c, unnest(range({dims})) AS i, unnest(v) AS x FROM e JOIN a{n} USING (r)) GROUP BY c, i) GROUP BY c) m USING (c))"""
+            )
+    last = f"a{rounds}"
+    return f"""
+WITH {', '.join(steps)}
+SELECT vec_id, best[2]::INTEGER AS cluster, best[1] AS distance,
+  (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM {last} JOIN e USING (r) JOIN c{rounds} ON c{rounds}.c = best[2]
+"""
+
+
+OP12_SQL = _op12_sql(40, 5, 64, 256, 2)
+
+
+def op13_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return quality(docs, _table(spark, sf, "labels"), threshold=0.3)
+
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, OP1_SQL),
     "op2_toxicity": (op2_toxicity, None),
@@ -212,4 +291,7 @@ QUERIES = {
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op9_mixing": (op9_mixing, None),
     "op10_html_extract": (op10_html_extract, None),
+    "op11_importance": (op11_importance, OP11_SQL),
+    "op12_centroids": (op12_centroids, OP12_SQL),
+    "op13_quality": (op13_quality, None),
 }
