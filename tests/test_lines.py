@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -11,6 +12,7 @@ from veilspan.functions import patterns as P
 from veilspan.functions.text import find_structured
 from veilspan.operators import lines as L
 from veilspan.operators import semantic as S
+from veilspan.operators.chunks import line_chunks, structured_in_chunks
 from veilspan.operators.detections import explode_rows
 from veilspan.sources.ocr_json import parse_ocr_results
 from tests.test_text import NUMBER, python_rule
@@ -128,11 +130,11 @@ def test_lines_equal_joined_page(spark, chunk, block, monkeypatch):
     assert len(want) > 100
 
 
-def test_large_pages_take_the_other_way(spark):
+def test_pages_in_chunks_of_one_line(spark):
     rows = line_rows("a", ["Adres", "0532 123", "45 67 x", "a@b.de"]) + line_rows("b", ["c@d.de"])
     df = lines_df(spark, rows)
     every = L.text_detections_in_lines(df, PAGE)
-    split = L.text_detections_in_lines(df, PAGE, max_lines=1)
+    split = L.text_detections_in_lines(df, PAGE, chunk=1)
     assert L.pages_from_lines(df, PAGE, max_lines=1)[0].count() == 1
     columns = [*PAGE, "detection_type", "bbox", "confidence"]
     assert sorted(every.select(*columns).collect()) == sorted(split.select(*columns).collect())
@@ -230,3 +232,56 @@ def test_plugin_batches_skip_blank_texts():
 
     batches = S.recognizer_udf(load).func(iter([pd.Series(["x", " ", None])]))
     assert [len(v) for v in next(batches)] == [1, 0, 0]
+
+
+def joined_hits(spark, rows):
+    """Hits of the joined page text, one row a page."""
+    texts = {}
+    for doc, page, n, text, *_ in sorted(rows, key=lambda r: (r[0], r[2])):
+        texts.setdefault((doc, page), []).append(text or "")
+    df = spark.createDataFrame([(*k, "\n".join(t)) for k, t in texts.items()], "doc_id string, page_no int, text string")
+    whole = explode_rows(df, PAGE, find_structured("text")).select("doc_id", "d.*")
+    return sorted(tuple(r) for r in whole.select("doc_id", "detection_type", "start", "end", "confidence").collect())
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 10, 4096])
+def test_runs_of_numbers_over_chunks(spark, chunk):
+    """Pages where a hit may begin almost anywhere, so each depends on those before it.
+
+    Lines of separators, empty lines, null texts and holes in the numbering included.
+    """
+    rng = random.Random(8)
+    kinds = ["12.50 7", "0532", "123", "45", "67", "5", "-", ".", "", "  . ", "(", ")", "+90", "0090 ", "(212)", "1", "22 3", NUMBER, NUMBER[:6], NUMBER[6:], " 34", "555 1", "x", "TC"]
+    rows = []
+    for d in range(90):
+        few = rng.sample(kinds, rng.randint(2, 9)) if d % 3 else ["5321234567", "532 123", "45 67", "-"][: rng.randint(2, 4)]
+        page = line_rows(f"d{d}", [rng.choice(few) for _ in range(rng.randint(1, 60))])
+        rows += [(a, b, n * (1 + d % 4) + d % 2, t if t or d % 5 else None, *rest) for a, b, n, t, *rest in page]
+    want = joined_hits(spark, rows)
+    got = L.structured_in_lines(lines_df(spark, rows), PAGE, chunk).select("doc_id", "detection_type", "start", "end", "confidence")
+    assert sorted(map(tuple, got.collect())) == want
+    assert len(want) > 300
+
+
+def test_number_over_many_lines_of_separators(spark):
+    rows = line_rows("a", ["0532", *["-"] * 50, "123", *["."] * 9, "45", "67", "x"] * 2)
+    for chunk in (1, 4, 4096):
+        got = L.structured_in_lines(lines_df(spark, rows), PAGE, chunk).select("doc_id", "detection_type", "start", "end", "confidence")
+        assert sorted(map(tuple, got.collect())) == joined_hits(spark, rows)
+    assert len(joined_hits(spark, rows)) == 2
+
+
+def test_a_page_of_numbers_is_spread(spark):
+    """A page that is one run of numbers: no task sees more than a few chunks of it."""
+    lines = spark.range(60_000).selectExpr(
+        "'a' AS doc_id", "1 AS page_no", "id AS line_no", "CASE id % 4 WHEN 0 THEN '532' WHEN 1 THEN '242' WHEN 2 THEN '35' ELSE '67' END AS text",
+        "named_struct('x1', 0, 'y1', int(id), 'x2', 9, 'y2', int(id) + 1) AS bbox", "1.0D AS confidence",
+    )
+    chunks = line_chunks(lines, PAGE, 1024)
+    assert chunks.agg(F.max(F.length("body"))).first()[0] < 1024 * 8
+    spread = chunks.repartition(8, *PAGE, "_chunk").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 20
+    found = structured_in_chunks(chunks, PAGE).collect()
+    text = "\n".join(("532", "242", "35", "67")[i % 4] for i in range(60_000))
+    want = [(m.start(), m.end()) for m in re.finditer(r"(?<!\d)0?\(?[2345]\d{2}\)?[\s.\-]*\d{3}[\s.\-]*\d{2}[\s.\-]*\d{2}(?!\d)", text)]
+    assert sorted((r.start, r.end) for r in found if r.detection_type == "phone") == want and len(want) > 10_000

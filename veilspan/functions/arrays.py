@@ -117,3 +117,36 @@ def running_sql(values: str, zero: str, combine: Callable[[str, str], str]) -> s
         )
 
     return let_sql(values, fold)
+
+
+def scanned_sql(items: str, zero: str, step: Callable[[str, str], str]) -> str:
+    """The state before each item as SQL text: ``zero``, then ``step(state, item)``.
+
+    Like ``running_sql`` with a step of any kind: items are folded block by block
+    without keeping states, and states are kept within one block at a time.
+    """
+    x, y = fresh_name(), fresh_name()
+    fold = f"({x}, {y}) -> {step(x, y)}"
+
+    def append(acc: str, item: str) -> str:
+        return f"concat({acc}, array({let_sql(f'element_at({acc}, -1)', lambda e: step(e, item))}))"
+
+    def over(blocks: str) -> str:
+        bases = (
+            f"aggregate({blocks}, array({zero}), (acc, block) -> concat(acc, array("
+            f"aggregate(block, element_at(acc, -1), {fold}))))"
+        )
+        return let_sql(
+            bases,
+            lambda base: f"flatten(transform({blocks}, (block, n) -> slice(aggregate(block,"
+            f" array({base}[n]), (acc, item) -> {append('acc', 'item')}), 1, size(block))))",
+        )
+
+    def cut(array: str) -> str:
+        pieces = (
+            f"transform(sequence(0, (size({array}) - 1) div {_BLOCK}),"
+            f" b -> slice({array}, b * {_BLOCK} + 1, {_BLOCK}))"
+        )
+        return f"CASE WHEN size({array}) > 0 THEN {let_sql(pieces, over)} ELSE slice(array({zero}), 1, 0) END"
+
+    return let_sql(items, cut)

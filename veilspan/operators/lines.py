@@ -12,20 +12,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
 from veilspan.functions.arrays import distinct_by, indexes, let, let_sql, running_sql
 from veilspan.functions.boxes import enclosing_bbox, make_bbox
-from veilspan.functions.text import (
-    find_structured,
-    find_structured_sql,
-    no_detections,
-    strip,
+from veilspan.functions.text import find_structured_sql, no_detections, strip
+from veilspan.operators.chunks import (
+    address_lines_in_chunks,
+    line_chunks,
+    line_rows,
+    structured_in_chunks,
 )
-from veilspan.operators.detections import explode_rows
-from veilspan.operators.scan import CHUNK, split_by_count, with_halo
+from veilspan.operators.scan import CHUNK, split_by_count
 from veilspan.operators.scan import running as running_rows
 from veilspan.schemas import BOX_DETECTIONS
 
@@ -338,87 +337,15 @@ def address_lines(
     chunk: int = CHUNK,
 ) -> DataFrame:
     """Lines of address blocks; looks at ``following`` lines above each line."""
-    keys = list(keys)
-    # two halo steps: the oldest line looked at needs its own predecessor
-    spread = with_halo(lines, "line_no", before=following + 1, chunk=chunk)
-    order = W.partitionBy(*keys, "_chunk").orderBy("line_no")
-    above = F.lag("bbox").over(order)
-    marked = spread.withColumn("_above", above).withColumn(
-        "_mark",
-        F.when(is_address_header("text"), "h")
-        .when(is_stop_header("text"), "b")
-        .when(
-            F.col("_above").isNotNull() & _too_far(F.col("_above"), F.col("bbox"), gap_ratio),
-            "b",
-        )
-        .otherwise("n"),
-    )
-    recent = F.array_join(
-        F.collect_list("_mark").over(order.rowsBetween(-following, 0)), ""
-    )
-    return (
-        marked.withColumn("_recent", recent)
-        .filter(F.col("_own") & F.col("_recent").rlike("hn*$"))
-        .select(
-            *keys,
-            "line_no",
-            F.lit("address").alias("detection_type"),
-            "bbox",
-            "confidence",
-        )
-    )
-
-
-def _last_char(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, rf"(?U){P.SEPARATOR}+$", ""), -1, 1)
-
-
-def _first_char(text: Column) -> Column:
-    return F.substring(F.regexp_replace(text, rf"(?U)^{P.SEPARATOR}+", ""), 1, 1)
+    return _address_lines(line_chunks(lines, keys, chunk), keys, following, gap_ratio)
 
 
-def line_stretches(lines: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> DataFrame:
-    """Cut pages at line ends that no structured hit can cross.
+def _address_lines(chunks: DataFrame, keys: Sequence[str], following: int, gap_ratio: float) -> DataFrame:
+    def mark(text: Column) -> Column:
+        return F.when(is_address_header(text), "h").when(is_stop_header(text), "b").otherwise("n")
 
-    A hit that runs over a line end consists of digits, brackets and separators
-    there.  Where the letters next to the line end rule that out, the page may
-    be cut without changing the hits.  Returns lines with ``stretch``, the
-    ``line_no`` of the first line, and ``start``/``end`` offsets in the page.
-    """
-    keys = list(keys)
-    joins = r"(?U)^[\d()+]?$"
-    spread = with_halo(lines, "line_no", before=1, chunk=chunk)
-    previous = F.lag("text").over(W.partitionBy(*keys, "_chunk").orderBy("line_no"))
-    flagged = (
-        spread.withColumn("_previous", previous)
-        .filter("_own")
-        .withColumn(
-            "_head",
-            F.when(
-                F.col("_previous").isNull()
-                | ~(
-                    _last_char(F.col("_previous")).rlike(joins)
-                    & _first_char(F.col("text")).rlike(joins)
-                ),
-                F.col("line_no"),
-            ),
-        )
-        .drop("_chunk", "_own", "_previous")
-    )
-    scanned = running_rows(
-        flagged,
-        keys,
-        "line_no",
-        {
-            "start": ("sum", F.length("text").cast("long") + 1),
-            "_earlier": ("max", F.col("_head")),
-        },
-        chunk,
-    )
-    return (
-        scanned.withColumn("stretch", F.coalesce("_head", "_earlier"))
-        .withColumn("end", F.col("start") + F.length("text"))
-        .drop("_head", "_earlier")
+    return address_lines_in_chunks(
+        chunks, keys, mark, lambda above, box: _too_far(above, box, gap_ratio), following
     )
 
 
@@ -427,110 +354,25 @@ def structured_in_lines(
 ) -> DataFrame:
     """Structured hits over a line table, offsets counted in the page text.
 
-    Equal to searching the joined page, but no page is ever gathered: lines are
-    joined per block of stretches only, and the text around a block, which
-    labels of identity numbers may lie in, comes from the neighbouring lines.
+    Equal to searching the joined page, but no page is ever gathered; see
+    ``operators.chunks``.
     """
-    keys = list(keys)
-    radius = P.TCKN_CONTEXT_RADIUS
-    # a line has at least one character, so with its newline it covers two
-    reach = radius // 2
-    stretched = line_stretches(lines, keys, chunk)
-    # no more than the last or first letters of a neighbour can matter
-    spread = with_halo(
-        stretched.withColumn("_tail", F.right("text", F.lit(radius))).withColumn(
-            "_start", F.left("text", F.lit(radius))
-        ),
-        "line_no",
-        before=reach,
-        after=reach,
-        chunk=chunk,
-    )
-    order = W.partitionBy(*keys, "_chunk").orderBy("line_no")
-    # neighbouring stretches are searched together, which saves rows
-    around = spread.select(
-        *keys,
-        F.floor(F.col("stretch") / _BLOCK_LINES).alias("_block"),
-        "line_no",
-        "start",
-        "text",
-        "_own",
-        F.array_join(
-            F.collect_list("_tail").over(order.rowsBetween(-reach, -1)), "\n"
-        ).alias("_before"),
-        F.array_join(
-            F.collect_list("_start").over(order.rowsBetween(1, reach)), "\n"
-        ).alias("_after"),
-    ).filter("_own").withColumn("_before", F.right("_before", F.lit(radius))).withColumn(
-        "_after", F.left("_after", F.lit(radius))
-    )
-    gathered = around.groupBy(*keys, "_block").agg(
-        F.min("start").alias("base"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("line_no", "text"))),
-                lambda l: l["text"],
-            ),
-            "\n",
-        ).alias("body"),
-        F.min_by("_before", "line_no").alias("_before"),
-        F.max_by("_after", "line_no").alias("_after"),
-    )
-    left = F.when(
-        F.col("base") > 0, F.concat(F.col("_before"), F.lit("\n"))
-    ).otherwise(F.lit(""))
-    right = F.when(
-        F.col("_after") != "", F.concat(F.lit("\n"), F.col("_after"))
-    ).otherwise(F.lit(""))
-    padded = gathered.select(
-        *keys,
-        "base",
-        F.length("body").alias("body_length"),
-        left.alias("_left"),
-        F.concat(left, F.col("body"), right).alias("text"),
-    )
-    searched = padded.select(
-        *keys,
-        (F.col("base") - F.length("_left")).alias("_shift"),
-        F.length("_left").alias("_low"),
-        (F.length("_left") + F.col("body_length")).alias("_high"),
-        find_structured("text").alias("_found"),
-    )
-    hits = explode_rows(searched, [*keys, "_shift", "_low", "_high"], F.col("_found"))
-    # hits of the surrounding text belong to other blocks
-    return hits.filter(
-        (F.col("d.start") >= F.col("_low")) & (F.col("d.end") <= F.col("_high"))
-    ).select(
-        *keys,
-        "d.detection_type",
-        (F.col("d.start") + F.col("_shift")).alias("start"),
-        (F.col("d.end") + F.col("_shift")).alias("end"),
-        "d.confidence",
-    )
+    return structured_in_chunks(line_chunks(lines, keys, chunk), keys)
 
 
 def text_detections_in_lines(
-    lines: DataFrame, keys: Sequence[str], max_lines: int = MAX_PAGE_LINES
+    lines: DataFrame, keys: Sequence[str], chunk: int = CHUNK
 ) -> DataFrame:
     """Structured hits and address blocks of a line table as box detections.
 
-    Ordinary pages are handled row by row, huge ones in distributed pieces.
+    Pages of every size go the same way, in chunks of lines.
     """
-    pages, large = pages_from_lines(lines, keys, max_lines)
-    found = explode_rows(pages, keys, page_text_detections("items")).select(*keys, "d.*")
-    return found.unionByName(text_detections_in_pieces(large, keys))
-
-
-def text_detections_in_pieces(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same without ever gathering a page."""
     keys = list(keys)
     columns = [*keys, "detection_type", "bbox", "confidence"]
-    mapped = join_spans_to_lines(
-        structured_in_lines(lines, keys), line_offsets(lines, keys), keys
-    )
-    found = mapped.select(*columns).unionByName(
-        address_lines(lines, keys).select(*columns)
-    )
+    chunks = line_chunks(lines, keys, chunk)
+    mapped = join_spans_to_lines(structured_in_chunks(chunks, keys), line_rows(chunks, keys), keys)
+    blocks = _address_lines(chunks, keys, P.ADDRESS_FOLLOWING_LINES, P.ADDRESS_GAP_RATIO)
+    found = mapped.select(*columns).unionByName(blocks.select(*columns))
     return found.groupBy(*keys, "detection_type", "bbox").agg(
         F.max("confidence").alias("confidence")
     )

@@ -14,6 +14,7 @@ from veilspan.sources.ocr_json import parse_ocr_results
 from workload.common import (
     BOX_SQL,
     CARDS,
+    Derived,
     cards,
     detections_sql,
     documents,
@@ -182,6 +183,42 @@ IN_LINES_SQL = f"""
     FROM {detections_sql(_page_text_sql(DOC_LINES))} AS b"""
 
 
+# Two pages of figures: nearly every line may belong to a number of the lines around it.
+FIGURES = Derived(
+    "lineitem",
+    (
+        (
+            "l_orderkey % 2 AS doc_id", "l_orderkey * 8 + l_linenumber AS line_no", "l_partkey AS p", "l_suppkey AS s",
+            "(l_orderkey * 7 + l_linenumber * 3 + l_partkey) % 7 AS m",
+        ),
+        (
+            "doc_id", "line_no",
+            "CASE m WHEN 0 THEN concat('5', lpad(cast(p % 100 AS string), 2, '0'))"
+            " WHEN 1 THEN lpad(cast(p % 1000 AS string), 3, '0')"
+            " WHEN 2 THEN concat(lpad(cast(s % 100 AS string), 2, '0'), ' ', lpad(cast(p % 100 AS string), 2, '0'))"
+            " WHEN 3 THEN '-' WHEN 4 THEN concat(cast(s % 50 AS string), '.', cast(p % 90 + 10 AS string))"
+            " WHEN 5 THEN cast(p % 10 AS string) ELSE concat('532 ', lpad(cast(s % 1000 AS string), 3, '0')) END AS text",
+        ),
+    ),
+)
+
+
+def figures_in_lines(spark, sf):
+    """Hits of pages that are one run of figures, wherever the search before them ended."""
+    box = F.struct(*(F.lit(v).alias(c) for c, v in (("x1", 0), ("y1", 0), ("x2", 1), ("y2", 1))))
+    lines = FIGURES.df(spark, sf).select("doc_id", F.lit(1).alias("page_no"), "line_no", "text", box.alias("bbox"), F.lit(1.0).alias("confidence"))
+    return L.structured_in_lines(lines, PAGE, chunk=1 << 15).select(
+        "doc_id", "detection_type", "start", "end", "confidence"
+    )
+
+
+_FIGURE_PAGES = (
+    "(SELECT doc_id, string_agg(text, chr(10) ORDER BY line_no, text) AS text"
+    f" FROM {FIGURES.sql()} GROUP BY doc_id) AS figures"
+)
+FIGURES_SQL = f'SELECT doc_id, detection_type, "start", "end", confidence FROM {detections_sql(_FIGURE_PAGES)} AS d'
+
+
 def mapped_spans_in_row(spark, sf):
     pages = page_rows(cards(spark, sf)).withColumn("text", L.page_text("items"))
     found = pages.withColumn("found", find_structured("text"))
@@ -234,7 +271,7 @@ def page_detections_from_lines(spark, sf):
 
 
 def page_detections_in_pieces(spark, sf):
-    return _flat(L.text_detections_in_pieces(lines_of(cards(spark, sf)), PAGE), "detection_type")
+    return _flat(L.text_detections_in_lines(lines_of(cards(spark, sf)), PAGE, chunk=4), "detection_type")
 
 
 def _page_detections_sql(extra: str = "") -> str:
@@ -426,6 +463,7 @@ QUERIES = {
     ),
     "line_predicates": (line_predicates, PREDICATES_SQL),
     "structured_in_lines": (structured_in_lines, IN_LINES_SQL),
+    "figures_in_lines": (figures_in_lines, FIGURES_SQL),
     "mapped_spans": (mapped_spans, MAPPED_SQL),
     "mapped_spans_in_row": (
         mapped_spans_in_row,
