@@ -388,8 +388,9 @@ def page_status(clear: Column | str, removals: Column | str, moves: Column | str
     clear, removals, moves = (
         F.col(c) if isinstance(c, str) else c for c in (clear, removals, moves)
     )
+    # what is not known to be clear was not verified
     return (
-        F.when(~clear, "review_required")
+        F.when(~F.coalesce(clear & removals.isNotNull() & moves.isNotNull(), F.lit(False)), "review_required")
         .when((removals > 0) | (moves > 0), "verified_with_human_overrides")
         .otherwise("passed")
     )
@@ -401,14 +402,16 @@ def document_export(
     """Document-level export result from page results.
 
     ``documents`` gives ``text_layer_empty`` (null for plain images); only an
-    explicit false demands a review.  Lists stay rows: remaining detections
-    and page revisions are found in the page table itself.
+    explicit false demands a review.  A page without a verdict, without a status or
+    with detections left was not verified, and neither was its document.  Lists stay
+    rows: see ``plans.review.export_detections_by_page``.
     """
     keys = list(keys)
     overridden = F.col("status") == "verified_with_human_overrides"
+    clear = F.col("detectors_clear") & (F.col("remaining_count") == 0) & F.col("status").isin("passed", "verified_with_human_overrides")
     rolled = pages.groupBy(*keys).agg(
         F.count("*").alias("page_count"),
-        F.bool_and("detectors_clear").alias("detectors_clear"),
+        F.bool_and(F.coalesce(clear, F.lit(False))).alias("detectors_clear"),
         F.bool_or(overridden).alias("_overridden"),
         F.max("plan_revision").alias("plan_revision"),
         *(

@@ -109,12 +109,12 @@ def document_results(
 
     ``documents`` carries ``text_layer_empty``.  A document passes when all its
     pages do and no extractable text is left; failed pages stay rows, see
-    ``failed_pages``.  A document without pages, or pages without a document, do
-    not pass.
+    ``failed_pages``.  A page without a verdict was not verified and counts as
+    failed.  A document without pages, or pages without a document, do not pass.
     """
     rolled = pages.groupBy(*keys).agg(
         F.count("*").alias("page_count"),
-        F.count_if(~F.col("passed")).alias("failed_page_count"),
+        F.count_if(~_verified()).alias("failed_page_count"),
         F.sum("redaction_passes").alias("redaction_passes"),
     )
     joined = rolled.join(documents, list(keys), "full_outer")
@@ -128,8 +128,41 @@ def document_results(
     )
 
 
+def _verified() -> Column:
+    return F.coalesce(F.col("passed"), F.lit(False))
+
+
 def failed_pages(pages: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
-    return pages.filter(~F.col("passed")).select(*keys, "page_no", "remaining_count")
+    return pages.filter(~_verified()).select(*keys, "page_no", "remaining_count")
+
+
+def held_back_pages(
+    pages: DataFrame, documents: DataFrame, keys: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Why a document is not published: ``page_no`` and ``reason``, a row each.
+
+    ``documents`` holds ``document_results``.  ``page_no`` is null where the reason
+    concerns the document as a whole.
+    """
+    keys = list(keys)
+    held = publishable(documents)[1]
+    reason = F.when(F.col("passed").isNull(), "page_not_verified").otherwise("detections_remain")
+    by_page = (
+        pages.filter(~_verified())
+        .join(held.select(*keys), keys, "left_semi")
+        .select(*keys, "page_no", reason.alias("reason"))
+    )
+    whole = F.array_compact(
+        F.array(
+            F.when(F.col("page_count") == 0, "no_pages"),
+            F.when(F.col("text_layer_empty").isNull(), "text_layer_not_checked"),
+            F.when(~F.col("text_layer_empty"), "text_layer_left"),
+        )
+    )
+    of_document = explode_rows(held, keys, whole).select(
+        *keys, F.lit(None).cast(pages.schema["page_no"].dataType).alias("page_no"), F.col("d").alias("reason")
+    )
+    return by_page.unionByName(of_document)
 
 
 def publishable(documents: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -498,8 +498,11 @@ def _document_results(spark, sf):
         (F.col("doc_id") % 6 != 1).alias("text_layer_empty"),
         F.when(F.col("doc_id") % 2 == 0, "docx").otherwise("pdf").alias("source_format"),
     )
-    verdicts = outcomes.withColumn("passed", F.col("passed") | (F.col("doc_id") % 4 == 0))
-    return outcomes, I.document_results(verdicts, documents)
+    # some pages have no verdict, some documents no check of their text layer
+    known = F.col("passed") | (F.col("doc_id") % 4 == 0)
+    verdicts = outcomes.withColumn("passed", F.when((F.col("doc_id") % 9 != 4) | (F.col("page_no") != 3), known))
+    documents = documents.withColumn("text_layer_empty", F.when(F.col("doc_id") % 28 != 0, F.col("text_layer_empty")))
+    return verdicts, I.document_results(verdicts, documents)
 
 
 def document_results(spark, sf):
@@ -507,13 +510,16 @@ def document_results(spark, sf):
     return documents
 
 
-_ROLLED = f"""{LOOP}, rolled AS (
-      SELECT doc_id, count(*) AS page_count, count_if(NOT (passed OR doc_id % 4 = 0))::bigint AS failed_page_count,
-        sum(redaction_passes)::bigint AS redaction_passes, doc_id % 6 <> 1 AS text_layer_empty,
+_LAYER = "CASE WHEN {0} % 28 <> 0 THEN {0} % 6 <> 1 END"
+_ROLLED = f"""{LOOP}, verdicts AS (SELECT * EXCLUDE (passed),
+      CASE WHEN doc_id % 9 = 4 AND page_no = 3 THEN NULL ELSE passed OR doc_id % 4 = 0 END AS passed FROM outcome),
+    rolled AS (
+      SELECT doc_id, count(*) AS page_count, count_if(passed IS NOT TRUE)::bigint AS failed_page_count,
+        sum(redaction_passes)::bigint AS redaction_passes, {_LAYER.format('doc_id')} AS text_layer_empty,
         CASE WHEN doc_id % 2 = 0 THEN 'docx' ELSE 'pdf' END AS source_format,
-        doc_id % 6 <> 1 AND count_if(NOT (passed OR doc_id % 4 = 0)) = 0 AS passed
-      FROM outcome GROUP BY doc_id
-      UNION ALL SELECT DISTINCT -1 - doc_id, 0, 0, 0, (-1 - doc_id) % 6 <> 1,
+        doc_id % 28 <> 0 AND doc_id % 6 <> 1 AND count_if(passed IS NOT TRUE) = 0 AS passed
+      FROM verdicts GROUP BY doc_id
+      UNION ALL SELECT DISTINCT -1 - doc_id, 0, 0, 0, {_LAYER.format('(-1 - doc_id)')},
         CASE WHEN (-1 - doc_id) % 2 = 0 THEN 'docx' ELSE 'pdf' END, false
       FROM outcome WHERE doc_id % 10 = 0)"""
 
@@ -526,8 +532,20 @@ def published_documents(spark, sf):
 
 
 def failed_pages(spark, sf):
-    outcomes, _ = _document_results(spark, sf)
-    return I.failed_pages(outcomes)
+    verdicts, _ = _document_results(spark, sf)
+    return I.failed_pages(verdicts)
+
+
+def held_back_pages(spark, sf):
+    return I.held_back_pages(*_document_results(spark, sf))
+
+
+HELD_SQL = f"""WITH {_ROLLED}, held AS (SELECT * FROM rolled WHERE NOT passed)
+    SELECT doc_id, page_no, CASE WHEN v.passed IS NULL THEN 'page_not_verified' ELSE 'detections_remain' END AS reason
+    FROM verdicts v SEMI JOIN held USING (doc_id) WHERE v.passed IS NOT TRUE
+    UNION ALL SELECT doc_id, NULL, 'no_pages' FROM held WHERE page_count = 0
+    UNION ALL SELECT doc_id, NULL, 'text_layer_not_checked' FROM held WHERE text_layer_empty IS NULL
+    UNION ALL SELECT doc_id, NULL, 'text_layer_left' FROM held WHERE NOT text_layer_empty"""
 
 
 # --- geometry edits ---------------------------------------------------------
@@ -621,8 +639,9 @@ QUERIES = {
     ),
     "failed_pages": (
         failed_pages,
-        f"WITH {LOOP} SELECT doc_id, page_no, remaining_count FROM outcome WHERE NOT passed",
+        f"WITH {_ROLLED} SELECT doc_id, page_no, remaining_count FROM verdicts WHERE passed IS NOT TRUE",
     ),
+    "held_back_pages": (held_back_pages, HELD_SQL),
     "moved_boxes": (moved_boxes, MOVED_SQL),
     "resized_boxes": (resized_boxes, RESIZED_SQL),
     "dragged_boxes": (dragged_boxes, DRAGGED_SQL),

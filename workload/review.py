@@ -9,7 +9,9 @@ from veilspan.operators import detections as D
 from veilspan.operators import review as R
 from veilspan.operators.boxes import number_regions
 from veilspan.plans.image import plans_from_detections
-from veilspan.plans.review import export_reviewed, export_sessions
+from veilspan.plans.review import export_detections_by_page, export_reviewed, export_sessions
+from veilspan.plans.review import export_rectangles as rectangles_of_exports
+from veilspan.plans.review import source_gate as gate_of_sources
 from veilspan.session import load_table
 from workload.common import BOX_SQL, Derived, flat_box
 
@@ -162,9 +164,10 @@ MOVES = Derived(
             "o_orderkey", "concat('p', cast(o_custkey AS string)) AS plan_id", _EXPECTED,
             "concat('r', cast(o_orderkey + CASE WHEN o_orderkey % 89 = 1 THEN 10000000 ELSE 0 END AS string)) AS region_id",
             "cast((o_orderkey * 7) % 900 + CASE WHEN o_orderkey % 8 = 1 THEN 3 ELSE 0 END AS int) AS x1",
-            "cast((o_orderkey * 11) % 700 AS int) AS y1",
-            "cast((o_orderkey * 7) % 900 + 30 + o_orderkey % 60 + CASE WHEN o_orderkey % 113 = 5 THEN 900 ELSE 0 END AS int) AS x2",
-            "cast((o_orderkey * 11) % 700 + 20 + o_orderkey % 70 - CASE WHEN o_orderkey % 127 = 9 THEN 200 ELSE 0 END AS int) AS y2",
+            # some move in y only, some change their size only
+            "cast((o_orderkey * 11) % 700 + CASE WHEN o_orderkey % 16 = 5 THEN 2 ELSE 0 END AS int) AS y1",
+            "cast((o_orderkey * 7) % 900 + 30 + o_orderkey % 60 + CASE WHEN o_orderkey % 113 = 5 THEN 900 WHEN o_orderkey % 32 = 13 THEN 2 ELSE 0 END AS int) AS x2",
+            "cast((o_orderkey * 11) % 700 + 20 + o_orderkey % 70 + CASE WHEN o_orderkey % 127 = 9 THEN -200 WHEN o_orderkey % 16 = 5 THEN 2 ELSE 0 END AS int) AS y2",
         ),
     ),
     "o_orderkey % 4 = 1",
@@ -240,7 +243,8 @@ REVISED_SQL = f"""
       cast(coalesce(m.x1, r.x1) AS bigint) AS x1, cast(coalesce(m.y1, r.y1) AS bigint) AS y1,
       cast(coalesce(m.x2, r.x2) AS bigint) AS x2, cast(coalesce(m.y2, r.y2) AS bigint) AS y2,
       r.provenance, coalesce(d.action, r.action) AS action, r.detection_type, r.confidence,
-      r.geometry_modified OR (r.provenance = 'automatic' AND m.x1 IS NOT NULL AND m.x1 <> r.x1) AS geometry_modified
+      r.geometry_modified OR (r.provenance = 'automatic' AND m.x1 IS NOT NULL
+        AND (m.x1 <> r.x1 OR m.y1 <> r.y1 OR m.x2 <> r.x2 OR m.y2 <> r.y2)) AS geometry_modified
     FROM r LEFT JOIN d ON d.plan_id = r.plan_id AND d.region_id = r.region_id
     LEFT JOIN m ON m.plan_id = r.plan_id AND m.region_id = r.region_id
     UNION ALL
@@ -398,8 +402,16 @@ def _documents(pages):
 
 
 def _page_exports(spark, sf):
+    """Results by page, some of them without a verdict."""
     pages = PAGES.df(spark, sf)
-    return pages, _exports(spark, sf).join(pages.select("plan_id", "session_id", "page_number"), "plan_id")
+    joined = _exports(spark, sf).join(pages.select("plan_id", "session_id", "page_number", "c_custkey"), "plan_id")
+    unknown = F.col("c_custkey") % 100 == 11
+    return pages, joined.withColumns(
+        {
+            "detectors_clear": F.when(unknown, None).otherwise(F.col("detectors_clear")),
+            "status": F.when(F.col("c_custkey") % 100 == 61, None).otherwise(F.col("status")),
+        }
+    )
 
 
 def document_exports(spark, sf):
@@ -415,7 +427,7 @@ _SUMMED = (
 )
 DOCUMENTS = f"""
     rolled AS (SELECT concat('s', c_custkey % 50) AS session_id, c_custkey % 50 % 3 AS t, count(*) AS page_count,
-      bool_and(detectors_clear) AS detectors_clear, bool_or(status = 'verified_with_human_overrides') AS o,
+      bool_and(detectors_clear AND c_custkey % 100 NOT IN (11, 61)) AS detectors_clear, bool_or(status = 'verified_with_human_overrides') AS o,
       max(plan_revision) AS plan_revision, {", ".join(f"sum({c})::bigint AS {c}" for c in _SUMMED)}
       FROM exports GROUP BY c_custkey % 50),
     documents AS (SELECT *, CASE WHEN NOT detectors_clear OR t = 2 THEN 'review_required'
@@ -426,13 +438,99 @@ DOCUMENTS_SQL = f"""WITH {EXPORTS}, {DOCUMENTS}
 
 
 def exported_sessions(spark, sf):
+    """Some pages have no result, some the result of an older plan."""
     pages, exports = _page_exports(spark, sf)
+    stale = F.col("plan_revision") + F.when(F.col("c_custkey") % 150 == 9, 1).otherwise(0)
+    exports = exports.filter("c_custkey % 150 <> 7").withColumn("plan_revision", stale)
     gate_pages, plans, expected = _gate_tables(spark, sf)
     return export_sessions(gate_pages, plans, expected, exports, _documents(pages)).select(
-        "session_id", "page_count", "status"
+        "session_id", "page_count", "missing_page_count", "status", "passed"
+    )
+
+
+_NOT_GATED = f"session_id NOT IN (SELECT session_id FROM {GATE} WHERE reason IS NOT NULL)"
+EXPORTED_SQL = f"""WITH {EXPORTS}, pages AS (SELECT e.*, concat('s', c_custkey % 50) AS session_id,
+      c_custkey % 150 IN (7, 9) AS missing, c_custkey % 100 IN (11, 61) AS unknown FROM exports e),
+    rolled AS (SELECT session_id, count(*) AS page_count, count(*) FILTER (missing) AS missing_page_count,
+      bool_and(detectors_clear AND NOT missing AND NOT unknown) AS clear,
+      bool_or(status = 'verified_with_human_overrides' AND NOT missing AND NOT unknown) AS o, any_value(c_custkey % 50 % 3) AS t
+      FROM pages WHERE {_NOT_GATED} GROUP BY session_id)
+    SELECT session_id, page_count, missing_page_count, CASE WHEN NOT clear OR t = 2 THEN 'review_required'
+      WHEN o THEN 'verified_with_human_overrides' ELSE 'passed' END AS status,
+      clear AND t <> 2 AND NOT o AS passed FROM rolled"""
+
+
+# --- exports to the end -----------------------------------------------------
+
+
+def _sources(plans, changed):
+    """The files of the plans; ``changed`` picks those with other bytes."""
+    digest = F.when(changed, F.repeat(F.lit("0b"), 32)).otherwise(F.col("source_sha256"))
+    return plans.select("plan_id", digest.alias("source_sha256"), "image_width", "image_height")
+
+
+def _gated(spark, sf):
+    plans = PLANS.df(spark, sf)
+    key = F.col("c_custkey")
+    return plans, _sources(plans, key % 7 == 1).filter("c_custkey % 11 <> 3"), _sources(plans, key % 13 == 2)
+
+
+def source_gate(spark, sf):
+    return gate_of_sources(*_gated(spark, sf)).select("plan_id", "reason")
+
+
+_GATED = "CASE WHEN c_custkey % 7 = 1 OR c_custkey % 11 = 3 THEN 'source_changed' WHEN c_custkey % 13 = 2 THEN 'source_changed_during_export' END"
+
+
+def gated_exports(spark, sf):
+    plans, before, after = _gated(spark, sf)
+    exported = export_reviewed(plans, _boxed(REGIONS, spark, sf), _found(spark, sf), before, after)
+    return exported.select("plan_id", F.col("redaction_passes").cast("long").alias("redaction_passes"), "status")
+
+
+def _export_tables(spark, sf):
+    return PLANS.df(spark, sf), _boxed(REGIONS, spark, sf), _found(spark, sf), _exports(spark, sf)
+
+
+def export_detections(spark, sf):
+    """What each export remediated and what it left, by page."""
+    rows = export_detections_by_page(*_export_tables(spark, sf), PAGES.df(spark, sf))
+    return rows.select(
+        "session_id", F.col("page_number").cast("long").alias("page_number"), "outcome",
+        F.col("pass_no").cast("long").alias("pass_no"), "detection_type", *flat_box(), "confidence",
     )
 
 
+_REMEDIATED = f"""SELECT f.plan_id, f.pass_no, f.detection_type, f.x1, f.y1, f.x2, f.y2, max(f.confidence) AS confidence
+      FROM f JOIN fresh n ON n.plan_id = f.plan_id AND n.detection_type = f.detection_type AND n.p = f.pass_no
+        AND n.x1 = f.x1 AND n.y1 = f.y1 AND n.x2 = f.x2 AND n.y2 = f.y2
+      JOIN exports x ON x.plan_id = f.plan_id WHERE n.p < x.redaction_passes GROUP BY ALL"""
+BY_PAGE_SQL = f"""WITH {EXPORTS}
+    SELECT session_id, cast(page_number AS bigint) AS page_number, outcome, cast(pass_no AS bigint) AS pass_no,
+      detection_type, {BOX_SQL}, confidence FROM (
+      SELECT 'remediated' AS outcome, r.* FROM ({_REMEDIATED}) AS r
+      UNION ALL SELECT 'remaining', f.plan_id, f.pass_no, f.detection_type, f.x1, f.y1, f.x2, f.y2, f.confidence
+      FROM f JOIN exports x ON x.plan_id = f.plan_id AND x.redaction_passes = f.pass_no) AS d
+    JOIN (SELECT * FROM {PAGES.sql()}) AS pg ON pg.plan_id = d.plan_id"""
+
+
+def export_rectangles(spark, sf):
+    rows = rectangles_of_exports(*_export_tables(spark, sf))
+    return rows.select(
+        "plan_id", "origin", "region_id", "detection_type",
+        *(F.col(f"rect.{c}").cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")), "covered", "valid",
+    )
+
+
+RECTANGLES_SQL = f"""WITH {EXPORTS}, painted AS (
+      SELECT plan_id, 'plan' AS origin, region_id, detection_type, x1, y1, x2, y2 FROM {REGIONS.sql()} WHERE action = 'retain'
+      UNION ALL SELECT plan_id, 'remediation', NULL, detection_type, x1, y1, x2, y2 FROM ({_REMEDIATED}) AS r),
+    grown AS (SELECT plan_id, origin, region_id, detection_type, cast(greatest(0, x1 - 5) AS bigint) AS x1,
+      cast(greatest(0, y1 - 5) AS bigint) AS y1, cast(least(1000, x2 + 5) AS bigint) AS x2, cast(least(800, y2 + 5) AS bigint) AS y2 FROM painted)
+    SELECT *, (least(999, x2) - x1 + 1) * (least(799, y2) - y1 + 1) AS covered, true AS valid FROM grown
+    WHERE plan_id IN (SELECT plan_id FROM exports)"""
+
+
 LOG = Derived(
     "events",
     ((
@@ -549,9 +647,18 @@ QUERIES = {
     "document_exports": (document_exports, DOCUMENTS_SQL),
     "exported_sessions": (
         exported_sessions,
-        f"WITH {EXPORTS}, {DOCUMENTS} SELECT session_id, page_count, status FROM documents"
-        f" WHERE session_id NOT IN (SELECT session_id FROM {GATE} WHERE reason IS NOT NULL)",
+        EXPORTED_SQL,
+    ),
+    "source_gate": (
+        source_gate,
+        f"SELECT plan_id, {_GATED} AS reason FROM {PLANS.sql()} WHERE {_GATED} IS NOT NULL",
+    ),
+    "gated_exports": (
+        gated_exports,
+        f"WITH {EXPORTS} SELECT plan_id, redaction_passes, status FROM exports WHERE {_GATED} IS NULL",
     ),
+    "export_detections": (export_detections, BY_PAGE_SQL),
+    "export_rectangles": (export_rectangles, RECTANGLES_SQL),
     "current_plans": (
         current_plans,
         f"SELECT session_id, cast(page_number AS bigint) AS page_number, cast(arg_max(revision, seq) AS bigint) AS revision,"

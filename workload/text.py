@@ -19,6 +19,7 @@ from veilspan.functions.text import (
 )
 from veilspan.operators import detections as D
 from veilspan.operators.batch import batch_summary
+from veilspan.plans.publish import changed_contents, publish, read_contents, read_published
 from veilspan.plans.text import applied_detections, sanitize_texts
 from veilspan.session import ensure_checkpoint_dir, load_table
 from veilspan.streaming.text import sanitize_stream, write_stream
@@ -26,6 +27,7 @@ from workload.common import (
     CARDS,
     SPAN_RULES,
     TEXTS_SQL,
+    Derived,
     cards,
     detections_sql,
     documents,
@@ -252,8 +254,28 @@ def redacted_texts(spark, sf):
 REDACTED_SQL = f"SELECT doc_id, text FROM {redacted_sql(TEXTS_SQL, detections_sql(TEXTS_SQL))} AS r"
 
 
+# Texts that need several looks: a telephone number hides the end of an address, the
+# address keeps a label away from a number, and that number keeps it from the next one.
+LAYERED = Derived(
+    "customer",
+    (
+        (
+            "c_custkey", "concat('n', cast(c_custkey AS string)) AS doc_id",
+            "concat('TC ', repeat('a', 30), cast(c_custkey % 10 AS string), '.b@mail.example.com', '53212345', lpad(cast(c_custkey % 100 AS string), 2, '0'),"
+            " CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' 1 2 3 4 5 6 7 8 9 0 1' END,"
+            " CASE WHEN c_custkey % 3 = 2 THEN ';9 8 7 6 5 4 3 2 1 0 0' ELSE '' END, ' end') AS text",
+        ),
+        ("doc_id", "text", "c_custkey"),
+    ),
+    "c_custkey % 5 = 1",
+)
+LOOKED_AT_SQL = (
+    f"(SELECT doc_id, text FROM {TEXTS_SQL} UNION ALL SELECT doc_id, text FROM {LAYERED.sql()}) AS looked_at"
+)
+
+
 def _sanitized(spark, sf):
-    return sanitize_texts(texts(spark, sf))
+    return sanitize_texts(texts(spark, sf).unionByName(LAYERED.df(spark, sf).select("doc_id", "text")))
 
 
 def sanitized_texts(spark, sf):
@@ -293,10 +315,25 @@ def _passes_sql(select: str, source: str = TEXTS_SQL) -> str:
 
 SANITIZED_SQL = _passes_sql(
     "SELECT doc_id, text AS sanitized_text, redaction_passes, applied_count, remaining_count,"
-    " CASE WHEN remaining_count = 0 THEN 'passed' ELSE 'review_required' END AS status FROM w"
+    " CASE WHEN remaining_count = 0 THEN 'passed' ELSE 'review_required' END AS status FROM w",
+    LOOKED_AT_SQL,
 )
 
 
+def published_files(spark, sf):
+    """Texts that were published, read back with the digests of the list of contents."""
+    target = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    done = _sanitized(spark, sf).select("doc_id", "sanitized_text", (F.col("status") == "passed").alias("passed"))
+    publish(done, target)
+    listed = read_contents(spark, target).select("doc_id", F.col("sha256").alias("_listed"))
+    changed = changed_contents(spark, target).select("doc_id")
+    rows = read_published(spark, target).join(listed, "doc_id").join(changed, "doc_id", "left_anti")
+    return rows.select("doc_id", F.sha2(F.col("sanitized_text").cast("binary"), 256).alias("sha256"))
+
+
+PUBLISHED_SQL = _passes_sql("SELECT doc_id, sha256(text) AS sha256 FROM w WHERE remaining_count = 0", LOOKED_AT_SQL)
+
+
 def streamed_texts(spark, sf):
     """The documents as a stream of files, redacted into the shared folder."""
     stream = (
@@ -324,7 +361,8 @@ def applied_by_pass(spark, sf):
 APPLIED_SQL = _passes_sql(
     'SELECT p::bigint AS pass_no, detection_type, count(*) AS n, sum("end" - "start")::bigint AS chars'
     " FROM (SELECT 1 AS p, * FROM d0 UNION ALL SELECT 2, * FROM d1 UNION ALL SELECT 3, * FROM d2)"
-    " AS a GROUP BY p, detection_type"
+    " AS a GROUP BY p, detection_type",
+    LOOKED_AT_SQL,
 )
 
 
@@ -408,6 +446,7 @@ QUERIES = {
             "documents",
         ),
     ),
+    "published_files": (published_files, PUBLISHED_SQL),
     "applied_by_pass": (applied_by_pass, APPLIED_SQL),
     "text_verification": (text_verification, VERIFICATION_SQL),
     "batch_outcome": (batch_outcome, BATCH_SQL),
