@@ -368,6 +368,67 @@ def test_html_noise_elements():
     assert main_text('<div class="cookie-notice">ok?</div><!-- <p>no --><p>A<p title="a>b">B</div></p>', set()) == "A B"
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<div class="page with-sidebar"><article>A <p>B</article></div>', "A B"),
+        ('<article class="post comments-open">A</article>', "A"),
+        ('<main class="search-results">A</main>', "A"),
+        ('<body class="has-nav"><div class="no-ads layout">A</div><div class="site-nav">N</div><div class="nav">N</div>', "A"),
+        # where a class hides all there is, the marked article is shown
+        ('<div class="sidebar"><article>A</article></div>', "A"),
+        ('<div class="sidebar"><article>teaser</article></div><article>A</article>', "A"),
+        ('<div class="sidebar"><p>only menus</p></div>', ""),
+        ('<nav><article>menu</article></nav>', ""),
+        ('<p style="overflow:hidden">A</p><p class="hidden-print">B</p><p data-title="the hidden gem">C</p>', "A B C"),
+        ('<p hidden>x</p><p hidden="">x</p><p HIDDEN=hidden>x</p><p hidden="until-found">A</p><p aria-hidden="true">x</p><p aria-hidden="false">B</p>', "A B"),
+        ('<p style="color:red; display : none">x</p><p style="visibility:hidden">x</p><p title="display:none">A</p><p style=\'display:none\'>x</p>', "A"),
+        ("<p>one <span hidden>secret</span>two</p>", "one two"),
+        ('<p>one<span style="display:none">secret <b>x</b></span>two</p>', "onetwo"),
+        ("<p>one <button>Go</button>two</p>", "one two"),
+        ('<p>one <span class="ad">buy</span>two <span class="adverb">well</span></p>', "one two well"),
+        ("<p>one <button><div>Go</div></button>two</p><p>three</p>", "one two three"),
+        ("<p>one <span hidden>never closed</p><p>two</p>", "one two"),
+    ],
+)
+def test_html_telling_marks(page, text):
+    """Whole words of classes and real attributes tell what is noise, and nothing else."""
+    assert main_text(page, set()) == text
+
+
+def test_html_without_classes(spark):
+    """No element or class tells anything: only the tree can find what is noise."""
+    draw = random.Random(4)
+    page = (
+        "<html><body><div><ul><li>Home<li>News<li>About us</ul></div><div><div><p>{lead}</p><p>{story}</p><ul><li>{item}<li>{other}</ul></div>"
+        "<div><b>Also on this site</b><p>Most read</p><ul><li>One<li>Two</ul></div></div><div><p>All rights reserved</p><p>{year}</p></div></body></html>"
+    )
+    want, rows = {}, []
+    for i in range(60):
+        lead, story, item, other = (f"{w} {i} {draw.randrange(10**6)}" for w in ("Lead", "Story", "Item", "Other"))
+        rows.append((i, f"http://plain.example/{i}", page.format(lead=lead, story=story, item=item, other=other, year=2020 + i % 2)))
+        want[i] = f"{lead} {story} {item} {other}"
+    # the same blocks on a host of few pages are no noise there
+    rows += [(100 + i, "http://few.example/", page.format(lead=i, story="s", item="i", other="o", year=1)) for i in range(3)]
+    got = {r.page_id: r.text for r in extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(60)} == want
+    assert got[101].startswith("Home News About us 1 s i o Also")
+
+
+def test_html_branch_of_varying_parts(spark):
+    """A block whose parts stand at the places of unique ones goes with its branch."""
+    page = "<article><p>Story {n}</p><div><p>See also</p><p>Our offers</p></div></article>"
+    rows = [(i, f"http://h.example/{i}", page.format(n=i)) for i in range(30)]
+    got = {r.page_id: r.text for r in extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(30)}
+
+
+def test_html_mirrored_pages_without_article(spark):
+    rows = [(i, f"http://m.example/{i}", "<div><p>One story</p></div>") for i in range(40)]
+    got = {r.text for r in extracted(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {"One story"}
+
+
 @pytest.mark.parametrize("n", [5_000, 1_000_000])
 @pytest.mark.parametrize("quote", "\"'")
 def test_html_long_attributes(n, quote):

@@ -1,14 +1,20 @@
 """Main text of web pages by site style trees.
 
-Method: the blocks of all pages of a host are merged by their place in the document,
-the path of their elements with classes.  For each place the pages give how its
-content and its presentation, the inline elements in it, are spread: content that
-comes again on many pages has a high entropy over them and little importance, and
-so has a place that looks the same everywhere.  Places below a least importance are
-noise of that host.  From each page go the branches that are noise by their element
-or class (menus, adverts, forms, comments), and the blocks at noisy places.  Inside
-marked articles, pages of one host whose articles have equal text count once, so what
-comes again in different articles goes and an article that is mirrored stays.
+Method: the elements of all pages of a host are merged by their place in the document,
+the path of their elements with classes; containers without a class are told apart by
+their number among their like.  A place is a branch: its content on a page is the text of
+all blocks below it, its presentation the elements they are made of.  For each place the
+pages give how content and presentation are spread: content that comes again on many
+pages has a high entropy over them and little importance, and so has a place that looks
+the same everywhere.  Branches below a least importance are noise of that host.  From
+each page go the branches that are noise by their element or class (menus, adverts,
+forms, comments), and the noisy branches.  Pages of one host whose articles have equal
+text, or which show the same where no article is marked, count once: what comes again in
+different articles goes, and an article that is mirrored stays.
+
+A class is telling if one of its words, or the last part of one, names noise
+(``user-comments``, not ``comments-open`` or ``with-sidebar``).  A marked article inside
+a branch that only a class calls noise is shown where the page has nothing else.
 
 The first scan sends hashes and counts, added up within a task before they move, and
 the layouts of pages, the sets of places they have.  Noisy places, of which a host may
@@ -27,7 +33,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -50,7 +57,9 @@ _TOKEN = re.compile(
     re.S,
 )
 _CLASS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=>\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 
 #: Elements without an end, elements whose content is no text, elements that end a
 #: block, elements that mark the main text, and those that are never part of it.
@@ -63,49 +72,100 @@ _BLOCK = frozenset(
 )
 _MAIN = frozenset(["article", "main"])
 _NOISE_TAGS = frozenset("nav aside footer form menu dialog button head search".split())
-#: Words of classes, ids and roles that name such parts.
+#: Words of classes, ids and roles that name such parts, and what may stand before them
+#: in a word that names something else.
 _NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|breadcrumbs?|ads?|advert\w*|banner|sponsor\w*|promo\w*"
-    r"|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|comments?|disqus|complementary|contentinfo)(?=$|[\s_-])",
+    r"(?:[^\s]*[_-])??(?:nav|navbar|navigation|menu|header|masthead|footer|sidebar|aside|breadcrumbs?|ads?|advert\w*|banner|sponsor\w*|promo\w*"
+    r"|cookies?|consent|notice|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|comments?|disqus|complementary|contentinfo)",
     re.I,
 )
+_ABOUT_OTHERS = re.compile(r"(?:with|without|has|have|no|not|is|before|after)[_-]", re.I)
+#: Containers that are told apart by their number where they have no class.
+_NUMBERED = frozenset("div section ul ol dl table blockquote header".split())
 #: An open element that the start of another one ends, up to a container.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _DIGITS = re.compile(r"\d+")
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, str, str, bool, bool]]:
-    """Path, inline elements, text, and whether it is inside a main element or a noise
-    branch, of each block of a page that has text."""
+def _named_noise(names: str) -> bool:
+    return any(_NOISE_WORDS.fullmatch(word) and not _ABOUT_OTHERS.match(word) for word in names.split())
+
+
+def _hides(rest: str) -> bool:
+    """Whether the attributes of an element keep it from being shown."""
+    if not _MAY_HIDE.search(rest):
+        return False
+    for name, a, b, c in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if (name == "hidden" and value != "until-found") or (name == "aria-hidden" and value == "true") or (name == "style" and _NOT_SHOWN.search(value)):
+            return True
+    return False
+
+
+@dataclass(frozen=True)
+class Block:
+    """A block of text: the places of the branches it lies in, down to its own, the inline
+    elements in it, and what the elements around it say."""
+
+    path: tuple[str, ...]
+    style: str
+    text: str
+    main: bool
+    #: Inside an element that is never shown as main text, or that a class calls noise.
+    noise: bool
+    named: bool
+
+    @property
+    def shown(self) -> bool:
+        return not self.noise and not self.named
+
+
+@dataclass
+class _Open:
+    """An open element, with what holds inside it."""
+
+    tag: str
+    path: tuple[str, ...]
+    main: bool
+    noise: bool
+    named: bool
+    #: An inline element around takes its text away.
+    muted: bool
+    children: Counter
+
+
+def blocks(page: str | None) -> Iterator[Block]:
+    """The blocks of a page that have text."""
     page = page or ""
-    open_tags: list[tuple[str, str, bool, bool]] = []  # tag, path, main, noise
-    path, main, noise = "", False, False
+    now = _Open("", (), False, False, False, False, Counter())
+    open_tags = [now]
     parts: list[str] = []
     inline: list[str] = []
     at = 0
 
-    def closed() -> Iterator[tuple[str, str, str, bool, bool]]:
+    def closed() -> Iterator[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            yield path, ",".join(inline), text, main, noise
+            yield Block(now.path, ",".join(inline), text, now.main, now.noise, now.named)
         parts.clear()
         inline.clear()
 
     def left(n: int) -> None:
-        nonlocal path, main, noise
+        nonlocal now
         del open_tags[n:]
-        path, main, noise = open_tags[-1][1:] if open_tags else ("", False, False)
+        now = open_tags[-1]
 
     for found in iter(lambda: _TOKEN.search(page, at), None):
-        parts.append(page[at : found.start()])
+        if not now.muted:
+            parts.append(page[at : found.start()])
         at = found.end()
         if found["tag"] is None:
             continue
         tag = found["tag"].lower()
         if found["end"]:
-            n = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
+            n = next((i for i in range(len(open_tags) - 1, 0, -1) if open_tags[i].tag == tag), None)
             if n is not None:
-                if any(t[0] in _BLOCK for t in open_tags[n:]):
+                if any(t.tag in _BLOCK for t in open_tags[n:]):
                     yield from closed()
                 left(n)
             elif tag == "p":
@@ -124,30 +184,30 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, str, bool, bool]]:
         if tag in _BLOCK:
             yield from closed()
             ended = _ENDS.get(tag, set()) | {"p"}
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] in ended:
+            for i in range(len(open_tags) - 1, 0, -1):
+                if open_tags[i].tag in ended:
                     left(i)
                     break
-                if open_tags[i][0] in _BLOCK:
+                if open_tags[i].tag in _BLOCK or open_tags[i].tag == "button":
                     break
         if tag in _VOID:
             continue
-        named = " ".join(a or b or c for _, a, b, c in _CLASS.findall(rest)) if rest else ""
+        names = " ".join(a or b or c for _, a, b, c in _CLASS.findall(rest)) if rest else ""
+        named = bool(names) and tag not in ("html", "body") and _named_noise(names)
+        noise = tag in _NOISE_TAGS or (tag == "header" and not now.main) or bool(rest and _hides(rest))
         if tag in _BLOCK:
-            here = f"{path}/{tag}" + (f".{_DIGITS.sub('0', named)}" if named else "")
-            is_main = main or tag in _MAIN
-            is_noise = noise or tag in _NOISE_TAGS or (tag == "header" and not main) or bool(named and tag not in ("html", "body") and _NOISE_WORDS.search(named)) or bool(rest and _HIDDEN.search(rest))
-            open_tags.append((tag, here, is_main, is_noise))
-            path, main, noise = here, is_main, is_noise
+            step = f"{tag}.{_DIGITS.sub('0', names)}" if names else tag
+            if not names and tag in _NUMBERED:
+                step = f"{tag}:{now.children[tag]}"
+                now.children[tag] += 1
+            now = _Open(tag, (*now.path, step), now.main or tag in _MAIN, now.noise or now.muted or noise, now.named or named, False, Counter())
         else:
             inline.append(tag)
-            # inline elements have no place of their own, but may hide what is in them
-            hides = noise or tag in _NOISE_TAGS or bool(rest and _HIDDEN.search(rest))
-            if hides != noise:
-                yield from closed()
-            open_tags.append((tag, path, main, hides))
-            noise = hides
-    parts.append(page[at:])
+            # inline elements have no place of their own, but may take away what is in them
+            now = _Open(tag, now.path, now.main, now.noise, now.named, now.muted or noise or named, now.children)
+        open_tags.append(now)
+    if not now.muted:
+        parts.append(page[at:])
     yield from closed()
 
 
@@ -155,20 +215,27 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _layout(places: Iterable[int]) -> int:
-    return _hash(",".join(map(str, sorted(set(places)))))
+def _places_of(path: tuple[str, ...]) -> list[int]:
+    """The place of each branch that a block lies in."""
+    return [_hash("/".join(path[: n + 1])) for n in range(len(path))]
+
+
+def _layout(found: list[Block]) -> int:
+    return _hash("\n".join(sorted({"/".join(b.path) for b in found})))
 
 
-def _candidates(found: list[tuple]) -> list[tuple[int, str]]:
-    """Place and text of the blocks of a page, or of its marked article, outside noise branches."""
-    kept = [x for x in found if not x[4]]
-    marked = any(x[3] for x in kept)
-    return [(_hash(path), text) for path, _, text, main, _ in kept if main == marked]
+def _candidates(found: list[Block]) -> list[Block]:
+    """The blocks of a page, or of its marked article, outside noise branches."""
+    kept = [b for b in found if b.shown]
+    # where a class hides all there is, it may have named something else than noise
+    kept = kept or [b for b in found if b.main and not b.noise]
+    marked = any(b.main for b in kept)
+    return [b for b in kept if b.main == marked]
 
 
 def main_text(page: str | None, noisy: set[int]) -> str:
     """The text of a page, or of its marked article, without noise."""
-    return " ".join(text for place, text in _candidates(list(blocks(page))) if place not in noisy)
+    return " ".join(b.text for b in _candidates(list(blocks(page))) if noisy.isdisjoint(_places_of(b.path)))
 
 
 _PRESENT, _CONTENT, _STYLE, _LAYOUT = 0, 1, 2, 3
@@ -176,7 +243,7 @@ _PRESENT, _CONTENT, _STYLE, _LAYOUT = 0, 1, 2, 3
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages that have a place, and its contents, styles and layouts, counted by host;
-    places inside marked articles with the hash of the article's text."""
+    with the hash of what the page shows where pages that show the same count once."""
     names = ["host", "place", "kind", "value", "article", "n"]
 
     def made(counts: Counter) -> pa.RecordBatch:
@@ -188,12 +255,23 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found = list(blocks(page))
-            layout = _layout(_hash(path) for path, *_ in found)
+            layout = _layout(found)
+            shown = _candidates(found)
+            marked = any(b.main for b in shown)
+            whole = _hash("\0".join(b.text for b in shown))
+            branches: dict[int, list] = {}
+            for block in found:
+                # a place is inside the article if all of its blocks are
+                for place in _places_of(block.path) or [_hash("")]:
+                    branch = branches.setdefault(place, [True, [], []])
+                    branch[0] &= block.main
+                    branch[1].append(block.text)
+                    branch[2].append(f"{block.path[-1:]}{block.style}")
             seen = set()
-            whole = _hash("\0".join(text for _, _, text, main, noise in found if main and not noise))
-            for path, style, text, main, _ in found:
-                place, article = _hash(path), whole if main else None
-                seen |= {(host, place, kind, value, article) for kind, value in ((_PRESENT, 0), (_CONTENT, _hash(text)), (_STYLE, _hash(style)), (_LAYOUT, layout))}
+            for place, (main, texts, styles) in branches.items():
+                article = whole if main or not marked else None
+                values = ((_PRESENT, 0), (_STYLE, _hash(" ".join(styles))), (_LAYOUT, layout), *((_CONTENT, v) for v in {_hash("\0".join(texts))}))
+                seen |= {(host, place, kind, value, article) for kind, value in values}
             counts.update(seen)
             if len(counts) > 200_000:
                 yield made(counts)
@@ -204,13 +282,13 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The layout of each page and its blocks that may be shown."""
-    parts = pa.list_(pa.struct([("place", pa.int64()), ("text", pa.string())]))
+    parts = pa.list_(pa.struct([("places", pa.list_(pa.int64())), ("text", pa.string())]))
     for batch in batches:
         layouts, shown = [], []
         for page in batch.column(3).to_pylist():
             found = list(blocks(page))
-            layouts.append(_layout(_hash(path) for path, *_ in found))
-            shown.append([{"place": place, "text": text} for place, text in _candidates(found)])
+            layouts.append(_layout(found))
+            shown.append([{"places": _places_of(b.path) or [_hash("")], "text": b.text} for b in _candidates(found)])
         columns = [*[batch.column(i) for i in range(3)], pa.array(layouts, pa.int64()), pa.array(shown, parts)]
         yield pa.RecordBatch.from_arrays(columns, ["id", "url", "host", "layout", "parts"])
 
@@ -256,9 +334,9 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    read = source.mapInArrow(_read, f"id {kinds[0]}, url {kinds[1]}, host string, layout long, parts array<struct<place:long,text:string>>")
+    read = source.mapInArrow(_read, f"id {kinds[0]}, url {kinds[1]}, host string, layout long, parts array<struct<places:array<long>,text:string>>")
     joined = read.join(noise, ["host", "layout"], "left")
-    kept = F.filter("parts", lambda x: F.col("places").isNull() | ~F.array_contains("places", x["place"]))
+    kept = F.filter("parts", lambda x: F.col("places").isNull() | ~F.arrays_overlap("places", x["places"]))
     text = F.array_join(F.transform(kept, lambda x: x["text"]), " ")
     done = joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
