@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 BLANK = r"[^\x20\x09-\x0D]+"
 
 
@@ -133,3 +137,59 @@ def targets(sizes: dict, weights=(5, 2, 1), most=3) -> dict:
             left -= target[s]
             open_names.remove(s)
     return target
+
+
+def spark_hash(*values) -> int:
+    """What Spark's 64-bit hash gives for ``(value, bytes)`` pairs, bytes being 4 or 8."""
+    seed = 42
+    for value, size in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<i" if size == 4 else "<q", value), seed=seed)
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
+
+
+def permuted(x: int, size: int, s: int, epoch: int) -> int:
+    for r in range(24):
+        mirror = (spark_hash((103, 4), (s, 4), (epoch, 4), (r, 4)) % size - x) % size
+        if spark_hash((104, 4), (s, 4), (epoch, 4), (r, 4), (max(x, mirror), 8)) & 1:
+            x = mirror
+    return x
+
+
+def mix(docs, block_words, shard_slots, most=3):
+    """Words taken of each ``(id, source, size)``: slots drawn shard by shard, in order."""
+    sizes: Counter = Counter()
+    for _, s, n in docs:
+        sizes[s] += n
+    target = targets(sizes, most=most)
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    blocks = [-(-sizes[s] // block_words) for s in names]
+    want = [target[s] * b / sizes[s] if sizes[s] else 0.0 for s, b in zip(names, blocks, strict=True)]
+    left, shard, counts = math.ceil(round(sum(want), 6)), 0, [0] * len(names)
+    times: Counter = Counter()
+    while left > 0:
+        width = min(left, shard_slots)
+        due = [w / sum(want) * width for w in want]
+        certain = [math.floor(d + 1e-6) for d in due]
+        parts = [max(math.floor((d - c) * (1 << 32)), 0) for d, c in zip(due, certain, strict=True)]
+        lucky = [0] * len(names)
+        for r in range(1, round(sum(parts) / (1 << 32)) + 1):
+            u = spark_hash((102, 4), (shard, 8), (r, 8)) % sum(parts)
+            low = 0
+            for s, part in enumerate(parts):
+                if low <= u < low + part:
+                    lucky[s] += 1
+                low += part
+        for s, b in enumerate(blocks):
+            for j in range(counts[s], counts[s] + certain[s] + lucky[s]):
+                if b and j < most * b:
+                    times[s, permuted(j % b, b, s, j // b)] += 1
+            counts[s] += certain[s] + lucky[s]
+        left, shard = left - width, shard + 1
+    taken: Counter = Counter()
+    for s, name in enumerate(names):
+        at = 0
+        for i, _, n in sorted((d for d in docs if d[1] == name), key=lambda d: spark_hash((101, 4), (d[0], 8))):
+            for place in range(at, at + n):
+                taken[i] += times[s, place // block_words]
+            at += n
+    return {i: taken[i] for i, _, _ in docs}

@@ -211,7 +211,8 @@ def test_mixing(spark):
     draw = random.Random(2)
     docs = [(i, draw.choice(["b", "a", "é", None, "c"]), "w " * draw.choice([0, 3, 50, 400])) for i in range(600)]
     docs += [(700, "tiny", "w w"), (701, "none", None), (702, "zero", ""), (700, "tiny", "w w"), (None, "a", "w " * 30)]
-    source = table(spark, docs, "doc_id long, source string, text string").drop("size")
+    source = table(spark, docs, "doc_id long, source string, text string")
+    assert "size" in source.columns
     rows = mixed(source, block_words=16, shard_slots=64).collect()
     assert len(rows) == len(docs)
     sizes: dict = {}
@@ -234,13 +235,37 @@ def test_mixing_of_small_sources(spark):
     """The last block of a source is short; its slots are as many more."""
     sizes = {"a": 50_000, "b": 1, "c": 10, "d": 130, "e": 1_000, "f": 1_100, "g": 1}
     docs = [(k, s, "w " * n) for k, (s, n) in enumerate(sizes.items())]
-    taken = {r.source: (r.taken, r.target) for r in mixed(table(spark, docs, "doc_id long, source string, text string").drop("size")).collect()}
+    taken = {r.source: (r.taken, r.target) for r in mixed(table(spark, docs, "doc_id long, source string, text string")).collect()}
     want = brute.targets(sizes)
     for s, n in sizes.items():
         assert taken[s][1] == pytest.approx(want[s])
         assert abs(taken[s][0] - want[s]) <= (0.5 if want[s] == 3 * n else 128), s
 
 
+@pytest.mark.parametrize("shard_slots", [8, 64, 4096])
+def test_mixing_draws(spark, shard_slots):
+    """Every document's words against plain draws, permutations and blocks."""
+    draw = random.Random(9)
+    sizes = {i: draw.choice([0, 1, 7, 40, 300, 1500]) for i in range(120)}
+    docs = [(i, draw.choice(["a", "b", "c", "d", None]), "w " * n) for i, n in sizes.items()]
+    got = {r.id: r.taken for r in mixed(table(spark, docs, "doc_id long, source string, text string"), block_words=16, shard_slots=shard_slots).collect()}
+    assert got == brute.mix([(i, s, sizes[i]) for i, s, _ in docs], 16, shard_slots)
+
+
+def test_mixing_of_many_sources(spark):
+    """Thousands of sources of a few blocks: draws beyond three epochs are left empty, the totals hold."""
+    docs = [(i, f"s{i % 10_000}", "w " * (1 + i % 37)) for i in range(20_000)]
+    rows = mixed(table(spark, docs, "doc_id long, source string, text string"), block_words=16)
+    one = rows.agg(F.sum("taken").alias("t"), F.sum("size").alias("n"), F.max(F.col("taken") - 3 * F.col("size")).alias("over")).first()
+    assert one.over <= 0 and abs(one.t - one.n) < 0.05 * one.n
+    sizes: dict = {}
+    for _, s, t in docs:
+        sizes[s] = sizes.get(s, 0) + len(t) // 2
+    want = brute.targets(sizes)
+    by_source = rows.groupBy("source").agg(F.first("target").alias("target")).collect()
+    assert len(by_source) == 10_000 and all(r.target == pytest.approx(want[r.source]) for r in by_source)
+
+
 def test_permutation(spark):
     for size in (1, 2, 3, 10, 97, 256):
         got = spark.range(size).select(permuted(F.col("id"), F.lit(size).cast("long"), F.lit(3), F.lit(1)).alias("p")).collect()

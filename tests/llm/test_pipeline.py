@@ -65,7 +65,47 @@ def test_run(spark, folder):
     assert rows.agg(F.max(F.col("taken") - 3 * F.col("size"))).first()[0] <= 0
 
 
+#: Names that the operators use inside, or return.
+CLASHING = ("_copy", "_id", "_row", "_n_lines", "_n_dropped", "id", "row", "component", "score", "votes", "entries", "looked", "keep", "n_words", "n_hit", "hit_id", "size", "key")
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_stage_on_clashing_names(spark, folder, name, stage):
+    """Columns of any names are carried along, and the rows are those without them."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")) for c in CLASHING})
+    key = lambda r: (r.doc_id, r.taken if name == "mixing" else r.text)
+    got = stage(spark, wide, folder)
+    assert sorted(map(key, got.collect()), key=repr) == sorted(map(key, stage(spark, docs, folder).collect()), key=repr)
+    if name != "mixing":
+        assert got.columns == wide.columns
+        assert got.filter(" OR ".join(f"`{c}` <> concat('{c} ', doc_id)" for c in CLASHING)).count() == 0
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_stage_on_an_empty_table(spark, folder, name, stage):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    got = stage(spark, docs, folder)
+    assert got.count() == 0 and (name == "mixing" or got.schema == docs.schema)
+
+
+@pytest.mark.parametrize("name,stage", pipeline.STAGES)
+def test_stage_on_odd_rows(spark, folder, name, stage):
+    """Repeated rows, rows without an id, null, empty and long texts, null sources."""
+    toxic = next(t for i, t in toxic_table()[0] if i % 6 == 0)
+    rows = [(1, None), (1, None), (2, ""), (None, None), (None, "plain words here"), (3, "three of a kind"), (3, "three of a kind"), (4, "word " * 200_000)]
+    rows += [(5, f"start {ITEM} end"), (5, f"start {ITEM} end"), (None, ITEM), (6, toxic), (6, toxic), (7, " \n\t\n"), (8, "three of a kind")]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = stage(spark, docs, folder)
+    ids = sorted(((r.doc_id,) for r in got.collect()), key=repr)
+    gone = {"near_dedup": [8], "decontamination": [5, 5, None]}.get(name, [])
+    left = sorted(((i,) for i, _ in rows), key=repr)
+    for i in gone:
+        left.remove((i,))
+    assert ids == left
+
+
 def test_registered():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspan.session import ensure_checkpoint_dir
@@ -30,6 +30,27 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
 
 
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Add the totals of ``sums`` over all rows before each row in ``order``.
+
+    Rows are laid out in ranges of the order; each range is summed for itself, and the
+    driver sees one total a range.  Equal rows come in any order, as they were stored.
+    """
+    spark = df.sparkSession
+    laid = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    totals = sorted(laid.groupBy("_part").agg(*[F.sum(c).alias(name) for name, c in sums.items()]).collect())
+    bases, so_far = [], dict.fromkeys(sums, 0)
+    for row in totals:
+        bases.append((row["_part"], *[int(v) for v in so_far.values()]))
+        so_far = {name: v + row[name] for name, v in so_far.items()}
+    known = spark.createDataFrame(bases, "_part long" + "".join(f", _base_{name} long" for name in sums))
+    before = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    based = laid.join(F.broadcast(known), "_part")  # one row a range
+    based = based.withColumns({name: F.col(f"_base_{name}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for name, c in sums.items()})
+    return based.select(*df.columns, *sums)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,6 +13,8 @@ the epochs allow.  Slots and documents meet by block number.
 Draws and permutations come from hashes of fixed seeds, so runs agree.  Everything is
 DataFrame expressions.  Running totals are taken within chunks of bounded size and
 over the chunks' totals, so a source that holds most rows is dealt over many tasks.
+There may be any number of sources: they are numbered and levelled in ranges, and draws
+meet the sources' stretches by cells.  Slots are made in as many tasks as they need.
 
 Rows: a null text has no words.  Null is a source of its own, after all others.
 Repeated rows are taken as so many documents.  With no words at all, targets and
@@ -22,11 +24,12 @@ taken words are 0.  Other columns are not read and may have any names.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import stored
+from .frames import prefix_sums, shuffle_width, stored
 
 #: Words parted by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +38,10 @@ BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 MOST_EPOCHS = 3
 _CHUNK_ROWS = 4096
+#: Slots that one task makes.
+_TASK_SLOTS = 16_384
+#: Length of the stretch of a source that is due one more slot.
+_UNIT = 1 << 32
 _ROUNDS = 24
 _ORDER, _DRAW, _TURN, _SIDE = 101, 102, 103, 104
 
@@ -77,53 +84,90 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     a rising level meets their caps.
     """
     known = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
+    known = prefix_sums(known, [F.col("source").isNull(), F.col("source")], {"s": F.lit(1)})
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("s") % len(weights) + 1).cast("int"))
-    known = known.withColumn("s", F.row_number().over(by_name) - 1).withColumns({"w": weight, "cap": F.col("source_size") * most})
-    by_level = Window.orderBy(F.col("cap") / F.col("w"), "s")
-    level = (F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) / F.sum("w").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    known = known.withColumn("level", level)
-    fits = known.withColumn("fits", F.col("level") <= F.col("cap") / F.col("w"))
-    chosen = F.min(F.when(F.col("fits"), F.struct((F.col("cap") / F.col("w")).alias("at"), F.col("s"), F.col("level")))).over(Window.partitionBy())
-    return fits.withColumn("water", chosen["level"]).select("source", F.col("s").cast("int").alias("s"), "source_size", F.least(F.col("cap").cast("double"), F.col("water") * F.col("w")).alias("target"))
+    known = known.withColumns({"w": weight, "cap": F.col("source_size") * most})
+    known = prefix_sums(known, [F.col("cap") / F.col("w"), F.col("s")], {"caps": F.col("cap"), "ws": F.col("w")})
+    every, weighed = known.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    at, level = F.col("cap") / F.col("w"), (F.lit(every) - F.col("caps")) / (F.lit(weighed) - F.col("ws"))
+    # the first source whose cap the level does not reach
+    chosen = known.filter(level <= at).agg(F.min(F.struct(at.alias("at"), F.col("s"), level.alias("level")))).first()[0]
+    cap = F.col("cap").cast("double")
+    target = F.least(cap, F.lit(float(chosen.level)) * F.col("w")) if chosen else cap
+    return known.select("source", F.col("s").cast("int").alias("s"), "source_size", target.alias("target"))
 
 
-def slot_counts(sources: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
-    """Slots of each source in each shard: ``shard``, ``s``, ``n``.
+def wanted_slots(sources: DataFrame, block_words: int) -> tuple[DataFrame, float]:
+    """Add ``want``, the slots that a source's target comes to, and their sum.
 
     The last block of a source is short, so a slot holds ``source_size / blocks`` words.
     """
-    spark = sources.sparkSession
-    sources = sources.withColumn("want", F.coalesce(F.try_divide(F.col("target") * F.ceil(F.col("source_size") / block_words), "source_size"), F.lit(0.0)))
-    wanted = sources.agg(F.coalesce(F.sum("want"), F.lit(0.0))).first()[0]
+    want = F.coalesce(F.try_divide(F.col("target") * F.ceil(F.col("source_size") / block_words), "source_size"), F.lit(0.0))
+    sources = sources.withColumn("want", want)
+    return sources, sources.agg(F.coalesce(F.sum("want"), F.lit(0.0))).first()[0]
+
+
+def _spread(df: DataFrame, slots: int, *by: str) -> DataFrame:
+    """Deal rows that stand for ``slots`` slots in all over as many tasks as these need."""
+    spark = df.sparkSession
+    most = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    return df.repartition(min(-(-slots // _TASK_SLOTS) or 1, most), *by)
+
+
+def _certain(shares: DataFrame, width: int, first: int, count: int) -> DataFrame:
+    """The certain slots of the sources in ``count`` shards of ``width``, from ``first`` on."""
+    certain = shares.filter("certain > 0").select("s", F.col("certain").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit((count - 1) // _CHUNK_ROWS).cast("long"))).alias("c"))
+    start = F.col("c") * _CHUNK_ROWS + first
+    shards = F.sequence(start, F.least(start + _CHUNK_ROWS, F.lit(first + count)) - 1)
+    return _spread(certain, width * count, "s", "c").select(F.explode(shards).alias("shard"), "s", "n")
+
+
+def _drawn(shares: DataFrame, width: int, first: int, count: int) -> DataFrame:
+    """The slots that are left in each of these shards, drawn by the sources' parts.
+
+    A draw is a point on a line on which every source has a stretch as long as its part.
+    Draws and stretches meet in cells of the line.
+    """
+    shares = stored(prefix_sums(shares.filter("part > 0"), [F.col("s")], {"low": F.col("part")}))
+    n, line = shares.agg(F.count("*"), F.coalesce(F.sum("part"), F.lit(0))).first()
+    fixed = width - round(line / _UNIT)
+    if not n or fixed >= width:
+        return shares.select(F.lit(0).cast("long").alias("shard"), "s", F.lit(0).cast("long").alias("n")).limit(0)
+    cell = -(-line // n)
+    stretches = shares.withColumn("cell", F.explode(F.sequence(F.expr(f"low div {cell}"), F.expr(f"(low + part - 1) div {cell}"))))
+    shards = _spread(shares.sparkSession.range(count).select((F.col("id") + first).alias("shard")), (width - fixed) * count, "shard")
+    draws = shards.select("shard", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(width - fixed).cast("long"))).alias("r"))
+    draws = draws.withColumn("u", F.pmod(F.xxhash64(F.lit(_DRAW), "shard", "r"), F.lit(line))).withColumn("cell", F.expr(f"u div {cell}"))
+    met = draws.join(stretches.select("cell", "s", "low", "part"), "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("low") + F.col("part")))
+    return met.select("shard", "s", F.lit(1).cast("long").alias("n"))
+
+
+def slot_counts(sources: DataFrame, wanted: float, shard_slots: int) -> DataFrame:
+    """Slots of each source in each shard: ``shard``, ``s``, ``n``."""
     slots = math.ceil(round(wanted, 6))
-    shards = spark.range(-(-slots // shard_slots)).select(F.col("id").alias("shard"), F.least(F.lit(shard_slots), F.lit(slots) - F.col("id") * shard_slots).cast("long").alias("width"))
-    share = F.col("want") / F.lit(wanted or 1.0)
-    # shards are of one width, apart from the last: the shares are laid out once for each width
-    widths = sources.select("s", share.alias("p"), F.explode(F.array(*[F.lit(int(w)) for w in sorted({min(shard_slots, slots), slots - (slots - 1) // shard_slots * shard_slots})])).alias("width"))
-    widths = widths.withColumn("certain", F.floor(F.col("p") * F.col("width") + 1e-6).cast("long")).withColumn("part", F.greatest(F.col("p") * F.col("width") - F.col("certain"), F.lit(0.0)))
-    laid = Window.partitionBy("width").orderBy("s")
-    widths = widths.withColumns({"upto": F.sum("part").over(laid.rowsBetween(Window.unboundedPreceding, 0)), "parts": F.sum("part").over(Window.partitionBy("width")), "fixed": F.sum("certain").over(Window.partitionBy("width"))})
-    layout = widths.groupBy("width").agg(F.sort_array(F.collect_list(F.struct("s", "upto", "certain"))).alias("laid"), F.first("parts").alias("parts"), F.first("fixed").alias("fixed"))
-
-    def drawn(r: Column) -> Column:
-        u = F.pmod(F.xxhash64(F.lit(_DRAW), F.col("shard"), r), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("parts")
-        later = F.filter("laid", lambda x: x["upto"] > u)
-        return F.coalesce(F.get(later, F.lit(0))["s"], F.element_at("laid", -1)["s"])
-
-    drawn_slots = F.when(F.col("width") > F.col("fixed"), F.transform(F.sequence(F.lit(1).cast("long"), F.col("width") - F.col("fixed")), drawn)).otherwise(F.array().cast("array<int>"))
-    made = shards.join(layout, "width").withColumn("drawn", drawn_slots)
-    made = made.select("shard", "drawn", F.explode("laid").alias("x"))
-    lucky = F.size(F.filter("drawn", lambda d: d == F.col("x.s")))
-    return made.select("shard", F.col("x.s").alias("s"), (F.col("x.certain") + lucky).cast("long").alias("n")).filter("n > 0")
+    full, rest = divmod(slots, shard_slots)
+    made = []
+    # shards are of one width, apart from the last
+    for width, first, count in ((shard_slots, 0, full), (rest, full, 1)):
+        if width and count:
+            due = F.col("want") / F.lit(wanted) * width
+            shares = sources.select("s", F.floor(due + 1e-6).cast("long").alias("certain"), due.alias("due"))
+            part = F.greatest(F.floor((F.col("due") - F.col("certain")) * _UNIT), F.lit(0)).cast("long")
+            shares = shares.select("s", "certain", part.alias("part"))
+            made += [_certain(shares, width, first, count), _drawn(shares, width, first, count)]
+    if not made:
+        return sources.select(F.lit(0).cast("long").alias("shard"), "s", F.lit(0).cast("long").alias("n")).limit(0)
+    return reduce(DataFrame.union, made).groupBy("shard", "s").agg(F.sum("n").alias("n"))
 
 
 def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, most: int = MOST_EPOCHS) -> DataFrame:
     """The mix: ``shard``, ``s`` (number of the source), ``epoch`` and ``block`` of each slot."""
-    counts = slot_counts(sources, block_words, shard_slots).withColumn("chunk", F.floor(F.col("shard") / _CHUNK_ROWS))
+    sources, wanted = wanted_slots(sources, block_words)
+    counts = slot_counts(sources, wanted, shard_slots).withColumn("chunk", F.floor(F.col("shard") / _CHUNK_ROWS))
     numbered = running_start(counts, "s", "chunk", ["shard"], "n", "start")
     blocks = sources.select("s", F.ceil(F.col("source_size") / block_words).cast("long").alias("blocks")).filter("blocks > 0")
-    each = numbered.join(blocks, "s").select("shard", "s", "blocks", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("j"))
+    runs = _spread(numbered.join(blocks, "s").select("shard", "s", "blocks", "start", "n"), math.ceil(wanted), "shard", "s")
+    each = runs.select("shard", "s", "blocks", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("j"))
     each = each.filter(F.col("j") < most * F.col("blocks")).withColumn("epoch", F.floor(F.col("j") / F.col("blocks")).cast("int"))
     return each.select("shard", "s", "epoch", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), F.col("s"), F.col("epoch")).alias("block"))
 

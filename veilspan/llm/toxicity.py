@@ -367,6 +367,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(lexicon, look_at(docs.select(F.col(text_col).alias("text")), lexicon), sample)
 
 
+def scored_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, score_col: str = "score") -> DataFrame:
+    """``docs`` with a ``score_col``.
+
+    Every text is looked at once: the rows are written with what was seen in them, and the
+    model that this leads to scores them as written.
+    """
+    small_batches(docs.sparkSession)
+    sample = drawn_sample(docs, labels, id_col, text_col, label_col, sample_rows)
+    lexicon = learn_lexicon(sample)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    looked = stored(look_at(plain.select("*", plain[f"c{docs.columns.index(text_col)}"].alias("looked")), lexicon))
+    model = fit(lexicon, looked, sample)
+    named = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return looked.select(*named, model.scores_of(F.col("votes"), F.col("entries")).alias(score_col))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Id, ``held_out``, ``score`` and ``predicted`` of each row."""
     small_batches(docs.sparkSession)
