@@ -18,10 +18,7 @@ from veilspan.functions.boxes import (
     rotate_bbox_back,
 )
 from veilspan.operators.detections import explode_rows
-from veilspan.operators.scan import dense_position, islands, split_by_count
-
-# Boxes of one image that are folded together without cutting it first.
-MAX_FOLDED_BOXES = 2_000
+from veilspan.operators.scan import dense_position, islands
 
 
 def top_boxes(
@@ -29,14 +26,8 @@ def top_boxes(
 ) -> DataFrame:
     """The ``k`` best-scored boxes per image and rotation, as the detector keeps.
 
-    Groups of at most ``k`` boxes, that is nearly all, are only counted.
+    Ranked in two steps, so that the last one sees ``salts * k`` boxes at most.
     """
-    small, large = split_by_count(raw, [*keys, "rotation"], k)
-    return small.unionByName(_salted_top(large, keys, k, salts))
-
-
-def _salted_top(raw: DataFrame, keys: Sequence[str], k: int, salts: int = 64) -> DataFrame:
-    """Rank in two steps, so that the last one sees ``salts * k`` boxes at most."""
     groups = [*keys, "rotation"]
 
     def best(df: DataFrame, *by: str) -> DataFrame:
@@ -57,7 +48,6 @@ def face_boxes(
     threshold: float = S.SCORE_THRESHOLDS["face"],
     iou: float = S.FACE_IOU,
     top_k: int = S.FACE_TOP_K,
-    max_boxes: int = MAX_FOLDED_BOXES,
 ) -> DataFrame:
     """Raw face boxes of all rotations as merged detections.
 
@@ -71,20 +61,13 @@ def face_boxes(
         F.when(turned, F.col("image_width")).otherwise(F.col("image_height")),
     )
 
-    def placed(df: DataFrame) -> DataFrame:
-        return df.select(
-            *keys,
-            F.struct("rotation", "idx").alias("idx"),
-            F.col("score").alias("confidence"),
-            rotate_bbox_back(grown, "rotation", "image_width", "image_height").alias("bbox"),
-        )
-
-    # an image this small keeps all its boxes and needs no cutting
-    small, large = split_by_count(
-        raw.filter(F.col("score") >= threshold), keys, min(top_k, max_boxes)
+    placed = top_boxes(raw.filter(F.col("score") >= threshold), keys, top_k).select(
+        *keys,
+        F.struct("rotation", "idx").alias("idx"),
+        F.col("score").alias("confidence"),
+        rotate_bbox_back(grown, "rotation", "image_width", "image_height").alias("bbox"),
     )
-    whole = _fold(placed(small), list(keys), keys, iou, "face")
-    return whole.unionByName(_fold_bands(placed(_salted_top(large, keys, top_k)), keys, iou, "face"))
+    return merge_boxes(placed, keys, iou, "face")
 
 
 def signature_boxes(
@@ -113,43 +96,14 @@ def signature_boxes(
 
 
 def merge_boxes(
-    boxes: DataFrame,
-    keys: Sequence[str],
-    iou: float,
-    detection_type: str,
-    max_boxes: int = MAX_FOLDED_BOXES,
+    boxes: DataFrame, keys: Sequence[str], iou: float, detection_type: str
 ) -> DataFrame:
     """Greedy overlap merge per image.
 
-    The merge depends on its order and must see all boxes that may influence
-    each other, so an image is folded in one row.  Images with more than
-    ``max_boxes`` boxes are first cut into bands that no box spans: boxes of
-    different bands never influence each other, so the result is the same.
+    The merge depends on its order and must see all boxes that may influence each other.
+    Every image is cut into bands that no box spans: boxes of different bands never
+    influence each other, so each band is folded in a row of its own.
     """
-    small, large = split_by_count(boxes, keys, max_boxes)
-    whole = _fold(small, list(keys), keys, iou, detection_type)
-    return whole.unionByName(_fold_bands(large, keys, iou, detection_type))
-
-
-def _fold(
-    df: DataFrame, groups: list[str], keys: Sequence[str], iou: float, detection_type: str
-) -> DataFrame:
-    merged = df.groupBy(*groups).agg(
-        greedy_merge(
-            "collect_list(named_struct('confidence', confidence, 'idx', idx, 'bbox', bbox))", iou
-        ).alias("m")
-    )
-    return explode_rows(merged, keys, F.col("m")).select(
-        *keys,
-        F.lit(detection_type).alias("detection_type"),
-        "d.bbox",
-        "d.confidence",
-    )
-
-
-def _fold_bands(
-    boxes: DataFrame, keys: Sequence[str], iou: float, detection_type: str
-) -> DataFrame:
     banded = islands(
         boxes.withColumn("_top", F.col("bbox.y1").cast("long")).withColumn(
             "_bottom", F.col("bbox.y2").cast("long")
@@ -160,7 +114,17 @@ def _fold_bands(
         "_band",
         touching=False,
     )
-    return _fold(banded, [*keys, "_band"], keys, iou, detection_type)
+    merged = banded.groupBy(*keys, "_band").agg(
+        greedy_merge(
+            "collect_list(named_struct('confidence', confidence, 'idx', idx, 'bbox', bbox))", iou
+        ).alias("m")
+    )
+    return explode_rows(merged, keys, F.col("m")).select(
+        *keys,
+        F.lit(detection_type).alias("detection_type"),
+        "d.bbox",
+        "d.confidence",
+    )
 
 
 def image_detections(
