@@ -188,6 +188,31 @@ def test_manifest_rules(spark):
     assert (files.path, files.size, files.model_id) == ("a/b.bin", 5, "m")
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_manifests_are_read_and_parsed_once(spark, tmp_path):
+    rows = [(k, json.dumps(v)) for k, (v, _) in MANIFESTS.items()]
+    spark.createDataFrame(rows, "k string, json string").write.parquet(str(tmp_path / "m"))
+    found = M.manifest_violations(M.parse_manifests(spark.read.parquet(str(tmp_path / "m"))), "k")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert scans(found) == 1 and plan.count("from_json") == 1 and "Exchange" not in plan
+
+
+def test_many_models_in_one_folder(spark):
+    """As many rows as inner directories, however many models share them."""
+    rows = [("k", f"a{i}", "m") for i in range(1000)] + [("k", f"b{i}", f"m/x{i % 10}") for i in range(1000)]
+    rows += [("k", "c", "m/x1/y"), ("k", "d", "mx"), ("other", "e", "m/x2"), ("k", "f", "m/x1")]
+    got = M.target_overlaps(spark.createDataFrame(rows, "k string, model_id string, target_directory string"), "k").collect()
+    want = {("k", f"m/x{i}", 101 if i == 1 else 100, "m", 1000) for i in range(10)} | {("k", "m/x1/y", 1, "m/x1", 101)}
+    assert {(r.k, r.inner_target, r.inner_models, r.outer_target, r.outer_models) for r in got} == want and len(got) == 11
+    models = [{**payload()["models"][0], "id": f"m{i}", "target_directory": f"t/{i}" if i else "./t/"} for i in range(300)]
+    parsed = M.parse_manifests(spark.createDataFrame([("k", json.dumps(payload(root={"models": models})))], "k string, json string"))
+    fields = [r.field for r in M.manifest_violations(parsed, "k").collect() if r.rule == "overlapping_target"]
+    assert sorted(fields) == sorted(f"t/{i}" for i in range(1, 300))
+
+
 def test_inventory(spark):
     files = spark.createDataFrame(
         [("a", "1", 5, "aa"), ("a", "2", 5, "bb"), ("b", "1", 7, "cc"), ("c", "1", 9, "dd"), ("d", "1", 1, "ee")],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspan.functions import paths as P
+from veilspan.functions.arrays import let
 from veilspan.functions.text import strip
 from veilspan.operators.detections import add_once, explode_rows
 from veilspan.schemas import MANIFEST_JSON
@@ -91,124 +92,144 @@ def _empty(value: Column) -> Column:
     return F.coalesce(F.size(value), F.lit(0)) <= 0
 
 
+_RULES = "array<struct<field:string,rule:string>>"
+
+
+def _repeated(values: Column) -> Column:
+    """Each value that an array holds more than once; nulls are not compared."""
+    known = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
+    return F.array_distinct(let(known, lambda row: F.filter(row, lambda v, i: (i > 0) & (F.get(row, i - 1) == v))))
+
+
+def _inner(targets: Column) -> Column:
+    """The directories of an array that lie inside another one of it.
+
+    In the order of their names, a directory is followed by all that lie in it; the
+    mark after each name stands before every letter, so none comes in between.
+    """
+    ended = F.array_sort(F.array_distinct(F.transform(F.filter(targets, lambda t: t.isNotNull()), lambda t: F.replace(F.concat(t, F.lit("/")), F.lit("/"), F.lit("\x01")))))
+    # the outermost directory that is open: it changes when a name no longer begins with it
+    first = F.struct(F.lit(None).cast("string").alias("open"), F.array().cast("array<string>").alias("inside"))
+    walked = F.aggregate(
+        ended,
+        first,
+        lambda s, t: F.when(F.coalesce(t.startswith(s["open"]), F.lit(False)), F.struct(s["open"].alias("open"), F.concat(s["inside"], F.array(t)).alias("inside"))).otherwise(
+            F.struct(t.alias("open"), s["inside"].alias("inside"))
+        ),
+    )["inside"]
+    return F.transform(walked, lambda t: F.replace(F.substring(t, F.lit(1), F.length(t) - 1), F.lit("\x01"), F.lit("/")))
+
+
 def manifest_violations(parsed: DataFrame, key: str) -> DataFrame:
-    """All broken rules as ``(key, field, rule)``, one row each."""
+    """All broken rules as ``(key, field, rule)``, one row each.
+
+    Every rule is an array in the manifest's row, so a manifest is read and parsed once.
+    """
 
     def rule(condition: Column, field: Column, name: str) -> Column:
         return F.when(condition, F.struct(field.alias("field"), F.lit(name).alias("rule")))
 
-    def at(*parts) -> Column:
-        return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    def found(*rules: Column) -> Column:
+        return F.array_compact(F.array(*rules))
 
-    def report(df: DataFrame, *rules: Column) -> DataFrame:
-        found = explode_rows(df, [key], F.array_compact(F.array(*rules)))
-        return found.select(key, "d.field", "d.rule")
+    def each(items: Column, rules) -> Column:
+        """The rules of every item of an array that may be null."""
+        return F.coalesce(F.flatten(F.transform(items, rules)), F.array().cast(_RULES))
 
-    root = report(
-        parsed,
-        rule(F.col("manifest").isNull(), F.lit("manifest"), "not_an_object"),
-        rule(
-            ~F.col("manifest.schema_version").eqNullSafe(F.lit(MANIFEST_VERSION)),
-            F.lit("schema_version"),
-            "unsupported_version",
-        ),
-        rule(_empty(F.col("manifest.models")), F.lit("models"), "empty_list"),
-    )
-    models = parsed.select(key, F.posexplode("manifest.models").alias("_i", "_m"))
-    model_at = ("models[", F.col("_i"), "]")
-    model_rules = [
-        rule(_blank(F.col(f"_m.{name}")), at(*model_at, f".{name}"), "blank")
-        for name in ("id", "name", "provider", "license")
-    ]
-    model_rows = report(
-        models,
-        *model_rules,
-        rule(
-            ~P.is_safe_relative_path("_m.target_directory"),
-            at(*model_at, ".target_directory"),
-            "unsafe_path",
-        ),
-        rule(_empty(F.col("_m.sources")), at(*model_at, ".sources"), "empty_list"),
-    )
-    sources = models.select(key, "_i", F.posexplode("_m.sources").alias("_j", "_s"))
-    source_at = (*model_at, ".sources[", F.col("_j"), "]")
-    source_rows = report(
-        sources,
-        rule(
-            ~F.coalesce(strip("_s.repo_id").rlike(P.REPOSITORY), F.lit(False)),
-            at(*source_at, ".repo_id"),
-            "bad_repository",
-        ),
-        rule(_fails(F.col("_s.revision"), P.REVISION), at(*source_at, ".revision"), "bad_revision"),
-        rule(_empty(F.col("_s.files")), at(*source_at, ".files"), "empty_list"),
-    )
-    files = sources.select(key, "_i", "_j", F.posexplode("_s.files").alias("_k", "_f"))
-    file_at = (*source_at, ".files[", F.col("_k"), "]")
-    file_rows = report(
-        files,
-        rule(
-            ~P.is_safe_relative_path("_f.path"), at(*file_at, ".path"), "unsafe_path"
-        ),
-        rule(
-            ~F.coalesce(F.col("_f.size") > 0, F.lit(False)), at(*file_at, ".size"), "bad_size"
-        ),
-        rule(_fails(F.col("_f.sha256"), P.SHA256), at(*file_at, ".sha256"), "bad_digest"),
-    )
-    flat = manifest_models(parsed, key)
-
-    def duplicates(df: DataFrame, columns: list[str], shown: str, name: str) -> DataFrame:
-        return (
-            df.groupBy(key, *columns)
-            .agg(F.count("*").alias("_n"))
-            .filter(F.col("_n") > 1)
-            .select(key, F.col(shown).alias("field"), F.lit(name).alias("rule"))
+    def named(values: Column, name: str) -> Column:
+        return F.transform(values, lambda v: F.struct(v.alias("field"), F.lit(name).alias("rule")))
+
+    def within(at: Column, name: str) -> Column:
+        return F.concat(at, F.lit(name))
+
+    def numbered(at: Column, name: str, i: Column) -> Column:
+        return F.concat(at, F.lit(f"{name}["), i.cast("string"), F.lit("]"))
+
+    def file_rules(at: Column):
+        return lambda f, k: let(
+            numbered(at, ".files", k),
+            lambda here: found(
+                rule(~P.is_safe_relative_path(f["path"]), within(here, ".path"), "unsafe_path"),
+                rule(~F.coalesce(f["size"] > 0, F.lit(False)), within(here, ".size"), "bad_size"),
+                rule(_fails(f["sha256"], P.SHA256), within(here, ".sha256"), "bad_digest"),
+            ),
         )
 
-    repeated = (
-        duplicates(flat, ["model_id"], "model_id", "duplicate_model_id")
-        .unionByName(
-            duplicates(flat, ["target_directory"], "target_directory", "duplicate_target")
+    def source_rules(at: Column):
+        return lambda s, j: let(
+            numbered(at, ".sources", j),
+            lambda here: F.concat(
+                found(
+                    rule(~F.coalesce(strip(s["repo_id"]).rlike(P.REPOSITORY), F.lit(False)), within(here, ".repo_id"), "bad_repository"),
+                    rule(_fails(s["revision"], P.REVISION), within(here, ".revision"), "bad_revision"),
+                    rule(_empty(s["files"]), within(here, ".files"), "empty_list"),
+                ),
+                each(s["files"], file_rules(here)),
+            ),
         )
-        .unionByName(
-            duplicates(
-                manifest_files(parsed, key), ["model_no", "path"], "path", "duplicate_file"
-            )
+
+    def model_rules(m: Column, i: Column) -> Column:
+        paths = F.flatten(F.transform(F.filter(m["sources"], lambda s: s["files"].isNotNull()), lambda s: F.transform(s["files"], lambda f: normalized_path(f["path"]))))
+        return let(
+            numbered(F.lit(""), "models", i),
+            lambda here: F.concat(
+                found(
+                    *(rule(_blank(m[name]), within(here, f".{name}"), "blank") for name in ("id", "name", "provider", "license")),
+                    rule(~P.is_safe_relative_path(m["target_directory"]), within(here, ".target_directory"), "unsafe_path"),
+                    rule(_empty(m["sources"]), within(here, ".sources"), "empty_list"),
+                ),
+                each(m["sources"], source_rules(here)),
+                F.coalesce(named(_repeated(paths), "duplicate_file"), F.array().cast(_RULES)),
+            ),
         )
+
+    models = F.col("manifest.models")
+    root = found(
+        rule(F.col("manifest").isNull(), F.lit("manifest"), "not_an_object"),
+        rule(~F.col("manifest.schema_version").eqNullSafe(F.lit(MANIFEST_VERSION)), F.lit("schema_version"), "unsupported_version"),
+        rule(_empty(models), F.lit("models"), "empty_list"),
     )
-    overlapping = target_overlaps(flat, key).select(
-        key, F.col("inner_target").alias("field"), F.lit("overlapping_target").alias("rule")
+    targets = F.transform(models, lambda m: normalized_path(m["target_directory"]))
+    rules = F.concat(
+        root,
+        F.when(
+            models.isNotNull(),
+            F.concat(
+                each(models, model_rules),
+                named(_repeated(F.transform(models, lambda m: strip(m["id"]))), "duplicate_model_id"),
+                named(_repeated(targets), "duplicate_target"),
+                named(_inner(targets), "overlapping_target"),
+            ),
+        ).otherwise(F.array().cast(_RULES)),
     )
-    result = root
-    for part in (model_rows, source_rows, file_rows, repeated, overlapping):
-        result = result.unionByName(part)
-    return result
+    return explode_rows(parsed, [key], rules).select(key, "d.field", "d.rule")
 
 
 def target_overlaps(models: DataFrame, key: str) -> DataFrame:
-    """Pairs of target directories where one lies strictly inside the other.
+    """Target directories that lie inside another one, a row each.
 
-    Each directory lists its ancestors and meets them by equality, so no pair
-    of unrelated directories is ever formed.
+    ``outer_target`` is the nearest one around; ``inner_models`` and ``outer_models`` say
+    how many models have either directory.  Each directory lists its ancestors and meets
+    them by equality, so no pair of models is ever formed.
     """
-    targets = models.select(key, "model_id", "target_directory").distinct()
+    targets = models.groupBy(key, "target_directory").agg(F.count_distinct("model_id").alias("models"))
     parts = F.split("target_directory", "/")
     ancestors = targets.filter(F.size(parts) > 1).select(
         key,
-        F.col("model_id").alias("inner_model"),
         F.col("target_directory").alias("inner_target"),
+        F.col("models").alias("inner_models"),
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), F.size(parts) - 1),
-                lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
+                lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("path")),
             )
-        ).alias("outer_target"),
-    )
-    outer = targets.select(
-        key,
-        F.col("model_id").alias("outer_model"),
-        F.col("target_directory").alias("outer_target"),
-    )
-    return ancestors.join(outer, [key, "outer_target"])
+        ).alias("a"),
+    ).select(key, "inner_target", "inner_models", "a.depth", F.col("a.path").alias("outer_target"))
+    outer = targets.select(key, F.col("target_directory").alias("outer_target"), F.col("models").alias("outer_models"))
+    nearest = F.max(F.struct("depth", "outer_target", "outer_models")).alias("o")
+    return ancestors.join(outer, [key, "outer_target"]).groupBy(key, "inner_target").agg(
+        F.first("inner_models").alias("inner_models"), nearest
+    ).select(key, "inner_target", "o.outer_target", "inner_models", "o.outer_models")
 
 
 def inspect_files(
