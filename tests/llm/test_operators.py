@@ -278,6 +278,43 @@ def luhn(number: str) -> bool:
     return (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
 
 
+def replaced(spark, values):
+    """What becomes of each of the texts."""
+    rows = pseudonymised(table(spark, list(enumerate(values))), key="k").collect()
+    return {values[r.doc_id]: r for r in rows}
+
+
+def test_pii_before_other_characters(spark):
+    """A number is found whatever stands behind it, and what stands there is read for itself."""
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    tails = [" 12/27", " 123", " 1227", "-12", " 988-555-2485", " 2024-02-29", " 12 34 56", " and more", " 5555"]
+    texts = [card + t for t in tails] + ["4111111111111111 12/27", "4111111111111111 123", "3782 822463 10005 1234", "4111-1111-1111-1111 123"]
+    texts += [iban + t for t in (" BANK", " BANK OF", " 12", " ABCD 1234 EF", "")] + ["988-555-2485 123", "(988) 555-2485 123 45"]
+    for text, row in replaced(spark, texts).items():
+        assert row.text != text and "1111 1111 1111" not in row.text and "5390 0754" not in row.text and "555-2485" not in row.text, row
+        kind = "n_iban" if text.startswith("BE") else "n_phone" if text.startswith(("988", "(988")) else "n_card"
+        assert row[kind] == 1, row
+    one = {t: r.text for t, r in replaced(spark, [card, card + " 12/27", card + " 123", iban, iban + " BANK"]).items()}
+    # equal values keep equal pseudonyms, and what follows is left alone
+    assert one[card + " 12/27"] == one[card] + " 12/27" and one[card + " 123"] == one[card] + " 123"
+    assert one[iban + " BANK"] == one[iban] + " BANK"
+    row = replaced(spark, [card + " 988-555-2485"])[card + " 988-555-2485"]
+    assert (row.n_card, row.n_phone) == (1, 1)
+    kept = ["4111 1111 1111 1112 12/27", "1234 5678 9012 3456 7890 1234", "BE68 5390 0754 7035 BANK"]
+    assert {t: r.text for t, r in replaced(spark, kept).items()} == {t: t for t in kept}
+
+
+def test_pii_slash_dates_stay_apart(spark):
+    """All slash dates of some years: no two print the same, and both readings keep their form."""
+    days = spark.range(4 * 365 + 1).select(F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = days.select(F.explode(F.array(F.date_format("d", "MM/dd/yyyy"), F.date_format("d", "dd/MM/yyyy"))).alias("text")).distinct()
+    rows = [r.text for r in forms.collect()]
+    got = {r.doc_id: r.text for r in pseudonymised(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), key="k").collect()}
+    assert len(set(got.values())) == len(rows) > 2000
+    for i, text in enumerate(rows):
+        assert got[i] != text and (int(got[i][:2]) > 12) == (int(text[:2]) > 12)
+
+
 def test_pii(spark):
     docs = [
         (1, "Card 4539 1488 0343 6467, again 4539-1488-0343-6467 and 4539148803436467; not 4539148803436468."),

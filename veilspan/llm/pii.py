@@ -15,8 +15,13 @@ E-mail names and secrets (passwords, tokens, access keys) have no number to perm
 Their letters and digits are replaced by keyed ones of the same class that depend on
 the whole value, so equal values stay linked here too; the domain of an e-mail stays.
 
-A value that fails its validation stays as it is.  Every text is one row from scan to
-result; nothing is shuffled.
+A candidate that fails its validation is read again as far as each of its separators: the
+longest part that is a card or an IBAN, or a telephone number at its beginning, is
+replaced, and the rest stays.  A value that fails that too stays as it is.  Dates with
+slashes are read month first where that is a date, and stay among such dates; those that
+are dates only day first are permuted among their like, by walking on until the result is
+one, so no two of them come to print the same.  Every text is one row from scan to result;
+nothing is shuffled.
 
 Rows: a null text stays null, an empty one empty, both without findings.  Repeated rows
 get equal results.  An empty table gives an empty result.  Other columns are not read
@@ -36,7 +41,11 @@ ACCESS_KEY = r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
-CARD = r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: The usual groupings of a card, and bare digits, end where they end: what follows is read
+#: for itself, apart from three digits that may belong to a card of nineteen.
+_GROUPED = r"(?:[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4})(?![0-9]|[ -][0-9]{3}(?![0-9/.-]))"
+_AMERICAN = r"(?:[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9])"
+CARD = rf"(?<![0-9+])(?:{_GROUPED}|{_AMERICAN}|[0-9]{{13,19}}(?![0-9])|[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))"
 PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{4}(?![0-9])|\+[0-9]{10,15}(?![0-9])"
 #: Patterns are grouped by what may begin them, so most places are passed at once.
 NUMBER = "|".join(f"(?:{p})" for p in (ADDRESS, DATE, CARD, PHONE))
@@ -48,6 +57,8 @@ KINDS = ("email", "secret", "iban", "address", "date", "card", "phone")
 _ROUNDS = 10
 #: Days of the 400-year cycle 1700-2099, as the product of the two halves' sizes.
 _FIRST_DAY, _DAY_HALVES = "1700-01-01", (189, 773)
+#: Two days of five cannot be read month first, so nearly no walk is as long as this.
+_MOST_STEPS = 64
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -128,11 +139,24 @@ def _card(value: Column, key: str) -> Column:
         first, middle = F.substring(digits, 1, 1), F.substring(digits, F.lit(2), F.length(digits) - 2)
         body = F.concat(first, permuted_digits(middle, F.concat(F.lit("card"), first), key))
         checked = bound(body, lambda b: F.concat(b, ((10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string")))
-        return F.when(_luhn_sum(digits) % 10 == 0, relaid(value, checked, "[0-9]"))
+        return F.when((F.length(digits) > 12) & (_luhn_sum(digits) % 10 == 0), relaid(value, checked, "[0-9]"))
 
     return bound(F.regexp_replace(value, "[^0-9]", ""), made)
 
 
+def _shorter(value: Column, where: str) -> Column:
+    """The beginnings of a value that end before one of its separators, longest first."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(value)), lambda i: F.substring(value, i, F.lit(1)).rlike(where))
+    return F.transform(F.reverse(ends), lambda i: F.substring(value, F.lit(1), i - 1))
+
+
+def _longest(value: Column, where: str, make, key: str) -> Column:
+    """The pseudonym of a value, or of its longest valid beginning with the rest behind it."""
+    tried = F.filter(F.transform(_shorter(value, where), lambda v: F.struct(v.alias("v"), make(v, key).alias("new"))), lambda x: x["new"].isNotNull())
+    rest = bound(F.get(tried, F.lit(0)), lambda x: F.concat(x["new"], F.substring(value, F.length(x["v"]) + 1, F.length(value))))
+    return bound(make(value, key), lambda new: F.when(new.isNotNull(), new).otherwise(rest))
+
+
 def _iban(value: Column, key: str) -> Column:
     def made(plain: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain) - 4)
@@ -170,18 +194,29 @@ def _date(value: Column, key: str) -> Column:
     )
     number = F.datediff(day, F.lit(_FIRST_DAY).cast("date"))
     a, b = (F.lit(x).cast("long") for x in _DAY_HALVES)
-    american = F.try_to_date(value, "MM/dd/yyyy").isNotNull()
+    day_first = (form == "MM/dd/yyyy") & F.try_to_date(value, "MM/dd/yyyy").isNull()
+
+    def turned(n: Column) -> Column:
+        pair = feistel(F.floor(n / _DAY_HALVES[1]), F.pmod(n, F.lit(_DAY_HALVES[1])), a, b, F.lit("date"), key)
+        return bound(pair, lambda p: (p["l"] * _DAY_HALVES[1] + p["r"]).cast("int"))
+
+    def date_of(n: Column) -> Column:
+        return F.date_add(F.lit(_FIRST_DAY).cast("date"), n)
+
+    def walked(n: Column) -> Column:
+        """On through the permutation until the date is one that cannot be read month first."""
+        step = lambda at, _: F.when((at == n) | (F.day(date_of(at)) < 13), turned(at)).otherwise(at)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(_MOST_STEPS)), n, step)
 
     def shown(moved: Column) -> Column:
         iso = F.when(form == "yyyy-MM-dd", F.date_format(moved, "yyyy-MM-dd")).when(form == "dd.MM.yyyy", F.date_format(moved, "dd.MM.yyyy"))
-        return iso.when(american, F.date_format(moved, "MM/dd/yyyy")).otherwise(F.date_format(moved, "dd/MM/yyyy"))
+        return iso.when(day_first, F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))
 
     def made(n: Column) -> Column:
-        pair = feistel(F.floor(n / _DAY_HALVES[1]), F.pmod(n, F.lit(_DAY_HALVES[1])), a, b, F.lit("date"), key)
-        moved = bound(pair, lambda p: F.date_add(F.lit(_FIRST_DAY).cast("date"), (p["l"] * _DAY_HALVES[1] + p["r"]).cast("int")))
+        moved = bound(F.when(day_first, walked(n)).otherwise(turned(n)), date_of)
         return F.when((n >= 0) & (n < _DAY_HALVES[0] * _DAY_HALVES[1]), bound(moved, shown))
 
-    return bound(number, made)
+    return bound(number.cast("int"), made)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -222,15 +257,22 @@ def pseudonym(value: Column, key: str) -> Column:
     made = [
         ("email", email, _email),
         ("secret", secret, _secret),
-        ("iban", value.rlike("^[A-Z]{2}[0-9]{2}"), _iban),
+        ("iban", value.rlike("^[A-Z]{2}[0-9]{2}"), lambda v, k: _longest(v, " ", _iban, k)),
         ("address", value.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), _address),
         ("date", value.rlike(f"^(?:{DATE})$"), _date),
-        ("card", value.rlike(f"^(?:{CARD})$"), _card),
     ]
     found = None
     for kind, is_kind, make in made:
         pair = F.struct(F.lit(kind).alias("kind"), make(value, key).alias("new"))
         found = F.when(is_kind, pair) if found is None else found.when(is_kind, pair)
+
+    def card_or_phone(card: Column) -> Column:
+        # digits that are no card may begin with a telephone number, if no group of four goes on
+        number = F.regexp_extract(value, f"^(?:{PHONE})(?![ -][0-9]{{4}})", 0)
+        phone = F.when(F.length(number) > 0, F.concat(_phone(number, key), F.substring(value, F.length(number) + 1, F.length(value))))
+        return F.when(card.isNotNull(), F.struct(F.lit("card").alias("kind"), card.alias("new"))).otherwise(F.struct(F.lit("phone").alias("kind"), phone.alias("new")))
+
+    found = found.when(value.rlike(f"^(?:{CARD})$"), bound(_longest(value, "[ -]", _card, key), card_or_phone))
     return found.otherwise(F.struct(F.lit("phone").alias("kind"), _phone(value, key).alias("new")))
 
 
