@@ -285,3 +285,21 @@ def test_a_page_of_numbers_is_spread(spark):
     text = "\n".join(("532", "242", "35", "67")[i % 4] for i in range(60_000))
     want = [(m.start(), m.end()) for m in re.finditer(r"(?<!\d)0?\(?[2345]\d{2}\)?[\s.\-]*\d{3}[\s.\-]*\d{2}[\s.\-]*\d{2}(?!\d)", text)]
     assert sorted((r.start, r.end) for r in found if r.detection_type == "phone") == want and len(want) > 10_000
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 4096])
+def test_names_over_chunks(spark, chunk):
+    """Phrases over line ends, over lines without words and over chunks; holes in the numbering."""
+    rng = random.Random(5)
+    rows = []
+    for d in range(25):
+        page = line_rows(f"d{d}", [rng.choice(["Ada", "Ada Demir", "Demir", "x", "--", "", "Demir Ada x", "Ada, Demir;"]) for _ in range(rng.randint(1, 14))])
+        rows += [(a, b, n * 3 + d % 2, *rest) for a, b, n, *rest in page]
+    listed = spark.createDataFrame([("Ada Demir", "Person", 0.9), ("Demir Ada x", "address", 0.4), ("Ada", "person", 0.2), ("x", "person", None)], "phrase string, label string, score double")
+    texts = {}
+    for doc, page, n, text, *_ in sorted(rows, key=lambda r: (r[0], r[2])):
+        texts.setdefault((doc, page), []).append(text)
+    whole = spark.createDataFrame([(*k, "\n".join(t)) for k, t in texts.items()], "doc_id string, page_no int, text string")
+    want = S.filter_raw_predictions(S.gazetteer_entities(whole, PAGE, listed)).select("doc_id", "label", "start", "end", F.coalesce("score", F.lit(1.0))).collect()
+    got = S.names_in_chunks(line_chunks(lines_df(spark, rows), PAGE, chunk), PAGE, listed).select("doc_id", "detection_type", "start", "end", "confidence").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40

@@ -133,6 +133,34 @@ def _pieces_sql() -> str:
     )
 
 
+def with_words_ahead(chunks: DataFrame, keys: Sequence[str], word: str, count: int) -> DataFrame:
+    """Add ``base``, ``text`` (the body and the ``count`` words after it) and ``spots``, where
+    each piece of the text stands in it and in the page."""
+    first = F.regexp_extract("body", rf"(?s)^(?:.*?(?>{word})){{0,{count}}}", 0)
+    words = F.regexp_count("body", F.lit(word))
+    order = _order(keys)
+    base = F.coalesce(F.sum("_size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = chunks.select(*keys, "_chunk", (F.length("body").cast("long") + 1).alias("_size"), first.alias("_first"), words.alias("_words"))
+    placed = own.select(
+        *keys, "_chunk", base.alias("base"), (F.col("_words") > 0).alias("_solid"),
+        F.struct(base.alias("base"), F.col("_first").alias("text"), (F.col("_words") <= count).alias("whole")).alias("_own"),
+    )
+    # a chunk without words cannot be part of a phrase
+    ahead = F.collect_list("_own").over(_order(keys, "_solid").rowsBetween(1, max(count, 1)))
+    cut = F.when(
+        F.exists("_ahead", lambda a: ~a["whole"]),
+        F.expr("slice(_ahead, 1, array_position(transform(_ahead, a -> a.whole), false))"),
+    ).otherwise(F.col("_ahead"))
+    seen = placed.withColumn("_ahead", ahead).withColumn("_ahead", cut if count else F.slice("_ahead", 1, 0))
+    joined = chunks.join(seen.drop("_solid", "_own"), [*keys, "_chunk"])
+    pieces = add_once(joined, _pieces=F.expr(_pieces_sql()))
+    return pieces.select(
+        *keys, "_chunk", "base", F.length("body").alias("_length"),
+        F.transform("_pieces", lambda p: F.struct(p["at"].alias("at"), p["base"].alias("base"))).alias("spots"),
+        F.array_join(F.transform("_pieces", lambda p: p["text"]), "").alias("text"),
+    )
+
+
 def listed_spans_sql(text: str, pattern: str) -> str:
     """``start``, ``end`` and ``match`` of every place where a match can start.
 

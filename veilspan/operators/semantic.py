@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import indexes, let
 from veilspan.functions.text import _col, match_spans, strip
+from veilspan.operators.chunks import line_chunks, line_rows, with_words_ahead
 from veilspan.operators.detections import explode_rows
-from veilspan.operators.lines import runs_line_semantics
+from veilspan.operators.lines import join_spans_to_lines, runs_line_semantics, text_detections_in_lines
+from veilspan.operators.scan import CHUNK
 from veilspan.schemas import (
     BOX_DETECTIONS,
     RAW_ENTITIES,
@@ -129,6 +131,66 @@ def phrase_key(text: Column | str, word: str = WORD) -> Column:
     return F.array_join(F.regexp_extract_all(_col(text), F.lit(word), F.lit(0)), " ")
 
 
+def names_in_chunks(
+    chunks: DataFrame, keys: Sequence[str], gazetteer: DataFrame, max_words: int = 3, word: str = WORD
+) -> DataFrame:
+    """Accepted names of line tables as detections with offsets in the page text.
+
+    A chunk is searched with the first words after it, so a phrase over its end is found.
+    """
+    keys = list(keys)
+    texts = with_words_ahead(chunks, keys, word, max_words - 1)
+    found = filter_raw_predictions(
+        gazetteer_entities(texts, [*keys, "base", "_length", "spots"], gazetteer, max_words, "text", word)
+    ).filter(F.col("start") < F.col("_length"))
+    # the end may lie in one of the pieces behind the body
+    end = F.expr("element_at(filter(spots, p -> p.at < end), -1)")
+    return found.select(
+        *keys,
+        F.col("label").alias("detection_type"),
+        (F.col("base") + F.col("start")).alias("start"),
+        (end["base"] + F.col("end") - end["at"]).alias("end"),
+        F.coalesce("score", F.lit(1.0)).alias("confidence"),
+    )
+
+
+def names_in_single_lines(
+    lines: DataFrame, keys: Sequence[str], gazetteer: DataFrame, max_words: int = 3, word: str = WORD
+) -> DataFrame:
+    """The second look: accepted names of short lines, each searched for itself."""
+    key = [*keys, "line_no"]
+    looked_at = lines.filter(runs_line_semantics("text")).select(*key, "text", "bbox", "confidence")
+    found = filter_raw_predictions(gazetteer_entities(looked_at, [*key, "bbox", "confidence"], gazetteer, max_words, "text", word))
+    return found.select(
+        *keys,
+        F.col("label").alias("detection_type"),
+        "bbox",
+        F.least(F.coalesce("score", F.lit(1.0)), "confidence").alias("confidence"),
+    )
+
+
+def detections_with_names(
+    lines: DataFrame,
+    keys: Sequence[str],
+    gazetteer: DataFrame,
+    max_words: int = 3,
+    word: str = WORD,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """All text detections of a line table as boxes, names of a phrase list included.
+
+    Structured hits, address blocks, names in the page text and names in single lines;
+    pages of every size go in chunks of lines.
+    """
+    keys = list(keys)
+    columns = [*keys, "detection_type", "bbox", "confidence"]
+    chunks = line_chunks(lines, keys, chunk)
+    names = join_spans_to_lines(names_in_chunks(chunks, keys, gazetteer, max_words, word), line_rows(chunks, keys), keys)
+    alone = names_in_single_lines(lines, keys, gazetteer, max_words, word)
+    every = text_detections_in_lines(lines, keys, chunk).select(*columns).unionByName(names.select(*columns)).unionByName(alone)
+    return every.groupBy(*keys, "detection_type", "bbox").agg(F.max("confidence").alias("confidence"))
+
+
 def gazetteer_entities(
     texts: DataFrame,
     keys: Sequence[str],

@@ -381,6 +381,12 @@ def pages_with_names(spark, sf):
     return _flat(D.explode_rows(joined, ["doc_id"], found).select("doc_id", "d.*"), "detection_type")
 
 
+def names_in_lines(spark, sf):
+    """The same from a line table in chunks of four lines."""
+    found = S.detections_with_names(lines_of(cards(spark, sf)), PAGE, _gazetteer(spark, sf), word=NAME_WORD, chunk=4)
+    return _flat(found, "detection_type")
+
+
 _PAGE_WORDS = _WORDS.replace(CARDS.sql(), _page_text_sql(CARD_LINES))
 _PAGE_ENTITIES = ENTITIES_SQL.replace(_WORDS, _PAGE_WORDS)
 NAMES_SQL = _page_detections_sql(
@@ -477,6 +483,7 @@ QUERIES = {
     "gazetteer_entities": (gazetteer_entities, ENTITIES_SQL),
     "accepted_entities": (accepted_entities, ACCEPTED_SQL),
     "pages_with_names": (pages_with_names, NAMES_SQL),
+    "names_in_lines": (names_in_lines, NAMES_SQL),
     "recognised_lines": (
         recognised_lines,
         f"SELECT doc_id, cast(line_no AS bigint) AS line_no, trim(text) AS text, {BOX_SQL}, confidence"
