@@ -107,7 +107,9 @@ def line_predicates(spark, sf):
     )
 
 
-# RE2 folds only ASCII here, so the dotted letters are spelled out
+# --- fixed values -----------------------------------------------------------
+# Headers of address blocks and of other fields, as in veilspan.functions.patterns.
+# RE2 folds only ASCII here, so the dotted letters are spelled out.
 HEADER = (
     r"(?i)^\s*(?:[iİı]kamet\s+adres[iİı]|ev\s+adres[iİı]|yerle[şŞ][iİı]m\s+yer[iİı](?:\s+adres[iİı])?"
     r"|tebl[iİı]gat\s+adres[iİı]|a[çÇ][ıIiİ]k\s+adres|adres)\s*[:\-]?"
@@ -116,9 +118,10 @@ STOP = (
     r"(?i)^\s*(?:telefon|tel\.?|gsm|cep|e-?posta|e-?ma[iİı]l|t\.?\s*c\.?|tc|tckn|[iİı]mza|tar[iİı]h"
     r"|ad[ıIiİ]?\s+soyad[ıIiİ]?)(?:[^\p{L}\p{N}_]|$)"
 )
-# a stop word that ends in a dot needs a word to follow it
-STOP_DOT = r"(?i)^\s*(?:tel\.|t\.?\s*c\.)[\p{L}\p{N}_]"
-IS_STOP = f"((regexp_matches(text, '{STOP}') AND NOT regexp_matches(text, '(?i)^\\s*(?:tel|t\\.?\\s*c)\\.([^\\p{{L}}\\p{{N}}_]|$)') OR regexp_matches(text, '{STOP_DOT}') OR regexp_matches(text, '(?i)^\\s*(?:tel|t\\.?\\s*c)\\.')) AND NOT regexp_matches(text, '{HEADER}'))"
+# A stop word that ends in a dot has its border there, whatever follows.
+STOP_DOT = r"(?i)^\s*(?:tel|t\.?\s*c)\."
+# ----------------------------------------------------------------------------
+IS_STOP = f"((regexp_matches(text, '{STOP}') OR regexp_matches(text, '{STOP_DOT}')) AND NOT regexp_matches(text, '{HEADER}'))"
 
 PREDICATES_SQL = f"""
     SELECT doc_id, cast(line_no AS bigint) AS line_no,

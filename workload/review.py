@@ -592,13 +592,14 @@ def status_labels(spark, sf):
     return shown.select("plan_id", "s.eyebrow", "s.title", "s.description", "s.tone", "s.download_label")
 
 
+# The texts are fixed values of the operator; SQL gets them from there.
+_STATUS_ROWS = ", ".join(
+    "(" + ", ".join("'" + text.replace("'", "''") + "'" for text in (status, *shown)) + ")"
+    for status, shown in R.STATUS_PRESENTATION.items()
+)
 STATUS_LABELS_SQL = f"""WITH {EXPORTS}
-    SELECT plan_id, t.eyebrow, t.title, t.description, t.tone, t.download_label FROM exports JOIN (VALUES
-      ('passed', 'Verification complete', 'Configured detectors are clear', 'The exported pixels were scanned again and no remaining detections were found. This is not a legal guarantee that every sensitive item was identified.', 'clear', 'Download reviewed output'),
-      ('verified_with_human_overrides', 'Human override recorded', 'Detectors are clear, with overrides', 'The exported pixels scanned clear, but one or more automatic regions were deliberately kept visible. Review those decisions before sharing the output.', 'caution',
-        'Download output with overrides'),
-      ('review_required', 'Further review required', 'Detections remain in the output', 'The verifier still found sensitive regions after export. This artifact must not be represented or shared as verified safe output.', 'danger',
-        'Download review artifact')) AS t(status, eyebrow, title, description, tone, download_label) ON t.status = exports.status"""
+    SELECT plan_id, t.eyebrow, t.title, t.description, t.tone, t.download_label FROM exports JOIN
+      (VALUES {_STATUS_ROWS}) AS t(status, eyebrow, title, description, tone, download_label) ON t.status = exports.status"""
 
 
 def analyzed_plans(spark, sf):
