@@ -50,7 +50,9 @@ def line_chunks(lines: DataFrame, keys: Sequence[str], chunk: int = CHUNK) -> Da
     ``line_no`` need not be dense; lines may be empty, and a null text is an empty line.
     """
     item = F.struct("line_no", F.coalesce("text", F.lit("")).alias("text"), "bbox", "confidence")
-    gathered = lines.groupBy(*keys, F.floor(F.col("line_no") / chunk).alias("_chunk")).agg(
+    # never null, so that both sides of a join over it read the same rows, and these once
+    place = F.coalesce(F.floor(F.col("line_no") / chunk), F.lit(0)).alias("_chunk")
+    gathered = lines.groupBy(*keys, place).agg(
         F.array_sort(F.collect_list(item)).alias("items")
     )
     body = F.array_join(F.transform("items", lambda i: i["text"]), "\n")
@@ -177,15 +179,15 @@ def listed_spans_sql(text: str, pattern: str) -> str:
         )
 
     marked = f"split(regexp_replace({text}, r'(?={pattern})', '{_MARK}'), '{_MARK}', -1)"
-    found = let_sql(
+    none = "cast(array() AS array<struct<start:int,end:int,match:string>>)"
+    return let_sql(
         f"regexp_extract_all({text}, r'(?=({pattern}))', 1)",
-        lambda matches: let_sql(marked, lambda pieces: place(matches, pieces)),
+        lambda matches: f"CASE WHEN size({matches}) > 0 THEN {let_sql(marked, lambda pieces: place(matches, pieces))} ELSE {none} END",
     )
-    return f"CASE WHEN {text} RLIKE r'{pattern}' THEN {found} ELSE cast(array() AS array<struct<start:int,end:int,match:string>>) END"
 
 
 def _unmarked(text: str) -> str:
-    return f"translate({text}, '{_MARK}', '\x02')"
+    return let_sql(text, lambda t: f"CASE WHEN contains({t}, '{_MARK}') THEN translate({t}, '{_MARK}', '\x02') ELSE {t} END")
 
 
 #: Hits that could start in a chunk, with their offsets in the page.
@@ -226,7 +228,9 @@ def _listed_hits(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
         searched=F.expr(_unmarked("array_join(transform(pieces, p -> p.text), '')")),
         around=F.concat("_before", "body", "_after"),
     )
-    prepared = add_once(prepared, labels=F.col("around").rlike(P.TCKN_CONTEXT))
+    # looked for once in a chunk, and only where there may be a number to label
+    numbers = F.col("searched").rlike(P.TCKN_GUARD)
+    prepared = add_once(prepared, labels=numbers & F.col("around").rlike(P.TCKN_CONTEXT))
     kinds = F.array(
         *(
             F.struct(F.lit(kind).alias("detection_type"), F.expr(sql).alias("listed"))
@@ -273,7 +277,10 @@ def structured_in_chunks(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     composed = tables.groupBy(*groups).agg(F.array_sort(F.collect_list("t")).alias("t"))
     handed = explode_rows(composed, groups, F.expr(f"arrays_zip(t, {scanned_sql('t', '0L', step)})"))
     starts = handed.select(*groups, F.col("d.t._chunk").alias("_chunk"), F.col("d.1").alias("_from"))
-    placed = crossing.drop("_beyond", "_reached").join(starts, [*groups, "_chunk"], "left")
+    # both sides are the same rows up to here, which are exchanged once
+    placed = crossing.join(starts, [*groups, "_chunk"], "left").withColumn(
+        "_from", F.when(F.size("_reached") > 0, F.col("_from")).otherwise(F.col("base"))
+    )
     kept = F.expr(
         let_sql(
             scanned_sql("listed", "coalesce(_from, 0L)", lambda e, c: f"CASE WHEN {c}.start >= {e} THEN {c}.end ELSE {e} END"),
