@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.operators.detections import merge_span_rows
-from veilspan.operators.scan import dense_position, islands, running, with_halo
+from veilspan.operators.scan import dense_position, island_starts, islands, running, with_halo
 
 
 def table(spark, seed=1):
@@ -68,6 +68,35 @@ def test_islands(spark, touching, chunk):
     assert {(k, s, e, i) for k, s, e, i in got} == want
 
 
+@pytest.mark.parametrize("chunk", [3, 17, 4096])
+def test_islands_over_many_chunks(spark, chunk):
+    """Intervals longer than several chunks, and runs that end inside the next one."""
+    rng = random.Random(chunk)
+    rows = [(k, s, s + rng.choice([1, 2, 3, 40, 90])) for k in "abc" for s in (rng.randrange(1500) for _ in range(40))]
+    df = spark.createDataFrame(rows, "k string, s long, e long")
+    got = {(r.k, r.s): (r._reach, r.i) for r in island_starts(df, ["k"], "s", "e", "i", False, chunk).collect()}
+    want = {}
+    for key in "abc":
+        head = reach = None
+        for s, e in sorted((s, e) for k, s, e in rows if k == key):
+            if reach is None or s >= reach:
+                head, reach = s, e
+            reach = max(reach, e)
+            want[key, s] = (max(e, want.get((key, s), (0,))[0]), head)
+    assert got == want
+
+
+def test_islands_scan_once(spark, tmp_path):
+    """The final plan of merged spans reads its input once: later uses reuse the exchange."""
+    spark.range(2000).selectExpr("id % 7 AS k", "id AS start", "id + 3 AS end").write.parquet(str(tmp_path / "t"))
+    merged = merge_span_rows(spark.read.parquet(str(tmp_path / "t")), ["k"])
+    assert merged.count() == 2000
+    merged.collect()
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1
+    assert plan.count("ReusedExchange") == 1
+
+
 def test_merge_span_rows_with_copies(spark):
     rows = [("d", 0, 5)] * 50 + [("d", 5, 7), ("d", 9, 10)]
     df = spark.createDataFrame(rows, "doc_id string, start long, end long")

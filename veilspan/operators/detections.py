@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.operators.scan import islands
+from veilspan.operators.scan import island_starts
 from veilspan.schemas import DETECTION_TYPES
 
 
@@ -92,8 +92,8 @@ def dedupe_boxes(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def merge_span_rows(detections: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Physical spans per document; touching spans merge."""
-    marked = islands(detections, keys, "start", "end", "merged_start", touching=True)
-    return marked.groupBy(*keys, "merged_start").agg(F.max("end").alias("merged_end"))
+    marked = island_starts(detections, keys, "start", "end", "merged_start", touching=True)
+    return marked.groupBy(*keys, "merged_start").agg(F.max("_reach").alias("merged_end"))
 
 
 def verification_report(

@@ -138,7 +138,7 @@ def with_halo(
     )
 
 
-def islands(
+def island_starts(
     df: DataFrame,
     keys: Sequence[str],
     low: str,
@@ -147,27 +147,76 @@ def islands(
     touching: bool,
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add ``island``: the first ``low`` of the overlapping run a row belongs to.
+    """``keys, low, _reach, island``: each distinct ``low`` with its farthest end and run.
 
     Rows with the same ``low`` are aggregated first, so copies of one interval
     never pile up in a task.  With ``touching`` an interval that starts exactly
     where the run ends still belongs to it.
+
+    One scan carries two values, the farthest end and the start of the open run.
+    Runs are found per chunk as if nothing came before.  A chunk is then its
+    farthest end and the start of its last run, and two chunks compose: the
+    later one's last run starts there unless the earlier reach covers it, and
+    what covers the last run of a chunk covers all its runs.  Only these pairs
+    meet per group; the rows stay where their chunk is.
     """
     keys = list(keys)
-    starts = (
-        df.groupBy(*keys, low)
+
+    def starts_run(start: Column, before: Column) -> Column:
+        gap = start > before if touching else start >= before
+        return before.isNull() | gap
+
+    in_chunk = W.partitionBy(*keys, "_chunk").orderBy(low)
+    # Rows without a key or a start belong to no run; dropping them here keeps both
+    # uses of the chunks below alike, so Spark exchanges them once.
+    placed = df.withColumn("_chunk", F.floor(F.col(low) / chunk))
+    for name in (*keys, low, "_chunk"):
+        placed = placed.filter(F.col(name).isNotNull())
+    local = (
+        placed.groupBy(*keys, "_chunk", low)
         .agg(F.max(high).alias("_reach"))
-        .withColumn("_chunk", F.floor(F.col(low) / chunk))
+        .withColumn(
+            "_local", F.max("_reach").over(in_chunk.rowsBetween(W.unboundedPreceding, -1))
+        )
+    )
+    ends = local.groupBy(*keys, "_chunk").agg(
+        F.max("_reach").alias("_end"),
+        F.max(F.when(starts_run(F.col(low), F.col("_local")), F.col(low))).alias("_last"),
+    )
+    chunks_before = (
+        W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    )
+    carried = ends.withColumn("_carried", F.max("_end").over(chunks_before)).select(
+        *keys,
+        "_chunk",
+        "_carried",
+        F.max(F.when(starts_run(F.col("_last"), F.col("_carried")), F.col("_last")))
+        .over(chunks_before)
+        .alias("_open"),
+    )
+    head = F.when(
+        starts_run(F.col(low), F.greatest("_local", "_carried")), F.col(low)
     )
-    reached = _running_by_chunk(starts, keys, low, {"_before": ("max", F.col("_reach"))})
-    gap = F.col(low) > F.col("_before") if touching else F.col(low) >= F.col("_before")
-    heads = reached.withColumn("_head", F.when(F.col("_before").isNull() | gap, F.col(low)))
-    named = _running_by_chunk(heads, keys, low, {"_earlier": ("max", F.col("_head"))})
-    return df.join(
-        named.select(*keys, low, F.coalesce("_head", "_earlier").alias(island)), [*keys, low]
+    latest = F.max(head).over(in_chunk.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return local.join(carried, [*keys, "_chunk"]).select(
+        *keys, low, "_reach", F.coalesce(latest, F.col("_open")).alias(island)
     )
 
 
+def islands(
+    df: DataFrame,
+    keys: Sequence[str],
+    low: str,
+    high: str,
+    island: str,
+    touching: bool,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Add ``island``: the first ``low`` of the overlapping run a row belongs to."""
+    named = island_starts(df, keys, low, high, island, touching, chunk)
+    return df.join(named.drop("_reach"), [*keys, low])
+
+
 def dense_position(
     df: DataFrame, keys: Sequence[str], order: str, name: str, chunk: int = CHUNK
 ) -> DataFrame:
