@@ -226,6 +226,26 @@ def test_gazetteer(spark):
         S.gazetteer_entities(texts, ["id"], listed, max_words=1).collect()
 
 
+def test_gazetteer_moves_only_runs_that_may_match(spark):
+    texts = spark.range(400).selectExpr("id", "concat('one two three four five ', if(id % 2 = 0, 'Ada Demir', 'Bob'), ' six') AS text")
+    listed = spark.createDataFrame([("Ada Demir", "person", 0.9), ("six", "person", 0.5)], "phrase string, label string, score double")
+    runs = S.word_grams(texts, ["id"], listed, "phrase", 3)
+    # of up to 21 runs a text, those that start with Ada (3) or with the last word (1)
+    assert runs.count() == 200 * (3 + 1) + 200 * 1
+    assert S.word_grams(texts, ["id"], listed.limit(0), "phrase", 3).count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = S.gazetteer_entities(texts, ["id"], listed, salts=16)
+        assert found.count() == 200 + 400
+        # the phrase of half the texts is joined in several tasks
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spread = found.filter("start = 24 AND score = 0.9").groupBy(F.spark_partition_id()).count()
+        assert spread.count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_plugin_batches_skip_blank_texts():
     def load():
         return lambda text: [{"label": "person", "start": 0, "end": 1, "score": 1.0}]

@@ -25,6 +25,9 @@ from veilspan.schemas import (
 SEMANTIC_LABELS = ("person", "address")
 # ----------------------------------------------------------------------------
 
+#: Bits that tell which first words a phrase list has: 128 KB for a list of any length.
+WORD_BITS = 1 << 20
+
 #: What counts as a word of a phrase, unless told otherwise.
 WORD = r"(?U)\w+"
 
@@ -191,6 +194,63 @@ def detections_with_names(
     return every.groupBy(*keys, "detection_type", "bbox").agg(F.max("confidence").alias("confidence"))
 
 
+def _word_bit(word: Column | str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(WORD_BITS)).cast("int")
+
+
+def first_words(phrases: DataFrame, gram: str) -> Column:
+    """The first words of a phrase list as ``WORD_BITS`` bits, in one scalar subquery.
+
+    A Spark job sets the bits, and a task gets the same ``WORD_BITS / 64`` numbers
+    however long the list is.  Words that share a bit only let more runs through.
+    """
+    none = phrases.sparkSession.range(WORD_BITS // 64).selectExpr("cast(id AS int) AS at", "0L AS bits")
+    bit = _word_bit(F.substring_index(gram, " ", 1))
+    bits = (
+        phrases.select(bit.alias("b"))
+        .selectExpr("cast(b div 64 AS int) AS at", "shiftleft(1L, b % 64) AS bits")
+        .unionByName(none)
+        .groupBy("at")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    return bits.select(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda s: s["bits"])
+    ).scalar()
+
+
+def word_grams(
+    texts: DataFrame,
+    keys: Sequence[str],
+    phrases: DataFrame,
+    gram: str,
+    max_words: int,
+    text: str = "text",
+    word: str = WORD,
+) -> DataFrame:
+    """``keys, start, end, gram``: the runs of words that may be one of ``phrases``.
+
+    Each word is looked up among the first words of the list before any run is
+    put together, so only runs that may match are built and moved.
+    """
+    keys = list(keys)
+    ahead = let(
+        match_spans(text, word),
+        lambda spans: F.transform(
+            indexes(spans), lambda i: F.slice(spans, i + 1, F.lit(max_words))
+        ),
+    )
+    bit = _word_bit(F.col("d")[0]["match"])
+    known = F.getbit(F.get(first_words(phrases, gram), F.floor(bit / 64).cast("int")), bit % 64)
+    begun = explode_rows(texts, keys, ahead).filter(known == 1)
+    runs = begun.select(*keys, "d", F.explode(F.sequence(F.lit(1), F.size("d"))).alias("_n"))
+    return runs.select(
+        *keys,
+        F.col("d")[0]["start"].alias("start"),
+        F.get("d", F.col("_n") - 1)["end"].alias("end"),
+        F.array_join(F.transform(F.slice("d", F.lit(1), F.col("_n")), lambda s: s["match"]), " ").alias(gram),
+    )
+
+
 def gazetteer_entities(
     texts: DataFrame,
     keys: Sequence[str],
@@ -198,13 +258,17 @@ def gazetteer_entities(
     max_words: int = 3,
     text: str = "text",
     word: str = WORD,
+    salts: int = 8,
 ) -> DataFrame:
     """Find the phrases of ``gazetteer(phrase, label, score)`` in texts.
 
-    Word n-grams meet the phrases in an equi-join, so the list may be of any
-    size: Spark broadcasts it only when its measured size allows.  Offsets are
-    those of the words in the text, which match the pattern ``word``.  A phrase of more than ``max_words`` words
-    raises an error rather than being missed silently.
+    Runs of words that may match meet the phrases in an equi-join, so the list
+    may be of any size: Spark broadcasts it only when its measured size allows.
+    Where it does not, the runs of one phrase are dealt over ``salts`` tasks, as
+    a phrase may stand in most texts; each phrase goes to all of them.  Offsets
+    are those of the words in the text, which match the pattern ``word``.  A
+    phrase of more than ``max_words`` words raises an error rather than being
+    missed silently.
     """
     keys = list(keys)
     listed = gazetteer.select(
@@ -217,28 +281,7 @@ def gazetteer_entities(
             F.raise_error(F.lit(f"a phrase has more than {max_words} words"))
         ),
     )
-
-    def grams(spans: Column) -> Column:
-        size = F.size(spans)
-
-        def of_length(n: int) -> Column:
-            return F.transform(
-                F.filter(indexes(spans), lambda i: i + n <= size),
-                lambda i: F.struct(
-                    F.get(spans, i)["start"].alias("start"),
-                    F.get(spans, i + n - 1)["end"].alias("end"),
-                    F.array_join(
-                        F.transform(F.slice(spans, i + 1, F.lit(n)), lambda s: s["match"]),
-                        " ",
-                    ).alias("gram"),
-                ),
-            )
-
-        return F.concat(*(of_length(n) for n in range(1, max_words + 1)))
-
-    exploded = explode_rows(texts, keys, let(match_spans(text, word), grams))
-    return (
-        exploded.select(*keys, "d.start", "d.end", F.col("d.gram").alias("_gram"))
-        .join(checked, "_gram")
-        .drop("_gram")
-    )
+    runs = word_grams(texts, keys, checked, "_gram", max_words, text, word)
+    dealt = runs.withColumn("_salt", F.pmod(F.xxhash64(*keys, "start"), F.lit(salts)).cast("int"))
+    salted = checked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(salted, ["_gram", "_salt"]).drop("_gram", "_salt")
