@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from veilspan.plans.text import sanitize_texts
 from veilspan.streaming.text import sanitize_stream, windowed_counts, write_stream
+from workload.text import streamed_texts
 
 SCHEMA = "id int, ts timestamp, text string"
 
@@ -44,3 +45,18 @@ def test_window_counts(spark, tmp_path):
     query.awaitTermination()
     got = {(r.detection_type, r.n) for r in spark.table("counts").collect()}
     assert got == {("email", 2), ("phone", 1)}
+
+
+def test_streamed_tables_of_one_file_of_many_and_of_none(spark, tmp_path):
+    rows = [(1, "a@b.de"), (2, "clean"), (3, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    table.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    columns = ["doc_id", "sanitized_text", "redaction_passes", "status"]
+    want = sorted(map(tuple, sanitize_texts(table).select(*columns).collect()))
+    assert sorted(map(tuple, streamed_texts(spark, str(tmp_path / "many")).select(*columns).collect())) == want
+    assert sorted(map(tuple, streamed_texts(spark, str(tmp_path / "one")).select(*columns).collect())) == want
+    assert streamed_texts(spark, str(tmp_path / "none")).count() == 0

@@ -336,15 +336,14 @@ PUBLISHED_SQL = _passes_sql("SELECT doc_id, sha256(text) AS sha256 FROM w WHERE
 
 def streamed_texts(spark, sf):
     """The documents as a stream of files, redacted into the shared folder."""
-    stream = (
-        spark.readStream.schema("doc_id long, text string")
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-    )
+    # a pattern, as a stream takes a single file by a pattern only; the table may be a file or a folder
+    stream = spark.readStream.schema("doc_id long, text string").parquet(f"{sf}/documents[.]parquet")
     base = f"{ensure_checkpoint_dir(spark)}/streamed-{uuid.uuid4().hex}"
-    query = write_stream(sanitize_stream(stream), f"{base}/out", f"{base}/state")
+    done = sanitize_stream(stream)
+    query = write_stream(done, f"{base}/out", f"{base}/state")
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
+    # a stream without rows writes no file to take the schema from
+    return spark.read.schema(done.schema).parquet(f"{base}/out").select(
         "doc_id", "sanitized_text", F.col("redaction_passes").cast("long").alias("redaction_passes"), "status"
     )
 
