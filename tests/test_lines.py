@@ -323,3 +323,15 @@ def test_names_over_chunks(spark, chunk):
     want = S.filter_raw_predictions(S.gazetteer_entities(whole, PAGE, listed)).select("doc_id", "label", "start", "end", F.coalesce("score", F.lit(1.0))).collect()
     got = S.names_in_chunks(line_chunks(lines_df(spark, rows), PAGE, chunk), PAGE, listed).select("doc_id", "detection_type", "start", "end", "confidence").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40
+
+
+def test_joins_of_texts_made_of_small_files_broadcast_nothing(spark, tmp_path):
+    """A few bytes a file row become whole pages; the estimates know the files only."""
+    spark.range(50).write.parquet(str(tmp_path / "t"))
+    made = spark.read.parquet(str(tmp_path / "t")).selectExpr("id AS doc_id", "concat('Ada Demir ', id, '\n', repeat('0532 123 45 67 x\n', 20)) AS text")
+    box = F.expr("named_struct('x1', 0, 'y1', 0, 'x2', 1, 'y2', 1)")
+    lines = made.select("doc_id", F.lit(1).alias("page_no"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"), box.alias("bbox"), F.lit(1.0).alias("confidence"))
+    listed = made.selectExpr("'Ada Demir' AS phrase", "'person' AS label", "0.9D AS score").distinct()
+    for found in (S.gazetteer_entities(made, ["doc_id"], listed), S.detections_with_names(lines, PAGE, listed, chunk=4)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
