@@ -13,6 +13,7 @@ from veilspan.operators.tree import audit_summary, audit_tree
 from veilspan.plans.batch import sanitize_directory, supported_files
 from veilspan.plans.text import sanitize_texts
 from veilspan.sources import files as S
+from workload.files import _manifests
 
 
 def png(width, height, pixel=b"\xff\xff\xff"):
@@ -246,3 +247,10 @@ def test_tree_audit(spark):
         ("sensitive_directory", "src/Private"), ("sensitive_directory", "private"), ("sensitive_directory", "docs/kanit"),
     }
     assert tuple(audit_summary(problems).first()) == (4, 2, 1)
+
+
+def test_manifests_of_a_small_file_use_all_cores(spark, tmp_path):
+    rows = [(k, f"a {k}", "Brand#1", 1) for k in range(200)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    used = _manifests(spark, str(tmp_path)).rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
+    assert sum(used) == 200 and sum(n > 0 for n in used) > 1
