@@ -335,3 +335,11 @@ def test_joins_of_texts_made_of_small_files_broadcast_nothing(spark, tmp_path):
     for found in (S.gazetteer_entities(made, ["doc_id"], listed), S.detections_with_names(lines, PAGE, listed, chunk=4)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_chunks_are_searched_in_as_many_tasks_as_the_session_asks_for(spark):
+    """Few bytes and much work: adaptive execution would draw all chunks together."""
+    rows = [(d, 1, n, "0532 123 45 67", (0, 0, 1, 1), 1.0) for d in range(8) for n in range(40)]
+    lines = spark.createDataFrame(rows, "doc_id long, page_no int, line_no int, text string, bbox struct<x1:int,y1:int,x2:int,y2:int>, confidence double")
+    used = line_chunks(lines, PAGE, 4).rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
+    assert sum(used) == 80 and sum(n > 0 for n in used) == int(spark.conf.get("spark.sql.shuffle.partitions"))
