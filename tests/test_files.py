@@ -254,3 +254,10 @@ def test_manifests_of_a_small_file_use_all_cores(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     used = _manifests(spark, str(tmp_path)).rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()
     assert sum(used) == 200 and sum(n > 0 for n in used) > 1
+
+
+def test_every_pair_of_models_that_overlap(spark):
+    rows = [("k", "a", "m"), ("k", "a2", "m"), ("k", "b", "m/x"), ("k", "c", "m/x/y"), ("k", "d", "mx"), ("j", "e", "m/x"), ("k", "f", "m/x"), ("k", "b", "m/x")]
+    got = M.overlapping_models(spark.createDataFrame(rows, "k string, model_id string, target_directory string"), "k").collect()
+    want = [("k", i, o) for i in ("b", "c", "f") for o in ("a", "a2")] + [("k", "c", "b"), ("k", "c", "f")]
+    assert sorted(map(tuple, got)) == sorted(want)
