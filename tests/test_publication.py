@@ -1,5 +1,7 @@
 """Unverified pages never pass, exports to the end, publication in one step."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from veilspan.operators import review as R
 from veilspan.plans import image as I
 from veilspan.plans import publish as P
 from veilspan.plans import review as E
+from workload.text import _sanitized, published_files
 
 FACTS = "session_id string, page_number int, plan_revision int, redaction_passes int, automatic_removal_count long, automatic_geometry_adjustment_count long, manual_addition_count long, applied_region_count long, remaining_count long, detectors_clear boolean, status string"
 
@@ -151,3 +154,32 @@ def test_changed_rows_are_found(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "other")).write.mode("overwrite").parquet(f"{target}/{version}/rows")
     # an empty text in the place of a null
     assert [r.doc_id for r in P.changed_contents(spark, target).collect()] == [2]
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Customers and documents, each in a file of one part."""
+    customers = [(k, f"Customer#{k}", k % 25) for k in range(200)]
+    spark.createDataFrame(customers, "c_custkey long, c_name string, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    texts = [(k, "tel 0532 123 45 67", "en", "a") for k in range(20)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_texts_of_many_looks_use_all_cores(spark, tables):
+    rows = _sanitized(spark, tables).select("doc_id").rdd
+    used = rows.mapPartitions(lambda part: [sum(r.doc_id.startswith("n") for r in part)]).collect()
+    assert sum(used) == 40 and sum(n > 0 for n in used) > 1
+
+
+def test_published_texts_are_not_shuffled(spark, tables):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as where no side is small
+    try:
+        done = published_files(spark, tables)
+        plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(done._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set(name, before)
+    shuffled = re.findall(r"Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert shuffled and not any("sanitized_text" in columns for columns in shuffled)

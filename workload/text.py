@@ -275,7 +275,9 @@ LOOKED_AT_SQL = (
 
 
 def _sanitized(spark, sf):
-    return sanitize_texts(texts(spark, sf).unionByName(LAYERED.df(spark, sf).select("doc_id", "text")))
+    # few texts, but each of them takes every look, so they are dealt to all cores as well
+    layered = LAYERED.df(spark, sf, spread=True).select("doc_id", "text")
+    return sanitize_texts(texts(spark, sf).unionByName(layered))
 
 
 def sanitized_texts(spark, sf):
@@ -327,8 +329,9 @@ def published_files(spark, sf):
     publish(done, target)
     listed = read_contents(spark, target).select("doc_id", F.col("sha256").alias("_listed"))
     changed = changed_contents(spark, target).select("doc_id")
-    rows = read_published(spark, target).join(listed, "doc_id").join(changed, "doc_id", "left_anti")
-    return rows.select("doc_id", F.sha2(F.col("sanitized_text").cast("binary"), 256).alias("sha256"))
+    # digests are joined, not the texts they are made of
+    rows = read_published(spark, target).select("doc_id", F.sha2(F.col("sanitized_text").cast("binary"), 256).alias("sha256"))
+    return rows.join(listed, "doc_id").join(changed, "doc_id", "left_anti").select("doc_id", "sha256")
 
 
 PUBLISHED_SQL = _passes_sql("SELECT doc_id, sha256(text) AS sha256 FROM w WHERE remaining_count = 0", LOOKED_AT_SQL)
