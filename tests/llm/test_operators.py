@@ -14,6 +14,7 @@ from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.mixing import mixed, permuted
 from veilspan.llm.pii import pseudonymised
 from veilspan.llm.quality_rules import judged as quality_judged
+from veilspan.llm.queries import op8_suffix_dedup
 from veilspan.llm.suffix_dedup import without_repeats
 from veilspan.llm.toxicity import held_out, toxicity
 from veilspan.llm.url_filter import DigestFile, UrlLists, judged
@@ -122,6 +123,26 @@ def test_suffix_dedup_of_partial_overlaps(spark):
     assert sorted(map(tuple, got), key=repr) == brute.repeats(docs)
 
 
+def test_suffix_dedup_keeps_all_bytes_of_untouched_texts(spark):
+    """What is left is there for each document, those that lose nothing included."""
+    docs = texts()
+    rows = without_repeats(table(spark, docs), length=400).collect()
+    assert all(brute.sha(bytes(r.kept)) == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in rows)
+    whole = {(i, (t or "").encode()) for i, t in docs}
+    assert all((r.id, bytes(r.kept)) in whole for r in rows if not r.n_removed)
+
+
+def test_suffix_dedup_query_returns_the_text_left(spark, tmp_path):
+    """Removed runs that begin or end inside a character leave a text that can be read."""
+    draw = random.Random(8)
+    shared = "".join(draw.choice("abcdefgh") for _ in range(500))
+    docs = [(1, f"one Ã{shared}é end"), (2, f"two Å{shared}è end"), (3, "untouched ü"), (4, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [rows[i].text for i in (1, 2, 3, 4)] == ["one Ã\ufffd end", "two Å\ufffd end", "untouched ü", ""]
+    assert rows[1].kept_sha256 == brute.sha("one Ã".encode() + "é".encode()[1:] + b" end")
+
+
 def test_decontaminate(spark):
     docs = texts()
     items = items_of(docs)
